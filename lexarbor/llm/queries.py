@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarbor.llm import exact_dedup
+from lexarbor.llm import exact_dedup, jaccard
 from lexarbor.llm.common import read
 
 QUERIES: dict = {}
@@ -27,3 +27,8 @@ with d as (select doc_id, length(coalesce(text, '')) as size, sha256(regexp_repl
 select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by h) as group_size, doc_id = first_value(doc_id) over w as kept, h as text_sha256
 from d window w as (partition by h order by size desc, doc_id)
 """
+
+
+@query
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
