@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarbor.llm import exact_dedup, jaccard
+from lexarbor.llm import decontaminate, exact_dedup, jaccard, mixing
 from lexarbor.llm.common import read
 
 QUERIES: dict = {}
@@ -32,3 +32,47 @@ from d window w as (partition by h order by size desc, doc_id)
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+SQL["op5_mix_sources"] = r"""
+with d as (select doc_id, coalesce(source, '') as s, source is null as none, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+             ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from documents),
+src as (select none, s, sum(size)::bigint as source_size from d group by 1, 2),
+ranked as (select *, [3.0::double, 1.0::double, 2.0::double][((row_number() over (order by none, s) - 1) % 3 + 1)::int] as w, row_number() over (order by none, s) as i from src),
+ratio as (select *, 2.0::double * source_size::double as cap, 2.0::double * source_size::double / w as r from ranked),
+level as (select *, ((sum(source_size) over ())::double * 1.5::double - 2.0::double * coalesce(sum(source_size) over (order by r, i rows between unbounded preceding and 1 preceding), 0)::double)
+             / sum(w) over (order by r, i rows between current row and unbounded following) as l from ratio),
+open as (select *, min(case when l <= r then l end) over (order by r, i rows between unbounded preceding and current row) as o from level),
+goal as (select none, s, source_size, case when o is not null then w * o else cap end as target from open),
+budget as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from goal),
+sums as (select none, s, h, sum(size)::bigint as words from d group by 1, 2, 3),
+running as (select u.*, sum(words) over (partition by u.none, u.s order by h) as upto, target - whole * source_size as left_over from sums u join budget b on u.none = b.none and u.s = b.s),
+cut as (select none, s, coalesce(min(h) filter (where upto > left_over), max(h)) as edge from running group by 1, 2),
+under as (select c.none, c.s, case when r.words < 2 * (r.left_over - (r.upto - r.words)) then c.edge + 1 else c.edge end as under from cut c join running r on r.none = c.none and r.s = c.s and r.h = c.edge)
+select d.doc_id, d.size, b.source_size, b.target, (d.size * (b.whole + case when d.h < u.under then 1 else 0 end))::bigint as taken
+from d join budget b on b.none = d.none and b.s = d.s join under u on u.none = d.none and u.s = d.s
+"""
+
+
+@query
+def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+SQL["op7_winnowing_decontamination"] = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+win as (select distinct item_id, least(len(ws), 13) as n, array_to_string(ws[i : i + least(len(ws), 13) - 1], ' ') as g from (select item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) as i from b where len(ws) > 0)),
+pos as (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, (select distinct n from win) where len(ws) >= n),
+hit as (select doc_id, i, p.n, item_id from (select doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') as g from pos) p join win w on w.g = p.g and w.n = p.n),
+words as (select doc_id, count(distinct i + j) as n_hit from (select doc_id, i, unnest(range(0, n)) as j from hit) group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as ids from (select distinct doc_id, item_id::varchar as x from hit) group by 1)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
