@@ -67,30 +67,46 @@ def pieces(column: pa.Array, piece: int = PIECE):
         row = end
 
 
+def _segment(data: np.ndarray, rows: np.ndarray):
+    """First byte and end of each word, and the running sum from which hashes of byte ranges are taken."""
+    low = LOWER[data]
+    inside = low != 0
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    cuts = rows[(rows > 0) & (rows < len(data))]
+    before[cuts] = False
+    after[cuts - 1] = False
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(low * powers(len(data) + 1)[0][: len(data)], out=total[1:], dtype=U64)
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1, total
+
+
+def _range_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((total[ends] - total[starts]) * powers(len(total))[1][starts])
+
+
 def words(data: np.ndarray, rows: np.ndarray):
     """Words [0-9a-z and all beyond ASCII]+ after lower-casing A-Z.
 
     Returns hashes, first byte and end of each word, and for each row the number of its first word (one more at the end).
     """
-    low = LOWER[data]
-    inside = low != 0
-    before = np.empty(len(data), bool)
-    if len(data):
-        before[0] = False
-        before[1:] = inside[:-1]
-        cuts = rows[(rows > 0) & (rows < len(data))]
-        before[cuts] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty(len(data), bool)
-    if len(data):
-        after[-1] = False
-        after[:-1] = inside[1:]
-        after[cuts - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(low * up[: len(data)], out=total[1:], dtype=U64)
-    return mix((total[ends] - total[starts]) * down[starts]), starts, ends, np.searchsorted(starts, rows)
+    starts, ends, total = _segment(data, rows)
+    return _range_hashes(total, starts, ends), starts, ends, np.searchsorted(starts, rows)
+
+
+def word_features(data: np.ndarray, rows: np.ndarray, prefixes: tuple[int, ...], bits: int):
+    """For each word the numbers below 2^bits of its features: the word, and its first bytes where it is longer.
+
+    Returns features (words x (1 + prefixes); 2^bits where there is none), starts, ends and first words as words().
+    """
+    starts, ends, total = _segment(data, rows)
+    shift = U64(64 - bits)
+    out = np.full((len(starts), 1 + len(prefixes)), 1 << bits, np.int32)
+    out[:, 0] = _range_hashes(total, starts, ends) >> shift
+    for i, n in enumerate(prefixes):
+        longer = np.flatnonzero(ends - starts > n)
+        out[longer, 1 + i] = mix(_range_hashes(total, starts[longer], starts[longer] + n) + U64(n)) >> shift
+    return out, starts, ends, np.searchsorted(starts, rows)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarbor.llm import decontaminate, exact_dedup, jaccard, mixing
+from lexarbor.llm import decontaminate, exact_dedup, jaccard, mixing, toxicity
 from lexarbor.llm.common import read
 
 QUERIES: dict = {}
@@ -76,3 +76,8 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
 from d left join words using (doc_id) left join items using (doc_id)
 """
+
+
+@query
+def op3_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("sentences")
