@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarbor.llm import decontaminate, exact_dedup, jaccard, mixing, toxicity
+from lexarbor.llm import decontaminate, exact_dedup, jaccard, mixing, toxicity, url_filter
 from lexarbor.llm.common import read
 
 QUERIES: dict = {}
@@ -81,3 +81,8 @@ from d left join words using (doc_id) left join items using (doc_id)
 @query
 def op3_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("sentences")
+
+
+@query
+def op2_url_language_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
