@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarbor.llm import decontaminate, exact_dedup, jaccard, mixing, toxicity, url_filter
+from lexarbor.llm import chat_format, decontaminate, exact_dedup, jaccard, mixing, pii, toxicity, url_filter
 from lexarbor.llm.common import read
 
 QUERIES: dict = {}
@@ -86,3 +86,34 @@ def op3_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_url_language_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+@query
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], conversations.schema)
+    return chat_format.read_back(chat_format.windows(conversations.unionByName(added)))
+
+
+SQL["op6_chat_windows"] = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+t as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as n from c),
+s as (select *, n = 0 and role = 'system' as is_system, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 as tokens,
+  4 + length(url_encode(role)) + 2 + length(replace(replace(replace(text, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>')) + 8 as chars from t),
+b as (select *, sum(case when is_system then 0 else tokens end) over (partition by conv_id order by n) - case when is_system then 0 else tokens end as begin,
+  max(case when is_system then tokens else 0 end) over (partition by conv_id) as system_tokens, max(case when is_system then chars else 0 end) over (partition by conv_id) as system_chars from s),
+w as (select *, floor(begin / greatest(1, 512 - 96 - system_tokens))::bigint as w from b),
+x as (select *, min(begin) over (partition by conv_id order by w range between 1 following and unbounded following) as next_begin from w),
+size as (select conv_id, sum(case when is_system then 0 else chars end + case when not is_system and next_begin - begin <= 96 then chars else 0 end)
+  + max(system_chars) * greatest(1, count(distinct case when not is_system then w end)) as formatted_chars from x group by 1)
+select t.conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by n) filter (where role = 'assistant'), '')) as loss_sha256, any_value(formatted_chars)::bigint as formatted_chars
+from t join size using (conv_id) group by 1
+"""
+
+
+@query
+def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
