@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarbor.llm import chat_format, decontaminate, exact_dedup, jaccard, language_id, mixing, pii, toxicity, url_filter
+from lexarbor.llm import chat_format, decontaminate, exact_dedup, jaccard, language_id, mixing, passages, pii, toxicity, url_filter
 from lexarbor.llm.common import read
 
 QUERIES: dict = {}
@@ -122,3 +122,8 @@ def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_language_id_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared(read(spark, sf_dir, "documents"))
