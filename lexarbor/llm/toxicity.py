@@ -4,8 +4,9 @@ A sentence ends at `.`, `!`, `?` or a line feed. Its score is the logistic of a
 word's first bytes (hashed features). A document is toxic unless all its sentences are clean: 1 - prod(1 - p). Only
 documents are labelled; the likelihood of their labels trains the weights, and so finds out which sentences offend.
 
-Training takes at most `sample` labelled documents of at most `longest` characters, those of least hash, never held-out
-ones; the weights are a table of fixed size. Scoring reads every text whole.
+Training takes at most `sample` clean documents and a third as many toxic ones, of at most `longest` characters, those of least hash, never
+held-out ones, and weighs them by how many their label has; the weights are a table of fixed size. Scoring reads every
+text whole.
 
 Null and empty texts have no sentence and score 0. Rows with null or conflicting labels: null is no label, the highest
 label of a doc_id counts. Without any labels every score is 0. A null doc_id hashes as empty text, and is held out.
@@ -57,8 +58,11 @@ def featurizer(bits: int, prefixes: tuple[int, ...]):
     return run
 
 
-def fit(table: pa.Table, bits: int, rounds: int = 150, rate: float = 0.3, decay: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights (with a 0 for no feature at the end) and bias that make the documents' labels likely."""
+def fit(table: pa.Table, share: float, bits: int, rounds: int = 150, rate: float = 0.3, decay: float = 2e-3) -> tuple[np.ndarray, float]:
+    """Weights (with a 0 for no feature at the end) and bias that make the documents' labels likely.
+
+    share: of all labelled documents, how many are toxic; the sample may have more.
+    """
     size = 1 << bits
     weights = np.zeros(size + 1)
     labels = table.column("label").to_numpy().astype(np.float64)
@@ -66,35 +70,41 @@ def fit(table: pa.Table, bits: int, rounds: int = 150, rate: float = 0.3, decay:
         return weights, (-20.0 if not len(labels) or labels[0] == 0 else 0.0)
     lists = [table.column(c).combine_chunks() for c in ("sentence", "feature")]
     length = np.diff(lists[0].offsets.to_numpy())
-    doc = np.repeat(np.arange(len(labels)), length)
+    doc = np.repeat(np.arange(len(labels), dtype=np.int32), length)
     local, feature = (x.flatten().to_numpy() for x in lists)
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (local[1:] != local[:-1])
     sentence = np.cumsum(new) - 1
     of = doc[new]
     # features of several documents, and not as common in toxic ones as in others
-    pair = np.unique(doc.astype(np.int64) * (size + 1) + feature)
+    pair = doc.astype(np.int64) * (size + 1)
+    pair += feature
+    pair.sort()
+    pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
     seen = np.bincount(pair % (size + 1), minlength=size + 1)
     toxic = np.bincount(pair % (size + 1), weights=labels[pair // (size + 1)], minlength=size + 1)
+    del pair
     base = labels.mean()
+    weight = np.where(labels == 1, share / base, (1 - share) / (1 - base))
     z = (toxic - seen * base) / np.sqrt(np.maximum(seen * base * (1 - base), 1e-9))
     useful = (seen >= 3) & (np.abs(z) > 2)
     useful[size] = False
     kept = useful[feature]
     sentence, feature = sentence[kept], feature[kept]
-    bias = np.log(base / (1 - base)) - np.log(max(1.0, len(of) / len(labels)))
+    del doc, local, kept
+    bias = np.log(share / (1 - share)) - np.log(max(1.0, len(of) / len(labels)))
     m = np.zeros(size + 2)
     v = np.zeros(size + 2)
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sentence, weights=weights[feature], minlength=len(of)), -30, 30)))
         clean = np.exp(np.bincount(of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(labels)))
-        slope = p * np.where(labels[of] == 1, -np.minimum(clean[of] / np.maximum(1 - clean[of], 1e-9), 1 / np.maximum(p, 1e-9)), 1.0)
+        slope = p * np.where(labels[of] == 1, -np.minimum(clean[of] / np.maximum(1 - clean[of], 1e-9), 1 / np.maximum(p, 1e-9)), 1.0) * weight[of]
         g = np.r_[np.bincount(feature, weights=slope[sentence], minlength=size + 1), slope.sum()] / len(labels)
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         weights -= move[:-1]
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * decay * 10, 0)  # few features stay
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * decay, 0)  # few features stay
         weights[~useful] = 0
         bias -= 0.3 * move[-1]
     return weights, float(bias)
@@ -123,13 +133,16 @@ def scorer(weights, bias: float, bits: int, prefixes: tuple[int, ...], threshold
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, fold: int = 0, sample: int = 8000, longest: int = 8000, bits: int = BITS, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, fold: int = 0, sample: int = 3000, longest: int = 4000, bits: int = BITS, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_offending, sentences (array of start, end, p)."""
     texts = common.text_of(docs, "doc_id")
-    told = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[column].cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
+    told = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels[column].cast("int") > 0).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     known = texts.filter(F.length("text") <= longest).join(told.filter(~held_out(F.col("doc_id"), folds, fold)), "doc_id")
-    least = known.select("label", "text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample).select("label", "text")
-    weights, bias = fit(least.mapInArrow(featurizer(bits, prefixes), "label int, sentence array<int>, feature array<int>").toArrow(), bits)
+    least = lambda label: known.filter(F.col("label") == label).select("label", "text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample if label == 0 else max(1, sample // 3)).select("label", "text")
+    total = told.filter(~held_out(F.col("doc_id"), folds, fold)).agg(F.avg(F.col("label").cast("double"))).first()[0]
+    table = least(0).unionByName(least(1)).mapInArrow(featurizer(bits, prefixes), "label int, sentence array<int>, feature array<int>").toArrow()
+    weights, bias = fit(table, min(max(total or 0.0, 1e-3), 1 - 1e-3), bits)
+    del table
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     scored = texts.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text").mapInArrow(scorer(shared, bias, bits, prefixes, 0.5), "doc_id long, held_out boolean, score double, sentences array<struct<start:long,end:long,p:double>>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").cast("long").alias("n_offending"), "sentences")
