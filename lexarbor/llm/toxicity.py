@@ -42,22 +42,43 @@ def instances(data: np.ndarray, rows: np.ndarray, bits: int, prefixes: tuple[int
     return features, np.cumsum(new) - 1, row[at], starts[at] if len(at) else at, ends[last] if len(at) else at
 
 
-def featurizer(bits: int, prefixes: tuple[int, ...]):
-    """(label, text) to (label, sentence, feature): a list of features and of the number of each one's sentence."""
+def featurizer(bits: int, prefixes: tuple[int, ...], useful: np.ndarray):
+    """(label, text) to (label, n, sentence, feature): the number of sentences, and the useful features in them."""
 
     def run(batches):
         for batch in batches:
             for row, data, rows in pieces(batch.column(1)):
                 features, sentence, of, _, _ = instances(data, rows, bits, prefixes)
-                word_row = of[sentence] if len(of) else sentence
-                offsets = pa.array((np.searchsorted(word_row, np.arange(len(rows))) * features.shape[1]).astype(np.int32))
-                number = np.repeat(sentence.astype(np.int32), features.shape[1])
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (number, features.reshape(-1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(rows) - 1), *lists], names=["label", "sentence", "feature"])
+                first = np.searchsorted(of, np.arange(len(rows)))
+                flat, number = features.reshape(-1), np.repeat(sentence, features.shape[1])
+                kept = useful[flat]
+                flat, number = flat[kept], number[kept]
+                offsets = pa.array(np.searchsorted(number, first).astype(np.int32))
+                local = (number - first[of[number]]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (local, flat)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(rows) - 1), pa.array(np.diff(first).astype(np.int32)), *lists], names=["label", "n", "sentence", "feature"])
 
     return run
 
 
+FEATURES = "label int, n int, sentence array<int>, feature array<int>"
+
+
+def useful_features(documents: DataFrame, bits: int, prefixes: tuple[int, ...]) -> np.ndarray:
+    """Which of the 2^bits features (and none, at the end) three documents have, and toxic ones oftener or rarer than by chance."""
+    size = 1 << bits
+    every = np.ones(size + 1, bool)
+    every[size] = False
+    told = documents.mapInArrow(featurizer(bits, prefixes, every), FEATURES).select("label", F.explode(F.array_distinct("feature")).alias("feature"))
+    counts = told.groupBy("feature").agg(F.count("*").alias("seen"), F.sum("label").alias("toxic")).filter("seen >= 3").toArrow()
+    base = documents.agg(F.avg("label")).first()[0] or 0.0
+    at, seen, toxic = (counts.column(c).to_numpy().astype(np.int64) for c in ("feature", "seen", "toxic"))
+    z = (toxic - seen * base) / np.sqrt(np.maximum(seen * base * (1 - base), 1e-9))
+    out = np.zeros(size + 1, bool)
+    out[at[np.abs(z) > 2]] = True
+    return out
+
+
 def fit(table: pa.Table, share: float, bits: int, rounds: int = 150, rate: float = 0.3, decay: float = 2e-3) -> tuple[np.ndarray, float]:
     """Weights (with a 0 for no feature at the end) and bias that make the documents' labels likely.
 
@@ -68,30 +89,13 @@ def fit(table: pa.Table, share: float, bits: int, rounds: int = 150, rate: float
     labels = table.column("label").to_numpy().astype(np.float64)
     if not len(labels) or labels.min() == labels.max():
         return weights, (-20.0 if not len(labels) or labels[0] == 0 else 0.0)
-    lists = [table.column(c).combine_chunks() for c in ("sentence", "feature")]
-    length = np.diff(lists[0].offsets.to_numpy())
-    doc = np.repeat(np.arange(len(labels), dtype=np.int32), length)
-    local, feature = (x.flatten().to_numpy() for x in lists)
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (local[1:] != local[:-1])
-    sentence = np.cumsum(new) - 1
-    of = doc[new]
-    # features of several documents, and not as common in toxic ones as in others
-    pair = doc.astype(np.int64) * (size + 1)
-    pair += feature
-    pair.sort()
-    pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
-    seen = np.bincount(pair % (size + 1), minlength=size + 1)
-    toxic = np.bincount(pair % (size + 1), weights=labels[pair // (size + 1)], minlength=size + 1)
-    del pair
+    n = table.column("n").to_numpy().astype(np.int64)
+    local, feature = (table.column(c).combine_chunks() for c in ("sentence", "feature"))
+    doc = np.repeat(np.arange(len(labels)), np.diff(local.offsets.to_numpy()))
+    sentence, feature = (np.cumsum(n) - n)[doc] + local.flatten().to_numpy(), feature.flatten().to_numpy()
+    of = np.repeat(np.arange(len(labels)), n)
     base = labels.mean()
     weight = np.where(labels == 1, share / base, (1 - share) / (1 - base))
-    z = (toxic - seen * base) / np.sqrt(np.maximum(seen * base * (1 - base), 1e-9))
-    useful = (seen >= 3) & (np.abs(z) > 2)
-    useful[size] = False
-    kept = useful[feature]
-    sentence, feature = sentence[kept], feature[kept]
-    del doc, local, kept
     bias = np.log(share / (1 - share)) - np.log(max(1.0, len(of) / len(labels)))
     m = np.zeros(size + 2)
     v = np.zeros(size + 2)
@@ -105,8 +109,8 @@ def fit(table: pa.Table, share: float, bits: int, rounds: int = 150, rate: float
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         weights -= move[:-1]
         weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * decay, 0)  # few features stay
-        weights[~useful] = 0
         bias -= 0.3 * move[-1]
+    weights[size] = 0
     return weights, float(bias)
 
 
@@ -137,12 +141,15 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
     """One row per document: doc_id, held_out, score, predicted, n_offending, sentences (array of start, end, p)."""
     texts = common.text_of(docs, "doc_id")
     told = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels[column].cast("int") > 0).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
-    known = texts.filter(F.length("text") <= longest).join(told.filter(~held_out(F.col("doc_id"), folds, fold)), "doc_id")
-    least = lambda label: known.filter(F.col("label") == label).select("label", "text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample if label == 0 else max(1, sample // 3)).select("label", "text")
+    # ids are chosen first: of the texts only the sample's, a bounded number, are moved
+    known = texts.filter(F.length("text") <= longest).select("doc_id").join(told.filter(~held_out(F.col("doc_id"), folds, fold)), "doc_id")
+    hashed = known.distinct().select("label", F.xxhash64("doc_id").alias("h"), "doc_id")
+    least = [hashed.filter(F.col("label") == label).orderBy("h", "doc_id").limit(n) for label, n in ((0, sample), (1, max(1, sample // 3)))]
+    chosen = common.saved(least[0].unionByName(least[1]).select("doc_id", "label"), "chosen")
+    picked = common.saved(texts.filter(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select("label", "text"), "picked")
     total = told.filter(~held_out(F.col("doc_id"), folds, fold)).agg(F.avg(F.col("label").cast("double"))).first()[0]
-    table = least(0).unionByName(least(1)).mapInArrow(featurizer(bits, prefixes), "label int, sentence array<int>, feature array<int>").toArrow()
-    weights, bias = fit(table, min(max(total or 0.0, 1e-3), 1 - 1e-3), bits)
-    del table
+    useful = useful_features(picked, bits, prefixes)
+    weights, bias = fit(picked.mapInArrow(featurizer(bits, prefixes, useful), FEATURES).toArrow(), min(max(total or 0.0, 1e-3), 1 - 1e-3), bits)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     scored = texts.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text").mapInArrow(scorer(shared, bias, bits, prefixes, 0.5), "doc_id long, held_out boolean, score double, sentences array<struct<start:long,end:long,p:double>>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").cast("long").alias("n_offending"), "sentences")
