@@ -7,7 +7,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that are worked on together; a longer text is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _powers: dict = {}
