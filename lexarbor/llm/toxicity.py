@@ -2,7 +2,9 @@
 
 A sentence ends at `.`, `!`, `?` or a line feed. Its score is the logistic of a bias and a weight for each word and for each
 word's first bytes (hashed features). A document is toxic unless all its sentences are clean: 1 - prod(1 - p). Only
-documents are labelled; the likelihood of their labels trains the weights, and so finds out which sentences offend.
+documents are labelled; the likelihood of their labels trains the weights, and so finds out which sentences offend. When
+scoring, the bias's own share is taken off each sentence, and sentences whose features hardly raise it count nothing, so
+that a long clean document isn't toxic by its length.
 
 Training takes at most `sample` clean documents and a third as many toxic ones, of at most `longest` characters, those of least hash, never
 held-out ones, and weighs them by how many their label has; the weights are a table of fixed size. Scoring reads every
@@ -119,13 +121,15 @@ def scorer(weights, bias: float, bits: int, prefixes: tuple[int, ...], threshold
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
     def run(batches):
-        table = weights.value
+        table, calm = weights.value, 1 / (1 + np.exp(-bias))
         for batch in batches:
             for row, data, rows in pieces(batch.column(2)):
                 features, sentence, of, start, end = instances(data, rows, bits, prefixes)
                 z = np.bincount(sentence, weights=table[features].sum(1), minlength=len(of))
                 p = 1 / (1 + np.exp(-np.clip(bias + z, -30, 30)))
-                score = 1 - np.exp(np.bincount(of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(rows) - 1))
+                # a sentence without a sign of offence counts nothing: thousands of them must not add up
+                sign = np.maximum(0, (p - calm) / (1 - calm)) * (z > 1)
+                score = 1 - np.exp(np.bincount(of, weights=np.log1p(-np.minimum(sign, 1 - 1e-12)), minlength=len(rows) - 1))
                 bad = np.flatnonzero(p >= threshold)
                 points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
                 base = points[rows[of[bad]]]
