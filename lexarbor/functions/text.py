@@ -51,10 +51,11 @@ def clean(text: Column, emoji_names: dict[str, str] | None = None) -> Column:
     t = F.regexp_replace(t, HTML_TAG, " ")
     for pattern, name in ((VIDEO_URL, "video"), (URL, "url"), (EMAIL, "email"), (PHONE, "phone")):
         t = F.regexp_replace(t, pattern, PLACEHOLDERS[name])
-    t = squeeze(t)
-    words = F.split(t, " ")
-    cut = F.when(F.size(words) <= MAX_WORDS, t).otherwise(F.array_join(F.slice(words, 1, MAX_WORDS), " "))
-    return F.when(text.isNull() | (text == "") | (F.length(t) <= MIN_CHARS), EMPTY).otherwise(cut)
+
+    def short(t: Column) -> Column:
+        return let(F.split(t, " "), lambda words: F.when(F.length(t) <= MIN_CHARS, EMPTY).when(F.size(words) <= MAX_WORDS, t).otherwise(F.array_join(F.slice(words, 1, MAX_WORDS), " ")))
+
+    return F.when(text.isNull() | (text == ""), EMPTY).otherwise(let(squeeze(t), short))
 
 
 def word_count(text: Column) -> Column:
@@ -69,6 +70,11 @@ def tokens(text: Column, min_chars: int = 1) -> Column:
 NONE = "array<string>"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once a row: inside a lambda an outer expression would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), lambda v: then(v)), 1)
+
+
 def _windows(n: int, size: Column, piece: Callable[[Column], Column]) -> Column:
     """piece(i) for each start i (from 1) of n consecutive parts out of size; none if there are fewer."""
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: piece(i))).otherwise(F.array().cast(NONE))
@@ -77,10 +83,10 @@ def _windows(n: int, size: Column, piece: Callable[[Column], Column]) -> Column:
 def word_ngrams(words: Column, low: int, high: int) -> Column:
     """All n-grams of low to high words, blank between, shorter ones first."""
 
-    def of(n: int) -> Column:
-        return _windows(n, F.size(words), lambda i: F.array_join(F.slice(words, i, n), " "))
+    def of(held: Column, n: int) -> Column:
+        return _windows(n, F.size(held), lambda i: F.array_join(F.slice(held, i, n), " "))
 
-    return F.concat(*(of(n) for n in range(low, high + 1)))
+    return let(words, lambda held: F.concat(*(of(held, n) for n in range(low, high + 1))))
 
 
 def char_wb_ngrams(text: Column, low: int = 3, high: int = 4) -> Column:
