@@ -165,9 +165,10 @@ def predictor(network: Network, classes: list[str]):
 def train(docs: DataFrame, folds: int, fold: int, sample: int, per_text: int, rounds: int, seed: int) -> tuple[Network | None, list[str]]:
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     known = known.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
-    # the windows are cut before the sample is taken: texts, which may be long, aren't moved
-    windows = known.select(F.struct("lang", F.xxhash64("doc_id").alias("h"), "doc_id").alias("who"), "text").mapInArrow(windower(per_text), "lang struct<lang:string,h:long,doc_id:long>, window binary")
-    table = windows.select("lang.*", "window").orderBy("h", "doc_id").limit(sample * per_text).select("lang", "window").toArrow()
+    chosen = common.saved(common.least_hashed(known.select("doc_id").distinct(), sample), "chosen")
+    # the sample's ids, a bounded number, go to the texts, which may be long and stay where they are
+    windows = known.join(F.broadcast(chosen), "doc_id").select(F.struct("lang", "doc_id").alias("who"), "text").mapInArrow(windower(per_text), "lang struct<lang:string,doc_id:long>, window binary")
+    table = windows.select("lang.*", "window").orderBy("doc_id", "window").limit(sample * per_text).select("lang", "window").toArrow()
     names = table.column("lang").to_pylist()
     classes = sorted(set(names))
     if not classes:

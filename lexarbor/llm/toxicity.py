@@ -147,9 +147,9 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
     told = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels[column].cast("int") > 0).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     # ids are chosen first: of the texts only the sample's, a bounded number, are moved
     known = texts.filter(F.length("text") <= longest).select("doc_id").join(told.filter(~held_out(F.col("doc_id"), folds, fold)), "doc_id")
-    hashed = known.distinct().select("label", F.xxhash64("doc_id").alias("h"), "doc_id")
-    least = [hashed.filter(F.col("label") == label).orderBy("h", "doc_id").limit(n) for label, n in ((0, sample), (1, max(1, sample // 3)))]
-    chosen = common.saved(least[0].unionByName(least[1]).select("doc_id", "label"), "chosen")
+    known = common.saved(known.distinct(), "known")
+    least = [common.least_hashed(known.filter(F.col("label") == label), n) for label, n in ((0, sample), (1, max(1, sample // 3)))]
+    chosen = common.saved(least[0].unionByName(least[1]), "chosen")
     picked = common.saved(texts.filter(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select("label", "text"), "picked")
     total = told.filter(~held_out(F.col("doc_id"), folds, fold)).agg(F.avg(F.col("label").cast("double"))).first()[0]
     useful = useful_features(picked, bits, prefixes)
