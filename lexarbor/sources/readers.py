@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,13 @@ from lexarbor import schemas
 from lexarbor.functions import text as tx
 
 
+Schema = str | T.StructType
+
+
+def struct(schema: Schema) -> T.StructType:
+    return T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+
 def targets(spark: SparkSession, links: list[str], extra: list[dict] | None = None) -> DataFrame:
     """Crawl targets from links, named by the last segment, and further ones; of a name the first stays."""
     rows = [(i, None, link, None, None) for i, link in enumerate(links)] + [(len(links) + i, t["name"], t["entity"], t.get("topic_id"), t.get("limit")) for i, t in enumerate(extra or [])]
@@ -32,18 +39,18 @@ def channel_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return posts.filter("text <> ''").withColumn("text_length", tx.word_count(F.col("text"))), rejects
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_array(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def jsonl(spark: SparkSession, path: str, schema: Schema) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): blank lines are left out, lines that don't parse are the rejects."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    kept = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    kept = T.StructType([*struct(schema).fields, T.StructField("_corrupt", T.StringType())])
     parsed = lines.select("value", F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     good = parsed.filter(F.col("r").isNotNull() & F.col("r._corrupt").isNull()).select("r.*").drop("_corrupt")
     return good, parsed.filter(F.col("r").isNull() | F.col("r._corrupt").isNotNull()).select("value")
@@ -63,6 +70,11 @@ def experiment(spark: SparkSession, path: str) -> DataFrame:
     return json_array(spark, path, schemas.EXPERIMENT).select("metadata", F.explode("runs").alias("run")).select("metadata", "run.*")
 
 
+def report_value(report: Column, label: str, measure: str | None = None) -> Column:
+    """A label's measure in a report, or a number that stands by itself; null where it is missing."""
+    return F.try_variant_get(report, f"$['{label}']" + (f"['{measure}']" if measure else ""), "double")
+
+
 def cartography(spark: SparkSession, path: str) -> DataFrame:
     """(id, history) from a file that maps ids to histories."""
     raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", schemas.CARTOGRAPHY).alias("m"))
