@@ -75,3 +75,5 @@ def metrics(spark: SparkSession) -> DataFrame:
 
 RUNS_SQL = "select * from (values " + ", ".join(f"('{n}', {s}, {[float(v) for v in c]}::double[])" for n, s, c in RUNS) + ") t(condition, seed, curve)"
 METRICS_SQL = "select * from (values " + ", ".join(f"('{n}', {s}, '{m}', {v}::double)" for n, s, m, v in METRICS) + ") t(condition, seed, metric, value)"
+
+LINKS = ["https://t.me/one", "https://t.me/two", "https://t.me/one", "https://t.me/+three"]

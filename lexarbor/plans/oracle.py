@@ -169,4 +169,19 @@ SQL = {
     "hash_sample": "select doc_id, source from documents order by md5('7:' || doc_id), doc_id limit 300",
     "weighted_choice": f"select doc_id, {_weighted()} as model, round(0.3::double + 0.9::double * {U.format(seed=6, key='doc_id')}, 2) as temperature from documents",
     "prompt_gen": f"select record_id, case label when 'single' then {_prompt('single', 42)} when 'listing' then {_prompt('listing', 42)} when 'junk' then {_prompt('junk', 42)} end as prompt from ({fx.GENERATED_SQL})",
+    "best_run": f"with m as ({fx.METRICS_SQL}) select condition, metric, arg_max(seed, (value, -seed)) as seed, max(value) as value from m group by all",
+    "axis_bound": f"""with {DELTAS}, b as (select avg(d) as mean, {T975}::double * stddev_samp(d) / sqrt(count(*)) as margin from delta group by condition, metric)
+      select round(1.4::double * max(greatest(abs(mean + margin), abs(mean - margin), 0.0581::double)), 6) as bound from b""",
+    "macro_centroid_cosine": """with x as (select vec_id, label, unnest(range(1, len(embedding) + 1)) as i, unnest(embedding)::double as v from embeddings), c as (select label, i, avg(v) as c from x group by all),
+      e as (select vec_id, label, sum(v * c) / (sqrt(sum(v * v)) * sqrt(sum(c * c))) as cosine from x join c using (label, i) group by all), l as (select avg(cosine) as m from e group by label) select round(avg(m), 6) as macro_mean_cosine from l""",
+    "pseudo_perplexity": "select event_type, round(exp(sum((event_id % 7) / 2.0::double * (event_id % 9)) / sum(event_id % 9)), 6) as pppl from events where event_id % 9 > 0 group by 1",
+    "softmax_predict": """with l as (select vec_id, list_transform(embedding[1:3], lambda x: round(x::double, 4)) as z from embeddings), e as (select vec_id, z, list_transform(z, lambda x: exp(x - list_max(z))) as e from l)
+      select vec_id, ['junk', 'single', 'listing'][list_position(z, list_max(z))] as label, round(list_max(e) / list_sum(e), 6) as p, round(-[1.0::double, 2.0::double, 0.5::double][(vec_id % 3 + 1)::int] * ln(e[(vec_id % 3 + 1)::int] / list_sum(e)), 6) as loss from e""",
+    "warmup_schedule": "select seed * 10 as step, round((2e-5::double * greatest(0.0::double, (500 - seed * 10) / 450.0::double)) * 1e6, 6) as rate from range(40, 45) t(seed)",
+    "experiment_sizes": "select (select count(*) from documents) as train_size, (select count(*) from benchmark) as test_size, count(*) as aug_size, true as tapt_enabled, count(*) > 0 as aug_enabled from documents where lang = 'es'",
+    "crawl_targets": "select * from (values ('one', 'https://t.me/one', null::varchar), ('two', 'https://t.me/two', null), ('+three', 'https://t.me/+three', null), ('group', 't.me/group', '689')) t(name, entity, topic_id)",
+    "fill_quotas": f"""with g as (select record_id, label from ({fx.GENERATED_SQL}) where text is not null), q as (select * from (values ('junk', 2000), ('single', 1700), ('listing', 10)) t(label, quota)),
+      have as (select q.label, greatest(0, any_value(quota) - count(g.record_id)) as open from q left join (select * from g where record_id % 2 = 0) g using (label) group by 1),
+      r as (select *, row_number() over (partition by label order by record_id) as r from g where record_id % 2 <> 0) select record_id, label from r join have using (label) where r <= open""",
 }
+SQL["map_anchors"] = f"with c as ({SQL['cartography']}) select round(min(variability), 6) as easy_x, round(0.75::double * max(variability), 6) as hard_x from c"

@@ -313,3 +313,66 @@ def tfidf_logistic(spark: SparkSession, d: str) -> DataFrame:
     terms = features.fit(features.term_counts(train, "doc_id", 1, 1), train.count(), min_df=3, max_df=0.8, max_features=2000).cache()
     fitted = ml.logistic(ml.vectors(train, terms, "doc_id", 1, 1), "label", rounds=30)
     return fitted.transform(ml.vectors(test, terms, "doc_id", 1, 1)).select("doc_id", "label", "prediction")
+
+
+@query
+def best_run(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.best_run(fx.metrics(spark), ["condition", "metric"], "value", "seed")
+
+
+@query
+def axis_bound(spark: SparkSession, d: str) -> DataFrame:
+    bars = evaluation.confidence_of_delta(fx.metrics(spark), "condition", fx.BASE, "seed", ["metric"], "value").withColumn("constant_delta", F.lit(-0.0581))
+    return evaluation.axis_bound(bars).select(_six("bound"))
+
+
+@query
+def map_anchors(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.anchors(QUERIES["cartography"](spark, d)).select(_six("easy_x"), _six("hard_x"))
+
+
+@query
+def macro_centroid_cosine(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return similarity.macro(similarity.centroid_cosine(vectors, similarity.centroids(vectors, "label"), "vec_id", "label")).select(_six("macro_mean_cosine"))
+
+
+@query
+def pseudo_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    scored = table(spark, d, "events").select("event_type", (F.col("event_id") % 9).alias("n_tokens"), (F.col("event_id") % 7 / 2).alias("loss"))
+    return diversity.pseudo_perplexity(scored, "event_type").select("event_type", _six("pppl"))
+
+
+@query
+def softmax_predict(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").withColumn("logits", F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 4)))
+    label, p = ml.predicted(F.col("logits"), fx.LABELS)
+    loss = ml.cross_entropy(F.col("logits"), (F.col("vec_id") % 3).cast("int"), F.array(F.lit(1.0), F.lit(2.0), F.lit(0.5)))
+    return e.select("vec_id", label.alias("label"), p.alias("p"), loss.alias("loss")).select("vec_id", "label", _six("p"), _six("loss"))
+
+
+@query
+def warmup_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return fx.runs(spark).select("seed").distinct().select((F.col("seed") * 10).alias("step")).select("step", F.round(evaluation.warmup_rate(F.col("step"), 500, 2e-5) * 1e6, 6).alias("rate"))
+
+
+@query
+def experiment_sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return evaluation.metadata(docs, table(spark, d, "benchmark"), docs.filter("lang = 'es'"), True, True)
+
+
+@query
+def crawl_targets(spark: SparkSession, d: str) -> DataFrame:
+    from lexarbor.sources import readers
+
+    return readers.targets(spark, fx.LINKS, [{"name": "group", "entity": "t.me/group", "topic_id": 689}]).select("name", "entity", F.col("topic_id").cast("string").alias("topic_id"))
+
+
+@query
+def fill_quotas(spark: SparkSession, d: str) -> DataFrame:
+    from lexarbor.streaming import ingest
+
+    records = generation.valid(fx.generated(spark, d))
+    have = records.filter("record_id % 2 = 0").select("record_id", "label")
+    return ingest.take_open(records.select("record_id", "label"), have, "record_id", {"junk": 2000, "single": 1700, "listing": 10})
