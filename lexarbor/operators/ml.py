@@ -7,16 +7,22 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexarbor.operators import evaluation, features
 
 
+def _numbered(terms: DataFrame) -> DataFrame:
+    """Terms numbered from 0 in their order; a window over the fitted vocabulary, which max_features bounds."""
+    return terms.withColumn("i", (F.row_number().over(W.orderBy("term")) - 1).cast("long"))
+
+
 def vectors(docs: DataFrame, terms: DataFrame, key: str, low: int = 1, high: int = 2, sublinear: bool = True) -> DataFrame:
     """docs with a sparse TF-IDF column `features`, of as many terms as were fitted (max_features bounds them)."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    numbered = terms.select("term", "idf").orderBy("term").rdd.zipWithIndex().map(lambda x: (x[0].term, x[0].idf, x[1])).toDF("term string, idf double, i long")
+    numbered = _numbered(terms.select("term", "idf"))
     size = terms.count()
     weights = features.tfidf(features.term_counts(docs, key, low, high), numbered, key, sublinear).join(numbered.select("term", "i"), "term")
     packed = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("t"))
@@ -41,8 +47,7 @@ def top_features(model, terms: DataFrame, n: int = 15) -> DataFrame:
     """(term, weight): the n terms of largest weight of a linear two-class model."""
     spark = terms.sparkSession
     weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.coefficients.toArray())], "i long, weight double")
-    numbered = terms.select("term").orderBy("term").rdd.zipWithIndex().map(lambda x: (x[0].term, x[1])).toDF("term string, i long")
-    return numbered.join(weights, "i").orderBy(F.desc("weight"), "term").limit(n).select("term", "weight")
+    return _numbered(terms.select("term")).join(weights, "i").orderBy(F.desc("weight"), "term").limit(n).select("term", "weight")
 
 
 def pca(rows: DataFrame, column: str, k: int = 50) -> DataFrame:
