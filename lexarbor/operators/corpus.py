@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 from lexarbor.functions import text as tx
 
 
+def _made(docs: DataFrame, row: Column, keep) -> DataFrame:
+    """docs with the fields of a struct, where keep(struct) holds. The generator makes Spark compute it once: filters on a
+    projected expression would be pushed below it, and the expression be computed again for each."""
+    return docs.withColumn("_made", F.explode_outer(F.filter(F.array(row), keep))).filter(F.col("_made").isNotNull()).select(*docs.columns, "_made.*")
+
+
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with clean_text and its word_count, without the empty and the short ones."""
-    out = docs.withColumn("clean_text", tx.clean(F.col(text))).filter(F.col("clean_text") != tx.EMPTY)
-    return out.withColumn("word_count", tx.word_count(F.col("clean_text"))).filter(F.col("word_count") >= tx.MIN_WORDS)
+    row = tx.let(tx.clean(F.col(text)), lambda t: F.struct(t.alias("clean_text"), tx.word_count(t).alias("word_count")))
+    return _made(docs, row, lambda m: (m["clean_text"] != tx.EMPTY) & (m["word_count"] >= tx.MIN_WORDS))
 
 
 def relevant(docs: DataFrame, vocabulary: list[str], least: int = tx.MIN_SCORE, dictionary: Column | None = None) -> DataFrame:
     """cleaned() docs with lemmas and score, at least `least` different words of the vocabulary."""
-    out = docs.withColumn("lemmas", tx.lemmas(tx.tokens(F.col("clean_text")), dictionary))
-    return out.withColumn("score", tx.relevance(F.col("lemmas"), vocabulary)).filter(F.col("score") >= least)
+    row = tx.let(tx.lemmas(tx.tokens(F.col("clean_text")), dictionary), lambda words: F.struct(words.alias("lemmas"), tx.relevance(words, vocabulary).alias("score")))
+    return _made(docs, row, lambda m: m["score"] >= least)
 
 
 def stats(docs: DataFrame, group: str, text: str = "text") -> DataFrame:
