@@ -81,3 +81,15 @@ def test_chain_follows_order_and_breaks_at_gaps():
     x, y = np.array([0, 8, 16, 24, 200, 208]), np.array([5, 13, 99, 29, 300, 308])
     chains = passages.chain(x, y, 5, 0.05, 40, 20)
     assert sorted(map(tuple, chains)) == [(0, 1, 3), (2,), (4, 5)]
+
+
+def test_passages_of_common_lines_are_found(spark):
+    lines = [" ".join(f"l{i}w{j}" for j in range(12)) for i in range(5)]
+    say = lambda i, n: " ".join(f"d{i}x{j}" for j in range(n))
+    # every line and every two in a row have a first holder and many near ones that have no more of the run
+    rows = [(i, f"{say(i, 30)} {lines[i % 4]} {lines[i % 4 + 1]} end{i}") for i in range(300)]
+    for i in (200, 260):
+        rows[i] = (i, f"{say(i, 40)} {' '.join(lines)} end{i}")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = [(r.doc_id, r.other_id, r.start_word, r.end_word) for r in passages.shared(docs).collect()]
+    assert found == [(260, 200, 40, 100)]
