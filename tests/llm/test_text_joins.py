@@ -93,3 +93,24 @@ def test_passages_of_common_lines_are_found(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     found = [(r.doc_id, r.other_id, r.start_word, r.end_word) for r in passages.shared(docs).collect()]
     assert found == [(260, 200, 40, 100)]
+
+
+def test_passages_with_many_edits_are_found(spark):
+    rng = random.Random(2)
+    rows, edits = [], {}
+    for i in range(120):
+        n, every = rng.choice([51, 60, 80, 100]), rng.choice([6, 8, 10, 20])
+        passage = [f"w{rng.randrange(50000)}" for _ in range(n)]
+        changed = [f"c{i}x{j}" if j % every == every - 1 else w for j, w in enumerate(passage)]
+        edits[1000 + i] = i
+        for doc, part in ((i, passage), (1000 + i, changed)):
+            rows.append((doc, " ".join([f"a{doc}x{j}" for j in range(40)] + part + [f"b{doc}x{j}" for j in range(40)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = passages.shared(docs).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == set(edits.items())
+    assert all(r.similarity >= 0.8 and r.start_word == 40 for r in found)
+
+
+def test_a_passage_is_kept_where_its_chain_goes_on():
+    # 60 equal words, 30 others, 5 equal ones: too few agree in all, enough in the first stretch
+    assert passages.stretches([(0, 3, 60), (90, 93, 5)], [0, 0], 50, 0.8) == [(0, 60, 3, 63, 60)]
