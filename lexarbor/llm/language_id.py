@@ -5,7 +5,9 @@ five run over them, each filter's maximum over the window is pooled, and a linea
 window's language. A text's prediction is the mean of its windows' probabilities: every byte counts, and short and very
 long texts take the same path, in blocks of windows of fixed size.
 
-Training takes at most `sample` labelled documents, those of least hash, and `per_text` windows spread over each; never held-out ones.
+The languages are all that labelled training documents with text have. Of each, training takes `least` documents, or its share of
+`sample` if that is more, those of least hash, and `per_text` windows spread over each; never held-out ones. Languages weigh
+by the documents taken, not by how many there are.
 
 Null texts, and texts without a letter, are `und` with score 0. Without labels everything is `und`. A null doc_id
 hashes as empty text. Rows are judged one by one.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexarbor.llm import common
@@ -162,13 +165,24 @@ def predictor(network: Network, classes: list[str]):
     return run
 
 
-def train(docs: DataFrame, folds: int, fold: int, sample: int, per_text: int, rounds: int, seed: int) -> tuple[Network | None, list[str]]:
+def least_of_each(known: DataFrame, n: int) -> DataFrame:
+    """(lang, doc_id) of the n documents of least hash of each language. Only those under a bound that about 2 n + 100 of a
+    language pass are ordered."""
+    ids = known.select("lang", "doc_id").distinct().withColumn("_h", F.xxhash64("doc_id"))
+    counts = common.saved(ids.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    some = ids.join(F.broadcast(counts), "lang").filter((F.col("_n") <= 2 * n + 100) | (F.col("_h") / 2.0**64 + 0.5 < (2 * n + 100) / F.col("_n")))  # a row a language
+    return some.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_r") <= n).select("lang", "doc_id")
+
+
+def train(docs: DataFrame, folds: int, fold: int, sample: int, least: int, per_text: int, rounds: int, seed: int) -> tuple[Network | None, list[str]]:
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    known = known.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
-    chosen = common.saved(common.least_hashed(known.select("doc_id").distinct(), sample), "chosen")
-    # the sample's ids, a bounded number, go to the texts, which may be long and stay where they are
-    windows = known.join(F.broadcast(chosen), "doc_id").select(F.struct("lang", "doc_id").alias("who"), "text").mapInArrow(windower(per_text), "lang struct<lang:string,doc_id:long>, window binary")
-    table = windows.select("lang.*", "window").orderBy("doc_id", "window").limit(sample * per_text).select("lang", "window").toArrow()
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != "") & ~held_out(F.col("doc_id"), folds, fold))
+    n = max(least, sample // max(1, known.select("lang").distinct().count()))
+    chosen = common.saved(least_of_each(known, n), "chosen")
+    # the sample's ids, a bounded number a language, go to the texts, which may be long and stay where they are
+    windows = known.join(F.broadcast(chosen), ["lang", "doc_id"]).select(F.struct("lang", "doc_id").alias("who"), "text").mapInArrow(windower(per_text), "lang struct<lang:string,doc_id:long>, window binary").select("lang.*", "window")
+    ranked = windows.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "window"))).filter(F.col("_r") <= n * per_text)
+    table = ranked.select("doc_id", "lang", "window").orderBy("doc_id", "lang", "window").select("lang", "window").toArrow()
     names = table.column("lang").to_pylist()
     classes = sorted(set(names))
     if not classes:
@@ -179,9 +193,9 @@ def train(docs: DataFrame, folds: int, fold: int, sample: int, per_text: int, ro
     return network, classes
 
 
-def predict(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = 1500, per_text: int = 3, rounds: int = 8, seed: int = 11) -> DataFrame:
+def predict(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = 1500, per_text: int = 3, rounds: int = 8, seed: int = 11, least: int = 200) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
-    network, classes = train(docs, folds, fold, sample, per_text, rounds, seed)
+    network, classes = train(docs, folds, fold, sample, least, per_text, rounds, seed)
     texts = common.text_of(docs, "doc_id").select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text")
     if network is None:
         return texts.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -66,6 +66,16 @@ def test_language_id_on_held_out_documents(spark):
     assert language_id.predict(docs.limit(0)).count() == 0
 
 
+def test_language_id_learns_a_rare_language(spark):
+    rng = random.Random(4)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    common_, rare = ["the", "house", "with", "green", "trees", "and", "water"], ["дом", "зелёный", "вода", "дерево", "где", "это"]
+    rows = [(i, say(rare, 30), "ru") if i % 250 == 7 else (i, say(common_, 30), "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, sample=60).collect()}
+    assert [i for i, _, lang in rows if got[i] != lang] == []
+
+
 def test_url_rules_and_model(spark):
     rows = [("http://a.org/x", "org/", "allow"), ("https://b.example.org/es/1", "example.org/es/", "block"), ("http://EXAMPLE.org/en/17", "example.org/en/1", "block"), ("x://q.com/fr/", "com/fr/", "allow"), ("x://q.com/de/", "com/de/", "block"), ("x://org", None, None), ("x://notorg.net/", None, None), (None, None, "block"), ("no scheme", None, "block"), ("x://h.com?q=/de/", None, None)]
     many = [(f"https://good{i}.org/{w}", "org/", "allow") for i in range(60) for w in ("alpha", "beta")] + [(f"http://spam{i}.com/de/win-{w}", "com/de/", "block") for i in range(60) for w in ("pills", "cash")]
