@@ -293,9 +293,10 @@ def lr_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def svm_pad(spark: SparkSession, d: str) -> DataFrame:
-    train, test = _labelled_vectors(spark, d, 2)
-    told = ml.svm(train, "label", 30).transform(test).withColumn("pair", F.lit("0-1"))
-    return evaluation.proxy_a_distance(told, ["pair"], "label", "prediction")
+    from pyspark.ml.functions import array_to_vector
+
+    e = table(spark, d, "embeddings").select("vec_id", "label", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    return ml.pad_leaderboard(e, "label", "vec_id")
 
 
 @query
