@@ -7,9 +7,9 @@ import functools
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows of this bitmap table hold 32768 bits each.
 BITMAP_BITS = 32768
@@ -27,8 +27,13 @@ def _local_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (tests) a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_local_dir()}"
+    """The folder that driver and executors share. A temporary one only where all run in one process (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{_local_dir()}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -55,7 +60,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a table written in the shared folder: cuts lineage and outlives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that saved() wrote and nothing reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table.scratch)
 
 
 def text_of(df: DataFrame, *ids: str, column: str = "text") -> DataFrame:
@@ -127,31 +140,69 @@ def least_hashed(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return hashed.orderBy("_h", key).limit(n).drop("_h")
 
 
+#: Keys with more than a share of 1 / HOT_KEYS of all rows can't be more than HOT_KEYS.
+HOT_KEYS = 10_000
+
+
+def hot_limit(counts: DataFrame, n: str = "n") -> int:
+    """How many rows a key of counts (one row a key, n rows of it) may have and be dealt by its hash.
+
+    At most HOT_KEYS keys have more, whatever the data, so a table of these may be broadcast.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return max(100, total // HOT_KEYS)
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined with table (one row a key, which n rows have): hot keys by broadcast, the others by shuffle.
+
+    Both should be written tables, as they are read twice. Which keys are hot changes the plan, never the result.
+    """
+    limit = hot_limit(table, n)
+    hot = F.broadcast(table.filter(F.col(n) > limit))
+    cool = rows.join(hot.select(key), key, "left_anti").join(table.filter(F.col(n) <= limit), key)
+    return rows.join(hot, key).unionByName(cool)
+
+
+def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A table of 2^bits bits as bytes, on the driver: bit `key modulo 2^bits` is set for each key."""
+    pos = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    rows = keys.select((pos / BITMAP_BITS).cast("int").alias("bucket"), (pos % BITMAP_BITS).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")).toArrow()
+    out = np.zeros(max(1 << bits, BITMAP_BITS) // 8, np.uint8)
+    for bucket, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        out[bucket * 4096 : bucket * 4096 + 4096] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def probe(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the 64-bit keys have their bit set in bitmap()'s table."""
+    bit = keys & np.uint64((1 << bits) - 1)
+    return (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each connected component, for every node of edges (a, b: long, not null).
 
-    Alternating large and small stars: every node hangs itself on the smallest neighbour until nothing moves. Each
-    round is a group-by with map-side minima and a join that AQE can split, so a hub isn't collected anywhere.
+    Alternating large and small stars: every node hangs itself on the smallest neighbour until nothing moves. Minima are
+    combined before they are shuffled, and what a hub tells its neighbours is broadcast (lookup), so no task gets a
+    hub's edges.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     hang = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     before = None
     for _ in range(rounds):
         both = hang.unionByName(hang.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "low")
         # large star: larger neighbours of u go to u's smallest
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        # small star: u and its smaller neighbours go to the smallest
+        large = saved(lookup(both, low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        # small star: u and its smaller neighbours go to the smallest; u has few smaller ones, the smallest of each star
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         hang = small.checkpoint()
+        dropped(low, large)
         now = hang.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == now:
             roots = hang.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         before = now
     raise RuntimeError(f"components: not settled after {rounds} rounds")
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(schema))

@@ -94,8 +94,7 @@ def document_side(window: int, k: int, short: list[int], bits: int, bitmap):
             for row, data, rows in pieces(batch.column(2)):
                 h, _, _, first = words(data, rows)
                 key, at, start, end, _, r = _fingerprints(h, first, window, k, short, False)
-                bit = key & U64((1 << bits) - 1)
-                ok = np.flatnonzero((passes[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8)) & 1)
+                ok = np.flatnonzero(common.probe(passes, key, bits))
                 ok = ok[np.argsort(r[ok], kind="stable")]
                 key, at, start, end, r = key[ok], at[ok], start[ok], end[ok], r[ok]
                 found = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array((at - first[r]).astype(np.int32)), pa.array((at - start).astype(np.int32)), _slices(h, start, end)], fields=list(struct))
@@ -130,16 +129,6 @@ def extender(k: int):
     return run
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """2^bits bits, one set for each key: at most 2^27 bits come to the driver."""
-    pos = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = keys.select((pos / common.BITMAP_BITS).cast("int").alias("bucket"), (pos % common.BITMAP_BITS).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect()
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:
-        out[r.bucket * 4096 : r.bucket * 4096 + 4096] = np.frombuffer(r.bitmap, np.uint8)
-    return out
-
-
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, share: int = 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     spark = docs.sparkSession
@@ -147,7 +136,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int =
     items = common.saved(items.distinct(), "items")
     n, short = items.count(), sorted(r.need for r in items.select("need").distinct().collect() if r.need < window)
     bits = min(MOST_BITS, max(15, (64 * n).bit_length()))
-    passes = spark.sparkContext.broadcast(_bitmap(items.select("key").distinct(), bits))
+    passes = spark.sparkContext.broadcast(common.bitmap(items.select("key").distinct(), "key", bits))
     texts = common.text_of(docs, "doc_id").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     marked = common.saved(texts.mapInArrow(document_side(window, k, short, bits, passes), "row long, doc_id long, n_words long, hits array<struct<key:long,pos:int,before:int,slice:binary>>"), "marked")
     hits = marked.select("row", F.explode("hits").alias("hit")).select("row", "hit.*")

@@ -79,7 +79,7 @@ def test_chain_follows_order_and_breaks_at_gaps():
     import numpy as np
 
     x, y = np.array([0, 8, 16, 24, 200, 208]), np.array([5, 13, 99, 29, 300, 308])
-    chains = passages.chain(x, y, 5, 0.05, 40, 20)
+    chains = passages.chain(x, y, np.full(6, 5), 0.05, 40, 20)
     assert sorted(map(tuple, chains)) == [(0, 1, 3), (2,), (4, 5)]
 
 
@@ -114,3 +114,56 @@ def test_passages_with_many_edits_are_found(spark):
 def test_a_passage_is_kept_where_its_chain_goes_on():
     # 60 equal words, 30 others, 5 equal ones: too few agree in all, enough in the first stretch
     assert passages.stretches([(0, 3, 60), (90, 93, 5)], [0, 0], 50, 0.8) == [(0, 60, 3, 63, 60)]
+
+
+def edited(rng, passage, rate, indels):
+    """The passage with a share of its words replaced, or else inserted and dropped too, and how many words stay."""
+    out, same = [], 0
+    for w in passage:
+        how = rng.choice("sid" if indels else "s") if rng.random() < rate else ""
+        same += how in ("", "i")
+        out += {"": [w], "s": [f"z{rng.randrange(10**9)}"], "i": [w, f"z{rng.randrange(10**9)}"], "d": []}[how]
+    return out, same
+
+
+def test_passages_recall_of_edited_passages(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    # common words are common: chance 4-grams have other first holders
+    say = lambda n: rng.choices(words, [1 / (i + 3) for i in range(2000)], k=n)
+    rows, planted_, doc = [], {}, iter(range(100_000))
+    put = lambda part: rows.append((next(doc), " ".join(say(rng.randrange(20, 200)) + part + say(rng.randrange(20, 200))))) or rows[-1][0]
+    for rate in (0, 0.05, 0.1, 0.15):
+        for i in range(80):
+            passage = say(rng.choice([51, 60, 80, 100]))
+            other, same = edited(rng, passage, rate, i % 2)
+            if len(other) >= 50 and same >= 0.8 * max(len(passage), len(other)):
+                planted_[put(passage), put(other)] = rate
+    for _ in range(300):
+        put([])
+    found = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.shared(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert found <= set(planted_)
+    for rate in (0, 0.05, 0.1, 0.15):
+        of = [p for p in planted_ if planted_[p] == rate]
+        assert sum(p in found for p in of) >= (1 if rate == 0 else 0.9) * len(of), rate
+
+
+def test_equal_runs_of_parts_that_all_have_earlier_holders_are_found(spark):
+    rng = random.Random(8)
+    say = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    parts = [say(14) for _ in range(5)]
+    whole = [w for p in parts for w in p]
+    single = lambda i: (i, " ".join(say(60) + parts[i % 5] + say(60)))
+    rows = [*map(single, range(5)), (5, " ".join(say(60) + whole + say(60))), *map(single, range(6, 42)), (42, " ".join(say(60) + whole + say(60)))]
+    found = passages.shared(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert [(r.doc_id, r.other_id, r.start_word, r.end_word, r.similarity) for r in found] == [(42, 5, 60, 130, 1.0)]
+
+
+def test_passages_of_repeated_rows_nulls_and_long_texts(spark):
+    rng = random.Random(9)
+    long = " ".join(f"v{rng.randrange(30000)}" for _ in range(30_000))
+    text = " ".join(f"t{i}" for i in range(60))
+    rows = [(1, text), (1, text), (None, text), (2, None), (3, ""), (4, long), (5, "x " * 30 + long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("*", "1 as words", "2 as key")
+    found = sorted(((r.doc_id, r.other_id, r.start_word, r.end_word) for r in passages.shared(docs).collect()), key=str)
+    assert found == sorted([(1, 1, 0, 60), (None, 1, 0, 60), (5, 4, 30, 30_030)], key=str)
