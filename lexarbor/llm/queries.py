@@ -24,8 +24,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op4_exact_dedup"] = r"""
 with d as (select doc_id, length(coalesce(text, '')) as size, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as h from documents)
-select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by h) as group_size, doc_id = first_value(doc_id) over w as kept, h as text_sha256
-from d window w as (partition by h order by size desc, doc_id)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by h) as group_size, row_number() over w = 1 as kept, h as text_sha256
+from d window w as (partition by h order by size desc, doc_id nulls last)
 """
 
 

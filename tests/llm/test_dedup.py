@@ -15,13 +15,13 @@ def table(spark, rows):
 
 def brute_exact(rows):
     groups = {}
-    for i, t, _ in rows:
-        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i))
+    for n, (i, t, _) in enumerate(rows):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0, n))
     out = []
-    for i, t, _ in rows:
+    for n, (i, t, _) in enumerate(rows):
         g = groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")]
-        best = min(g, key=lambda x: (x[0], x[1], x[2] if x[2] is not None else 0))
-        out.append((i, best[2], len(g), i == best[2] and len(t or "") == -best[0]))
+        best = min(g)[3]
+        out.append((i, rows[best][0], len(g), n == best))
     return sorted(out, key=str)
 
 
@@ -34,6 +34,24 @@ def test_exact_groups_with_strong_and_weak_digests(spark, digest):
     assert got == brute_exact(ROWS)
 
 
+def test_exact_filters_skip_runs(spark):
+    rows = [(i, f"text {i % 350}", "s") for i in range(400)]
+    entries = table(spark, rows).selectExpr("unhex(sha2(text, 256)) as digest", "doc_id", "length(text) as size", "doc_id as row")
+    index = exact_dedup.LsmIndex(fanout=3)
+    for part in range(5):
+        index.flush(entries.filter(F.col("doc_id") % 5 == part))
+    # three of level 0 became one of level 1, two are left
+    assert [r.level for r in index.runs] == [1, 0, 0]
+    told = index.lookup(entries).collect()
+    assert sorted((r.stays.doc_id, r.n) for r in told) == [(i, 1 + (i < 50)) for i in range(350)]
+    # every digest is in one run or two, and the filters keep it from nearly all others
+    held = sum(r.table.count() for r in index.runs)
+    assert held <= sum(r.asked for r in told) <= held + 10
+    passed = index.merged[1]
+    index.compact()
+    assert len(index.runs) == 1 and index.merged[1] > passed and index.runs[0].table.agg(F.sum("n")).first()[0] == 400
+
+
 def test_exact_keeps_rows_and_columns(spark):
     kept = exact_dedup.deduplicate(table(spark, ROWS))
     assert kept.columns == table(spark, []).columns
@@ -101,3 +119,40 @@ def test_depth_shortens_until_the_recall_is_met():
     assert jaccard.prefix_depth(0.8, 24, 8, 0.9999) == 5
     assert jaccard.prefix_depth(0.8, 24, 8, 0.5) == 8
     assert jaccard.prefix_depth(0.8, 1, 8, 0.9999) == 1
+
+
+def edited_copies(rng, groups, n_words, edits):
+    """Documents with copies of which so many single words are replaced, far apart."""
+    rows = []
+    for _ in range(groups):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(n_words)]
+        for e in edits:
+            copy = list(base)
+            for i in range(e):
+                copy[(i * n_words // max(1, e)) + 5] = f"q{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy), "s"))
+    return rows
+
+
+def test_prefixes_shorten_until_the_measured_recall_is_reached(spark):
+    rng = random.Random(1)
+    ended = {}
+    for name, edits in (("alike", (0, 1)), ("at the threshold", (0, 4))):
+        rows, depths = edited_copies(rng, 60, 200, edits), []
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(table(spark, rows), target=0.9995, depths=depths).collect()}
+        assert got == brute_near(rows), name
+        ended[name] = depths[-1][0]
+        assert [d for d, _, _ in depths] == list(range(8, ended[name] - 1, -1)) and depths[-1][2] >= 0.9995
+        assert all(recall < 0.9995 for _, _, recall in depths[:-1])
+    assert ended["alike"] == 8 and ended["at the threshold"] < 8
+
+
+def test_sets_of_one_hash_are_told_apart(spark):
+    def prints(values, offsets):
+        import numpy as np
+
+        return np.where(np.diff(offsets) > 0, np.uint64(7), np.uint64(0)), jaccard.fingerprints(values, offsets)[1]
+
+    rows = [(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (3, "u v w x y z", "s"), (4, "U v w x y z", "s"), (5, "g h i", "s")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(table(spark, rows), prints=prints).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1), 5: (5, 0)}
