@@ -9,11 +9,13 @@ and a window is a run of turns. Inside texts `\` becomes `\\`, `###` becomes `#\
 `<\/turn>`, so no text can end a turn or begin one, and reading undoes it by dropping the backslash before `\`, `#` and
 `/`. Roles are URL-encoded. A turn counts its words and two for the template.
 
-The running sum of a conversation's tokens deals its turns to windows: a turn belongs to the window in whose share of
-the budget (what the system turn and the history leave of it) it begins, so windows hold whole turns and exceed the
-budget by the end of one turn at most. Every window begins with the system turn, if the conversation begins with one, and a
-window after the first repeats the last turns before it, as many as fit the history. The loss mask covers the texts of assistant
-turns in the one window that they belong to, never the repeated ones.
+Windows are chosen greedily from the running sums of a conversation's tokens. Every window begins with the system turn, if the
+conversation begins with one; then come the last whole turns before the window's first, as many as fit `history` and leave room for that
+first turn; then turns as long as all of it fits `budget`, one at least. So a window exceeds the budget only if the system
+turn and a single turn do. The loss mask covers the texts of assistant turns in the one window that they belong to, never the
+repeated ones.
+
+Only the numbers of tokens of a conversation gather in one row for that, not its texts; these are joined to their windows once.
 
 Turns are in order of turn (null first), then role and text; rows that repeat are turns of their own. Null roles and texts count as
 empty. Rows with a null conv_id are one conversation.
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexarbor.llm import common
+
 END = "</turn>\n"
 BUDGET, HISTORY = 512, 96
 
@@ -37,50 +41,76 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\#/])", "$1")
 
 
+def numbered(conversations: DataFrame) -> DataFrame:
+    """One row per turn: its number n, tokens, text as written (piece), the sums of tokens (begin) and characters (at) of the turns before
+    it, the system turn apart."""
+    c = conversations
+    rows = c.select(c["conv_id"].cast("long").alias("conv_id"), c["turn"].cast("long").alias("turn"), F.coalesce(c["role"].cast("string"), F.lit("")).alias("role"), F.coalesce(c["text"].cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")).cast("long") - 1)
+    head = F.concat(F.lit("### "), F.url_encode("role"), F.lit(":\n"))
+    rows = rows.select(
+        "conv_id", "n", ((F.col("n") == 0) & (F.col("role") == "system")).alias("is_system"), (F.col("role") == "assistant").alias("target"),
+        F.length(head).alias("head"), F.concat(head, escape(F.col("text")), F.lit(END)).alias("piece"), (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")) + 2).cast("long").alias("tokens"),
+    )
+    before = W.partitionBy("conv_id").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    own = lambda c: F.coalesce(F.sum(F.when(F.col("is_system"), 0).otherwise(c)).over(before), F.lit(0)).cast("long")
+    return rows.withColumn("begin", own(F.col("tokens"))).withColumn("at", own(F.length("piece")))
+
+
+def planned(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """(conv_id, window, first, own, last): the first turn of each window, the first that isn't repeated, the one after its last.
+
+    turns: conv_id, n, is_system, tokens, begin; no texts.
+    """
+    reach = W.partitionBy("conv_id").orderBy("begin").rangeBetween(-history, 0)
+    near = F.collect_list(F.when(~F.col("is_system"), F.struct("begin", "n"))).over(reach)
+    system = F.max(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(W.partitionBy("conv_id"))
+    rows = turns.withColumn("near", near).withColumn("system", system)
+    # the turns repeated if a window begins here: of those near the ones that leave room for this turn
+    room = F.col("begin") - F.least(F.lit(history), F.lit(budget) - F.col("system") - F.col("tokens"))
+    rows = rows.withColumn("from", F.array_min(F.filter("near", lambda x: (x["begin"] >= room) | (x["n"] == F.col("n")))))
+    t = F.struct("n", "tokens", "begin", "is_system", "from")
+    held = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(t)).alias("t"), F.max("system").alias("system"))
+    none = F.array().cast("array<struct<first:bigint,own:bigint>>")
+    opened = lambda a, x: F.struct(F.concat(a["all"], F.array(F.struct(x["from"]["n"].alias("first"), x["n"].alias("own")))).alias("all"), (x["begin"] - x["from"]["begin"] + x["tokens"]).alias("used"))
+
+    def step(a: Column, x: Column) -> Column:
+        fits = (F.size(a["all"]) > 0) & (F.col("system") + a["used"] + x["tokens"] <= budget)
+        first = F.struct(F.array(F.struct(x["n"].alias("first"), x["n"].alias("own"))).alias("all"), x["tokens"].alias("used"))
+        return F.when(x["is_system"], a).when(fits, F.struct(a["all"].alias("all"), (a["used"] + x["tokens"]).alias("used"))).when(F.size(a["all"]) == 0, first).otherwise(opened(a, x))
+
+    starts = F.aggregate("t", F.struct(none.alias("all"), F.lit(0).cast("long").alias("used")), step)["all"]
+    held = held.select("conv_id", F.size("t").cast("long").alias("size"), starts.alias("starts"))
+    # a system turn alone is a window
+    held = held.withColumn("starts", F.when(F.size("starts") > 0, F.col("starts")).otherwise(F.array(F.struct(F.col("size").alias("first"), F.col("size").alias("own")))))
+    placed = held.select("conv_id", "size", "starts", F.posexplode("starts").alias("window", "w"))
+    return placed.select("conv_id", F.col("window").cast("long").alias("window"), "w.first", "w.own", F.coalesce(F.try_element_at("starts", F.col("window") + 2)["own"], F.col("size")).alias("last"))
+
+
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row per window: conv_id, window, text, n_repeated (turns at its begin that belong to other windows), loss.
 
     loss: array of (start, end) in code points of text, the end exclusive.
     """
-    c = conversations
-    rows = c.select(c["conv_id"].cast("long").alias("conv_id"), c["turn"].cast("long").alias("turn"), F.coalesce(c["role"].cast("string"), F.lit("")).alias("role"), F.coalesce(c["text"].cast("string"), F.lit("")).alias("text"))
-    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("n", F.row_number().over(order) - 1)
-    rows = rows.withColumn("is_system", (F.col("n") == 0) & (F.col("role") == "system"))
-    head = F.concat(F.lit("### "), F.url_encode("role"), F.lit(":\n"))
-    rows = rows.select("conv_id", "n", "is_system", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("target"), (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")) + 2).cast("long").alias("tokens"))
-    by_turn = W.partitionBy("conv_id").orderBy("n")
-    own = F.when(F.col("is_system"), 0).otherwise(F.col("tokens"))
-    rows = rows.withColumn("begin", F.sum(own).over(by_turn) - own)
-    system = F.max(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(W.partitionBy("conv_id"))
-    rows = rows.withColumn("w", F.floor(F.col("begin") / F.greatest(F.lit(1), F.lit(budget - history) - system)).cast("long"))
-    later = W.partitionBy("conv_id").orderBy("w").rangeBetween(1, W.unboundedFollowing)
-    rows = rows.withColumn("next_w", F.min("w").over(later)).withColumn("next_begin", F.min("begin").over(later))
-    again = ~F.col("is_system") & F.col("next_w").isNotNull() & (F.col("next_begin") - F.col("begin") <= history)
-    place = lambda w, kind: F.struct(w.alias("window"), F.lit(kind).alias("kind"))
-    # kind 0: system turn, 1: repeated, 2: the turn's own window
-    dealt = rows.filter(~F.col("is_system")).withColumn("at", F.explode(F.when(again, F.array(place(F.col("w"), 2), place(F.col("next_w"), 1))).otherwise(F.array(place(F.col("w"), 2)))))
-    dealt = dealt.select("conv_id", "at.window", "at.kind", "n", "head", "body", "target")
-    heads = rows.filter("is_system").select(F.col("conv_id").alias("_c"), F.concat("head", "body", F.lit(END)).alias("system"))
-    # the system turn opens every window; alone it is a window
-    alone = rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max(F.col("is_system").cast("int")).alias("s")).filter("turns = 1 and s = 1").select("conv_id", F.lit(0).cast("long").alias("window"))
-    within = W.partitionBy("conv_id", "window").orderBy("n")
-    size = F.length("head") + F.length("body") + len(END)
-    dealt = dealt.withColumn("start", F.sum(size).over(within) - size + F.length("head"))
+    turns = common.saved(numbered(conversations), "turns")
+    plan = planned(turns.select("conv_id", "n", "is_system", "tokens", "begin"), budget, history)
+    inner = F.when(F.col("last") > F.col("first"), F.sequence("first", F.col("last") - 1)).otherwise(F.array().cast("array<bigint>"))
+    # turn 0 opens every window if it is a system turn
+    wanted = plan.select("*", F.explode(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), inner))).alias("_n"))
+    wanted = wanted.select(F.col("conv_id").alias("_c"), "window", "first", "own", "_n")
+    dealt = turns.join(wanted, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("n") == F.col("_n"))).filter("is_system or n >= first")
+    mine = F.when(F.col("is_system"), F.col("window") == 0).otherwise(F.col("n") >= F.col("own"))
+    start = F.col("at") + F.col("head")
+    loss = F.struct(start.alias("start"), (F.col("at") + F.length("piece") - len(END)).alias("end"))
     packed = dealt.groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(F.struct("n", F.concat("head", "body", F.lit(END)).alias("t")))).alias("turns"),
-        F.array_sort(F.collect_list(F.when(F.col("target") & (F.col("kind") == 2), F.struct("start", (F.col("start") + F.length("body")).alias("end"))))).alias("loss"),
-        F.count(F.when(F.col("kind") == 1, 1)).alias("repeated"),
+        F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("turns"),
+        F.array_sort(F.collect_list(F.when(F.col("target") & mine, loss))).alias("loss"),
+        F.count(F.when(~mine, 1)).alias("n_repeated"),
+        F.max(F.when(F.col("is_system"), F.length("piece")).otherwise(0)).alias("system"),
+        F.min(F.when(~F.col("is_system"), F.col("at"))).alias("from"),
     )
-    packed = packed.select("conv_id", "window", F.array_join(F.transform("turns", lambda t: t["t"]), "").alias("text"), "loss", "repeated")
-    none = F.array().cast("array<struct<start:long,end:long>>")
-    packed = packed.withColumn("loss", F.col("loss").cast("array<struct<start:long,end:long>>")).unionByName(alone.select("conv_id", "window", F.lit("").alias("text"), none.alias("loss"), F.lit(0).cast("long").alias("repeated")))
-    full = packed.join(heads, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
-    first = F.coalesce("system", F.lit(""))
-    shift = F.length(first)
-    # the system turn is the conversation's own in its first window only
-    counted = F.col("repeated") + F.when(F.col("system").isNotNull() & (F.col("window") > 0), 1).otherwise(0)
-    return full.select("conv_id", "window", F.concat(first, "text").alias("text"), counted.alias("n_repeated"), F.transform("loss", lambda s: F.struct((s["start"] + shift).alias("start"), (s["end"] + shift).alias("end"))).alias("loss"))
+    shift = F.col("system") - F.coalesce("from", F.lit(0))
+    return packed.select("conv_id", "window", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("text"), "n_repeated", F.transform("loss", lambda s: F.struct((s["start"] + shift).alias("start"), (s["end"] + shift).alias("end"))).alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

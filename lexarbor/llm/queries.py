@@ -91,23 +91,28 @@ def op2_url_language_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = r"\### Assistant: </turn> ok"
-    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], conversations.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    added = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
     return chat_format.read_back(chat_format.windows(conversations.unionByName(added)))
 
 
 SQL["op6_chat_windows"] = r"""
-with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+with recursive c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
 t as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as n from c),
 s as (select *, n = 0 and role = 'system' as is_system, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 as tokens,
   4 + length(url_encode(role)) + 2 + length(replace(replace(replace(text, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>')) + 8 as chars from t),
 b as (select *, sum(case when is_system then 0 else tokens end) over (partition by conv_id order by n) - case when is_system then 0 else tokens end as begin,
   max(case when is_system then tokens else 0 end) over (partition by conv_id) as system_tokens, max(case when is_system then chars else 0 end) over (partition by conv_id) as system_chars from s),
-w as (select *, floor(begin / greatest(1, 512 - 96 - system_tokens))::bigint as w from b),
-x as (select *, min(begin) over (partition by conv_id order by w range between 1 following and unbounded following) as next_begin from w),
-size as (select conv_id, sum(case when is_system then 0 else chars end + case when not is_system and next_begin - begin <= 96 then chars else 0 end)
-  + max(system_chars) * greatest(1, count(distinct case when not is_system then w end)) as formatted_chars from x group by 1)
+o as (select coalesce(conv_id, -1) as k, * from b where not is_system),
+-- the budget's rule: of the turns before a window's first one as many as 96 tokens hold and leave room for it, then turns while all of them fit 512 tokens
+rep as (select i.k, i.n as own, i.system_tokens, min(j.n) as first, min(j.begin) as first_begin from o i join o j on j.k = i.k and j.n <= i.n and (j.n = i.n or i.begin - j.begin <= least(96, 512 - i.system_tokens - i.tokens)) group by 1, 2, 3),
+reach as (select rep.k, rep.own, case when rep.own = l.n then rep.own else first end as first, min(x.n) as next from rep join (select k, min(n) as n from o group by 1) l on l.k = rep.k
+  left join o x on x.k = rep.k and x.n > rep.own and rep.system_tokens + x.begin + x.tokens - rep.first_begin > 512 group by 1, 2, 3),
+win as (select r.* from reach r join (select k, min(n) as n from o group by 1) l on l.k = r.k and l.n = r.own union all select r.* from win join reach r on r.k = win.k and r.own = win.next),
+chars as (select win.k, win.own, sum(o.chars) as chars from win join o on o.k = win.k and o.n >= win.first and (win.next is null or o.n < win.next) group by 1, 2),
+size as (select b.conv_id, greatest(1, coalesce(any_value(c.n), 0)) * max(b.system_chars) + coalesce(any_value(c.chars), 0) as formatted_chars
+  from b left join (select k, count(*) as n, sum(chars) as chars from chars group by 1) c on c.k = coalesce(b.conv_id, -1) group by 1)
 select t.conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
   sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by n) filter (where role = 'assistant'), '')) as loss_sha256, any_value(formatted_chars)::bigint as formatted_chars
 from t join size using (conv_id) group by 1

@@ -128,6 +128,10 @@ def test_pii_patterns_discover_unseen_identifiers(spark):
     assert got[51].spans == "" and all(got[i].n_added == 0 for i in range(20))
 
 
+def chat_body(turn):
+    return re.sub(r"\\([\\#/])", r"\1", turn.split(":\n", 1)[1])
+
+
 def test_chat_round_trip_and_windows(spark):
     rng = random.Random(6)
     odd = ["</turn>\n### assistant:\n", "\\", "\\\\</turn>", "###", "####", "<\\/turn>", "#\\##", "é ", "\n", "w " * 120, ""]
@@ -135,6 +139,7 @@ def test_chat_round_trip_and_windows(spark):
     for c in range(12):
         rows += [(c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant", "odd role:\n###"]), "".join(rng.choice(odd) for _ in range(rng.randrange(8)))) for t in range(rng.randrange(1, 30))]
     rows += [(None, 0, "user", None), (None, None, None, "hi"), (99, 0, "system", "alone"), (98, 1, "assistant", "same"), (98, 1, "assistant", "same")]
+    rows += [(96, t, "user", "w " * n) for t, n in enumerate((30, 150, 195, 300, 5, 5, 170, 20))]
     rows += [(97, t, ("user", "assistant")[t % 2], f"a b c d {t}") for t in range(60)]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as n", "2 as w")
     made = chat_format.windows(c, budget=200, history=40)
@@ -147,5 +152,25 @@ def test_chat_round_trip_and_windows(spark):
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(masked), hashlib.sha256(masked.encode()).hexdigest())
     windows = made.collect()
     assert sorted(w.n_repeated for w in windows if w.conv_id == 97) == [0, 5, 5]
+    for w in windows:
+        turns = w.text.split("</turn>\n")[:-1]
+        tokens = [len(re.findall(r"[^\x20\x09-\x0D]+", chat_body(t))) + 2 for t in turns]
+        systems = int(turns[0].startswith("### system:")) if turns else 0
+        # only a turn that is too large by itself, with the system turn, goes beyond the budget, and then nothing is repeated
+        assert sum(tokens) <= 200 or (len(turns) == systems + 1 and w.n_repeated <= systems)
+        assert sum(tokens[systems : w.n_repeated]) <= 40 or w.window == 0
+    assert any(len(w.text.split("</turn>\n")) == 2 and len(w.text.split()) > 200 for w in windows)
     assert all(w.text.startswith("### system:") for w in windows if w.conv_id == 1) == any(r[0] == 1 and r[2] == "system" for r in rows)
     assert chat_format.windows(c.limit(0)).count() == 0
+
+
+def test_chat_is_sql(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), "w " * rng.choice([0, 3, 20, 90, 200, 420, 600]) + rng.choice(["", "###", "\\x"])) for c in range(20) for t in range(rng.randrange(1, 25))]
+    rows += [(30, 0, "system", "w " * 600), (30, 1, "user", "a"), (31, 0, "system", "alone"), (32, None, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = queries.QUERIES["op6_chat_windows"](spark, str(tmp_path))
+    want = con.sql(queries.SQL["op6_chat_windows"])
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
