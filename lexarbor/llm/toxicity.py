@@ -1,16 +1,18 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, trained from document labels.
 
 A sentence ends at `.`, `!`, `?` or a line feed. Its score is the logistic of a bias and a weight for each word and for each
-word's first bytes (hashed features). A document is toxic unless all its sentences are clean: 1 - prod(1 - p). Only
-documents are labelled; the likelihood of their labels trains the weights, and so finds out which sentences offend. When
-scoring, the bias's own share is taken off each sentence, and sentences whose features hardly raise it count nothing, so
-that a long clean document isn't toxic by its length.
-
-Training takes at most `sample` clean documents and a third as many toxic ones, of at most `longest` characters, those of least hash, never
-held-out ones, and weighs them by how many their label has; the weights are a table of fixed size. Scoring reads every
-text whole.
-
-Null and empty texts have no sentence and score 0. Rows with null or conflicting labels: null is no label, the highest
+word's first bytes (hashed features). The bias's own share is taken off: a sentence offends with p = (s(b + z) - s(b)) / (1 - s(b)), s
+being the logistic function and z the sum of its weights, or with 0 where that is negative, so that thousands of plain sentences
+don't add up. A document is toxic unless all its sentences are clean, and by a small chance (the leak) without any: 1 - (1 - leak) prod(1 - p).
+Only documents are labelled; the likelihood of their labels under this very combination trains the weights, and so finds out which
+sentences offend.
+
+Training takes at most `sample` clean documents and a third as many toxic ones, those of least hash, never held-out ones, one text for each
+doc_id (of repeated rows the first by code points), and weighs them by how many their label has; the weights are a table of fixed size. Documents
+of more than `longest` characters are left out of training, to bound the sample's memory; what only they show isn't learned. Scoring reads
+every text whole.
+
+Null and empty texts have no sentence and score the leak, as all documents without any sign do. Rows with null or conflicting labels: null is no label, the highest
 label of a doc_id counts. Without any labels every score is 0. A null doc_id hashes as empty text, and is held out.
 """
 
@@ -81,8 +83,8 @@ def useful_features(documents: DataFrame, bits: int, prefixes: tuple[int, ...])
     return out
 
 
-def fit(table: pa.Table, share: float, bits: int, rounds: int = 150, rate: float = 0.3, decay: float = 2e-3) -> tuple[np.ndarray, float]:
-    """Weights (with a 0 for no feature at the end) and bias that make the documents' labels likely.
+def fit(table: pa.Table, share: float, bits: int, rounds: int = 150, rate: float = 0.3, decay: float = 2e-3) -> tuple[np.ndarray, float, float]:
+    """Weights (with a 0 for no feature at the end), bias and leak that make the documents' labels likely.
 
     share: of all labelled documents, how many are toxic; the sample may have more.
     """
@@ -90,7 +92,7 @@ def fit(table: pa.Table, share: float, bits: int, rounds: int = 150, rate: float
     weights = np.zeros(size + 1)
     labels = table.column("label").to_numpy().astype(np.float64)
     if not len(labels) or labels.min() == labels.max():
-        return weights, (-20.0 if not len(labels) or labels[0] == 0 else 0.0)
+        return weights, 0.0, (0.0 if not len(labels) or labels[0] == 0 else 1.0)
     n = table.column("n").to_numpy().astype(np.int64)
     local, feature = (table.column(c).combine_chunks() for c in ("sentence", "feature"))
     doc = np.repeat(np.arange(len(labels)), np.diff(local.offsets.to_numpy()))
@@ -99,24 +101,31 @@ def fit(table: pa.Table, share: float, bits: int, rounds: int = 150, rate: float
     base = labels.mean()
     weight = np.where(labels == 1, share / base, (1 - share) / (1 - base))
     bias = np.log(share / (1 - share)) - np.log(max(1.0, len(of) / len(labels)))
-    m = np.zeros(size + 2)
-    v = np.zeros(size + 2)
+    leak = np.log(share / 10)  # of the hazard
+    m, v = np.zeros(size + 3), np.zeros(size + 3)
     for step in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sentence, weights=weights[feature], minlength=len(of)), -30, 30)))
-        clean = np.exp(np.bincount(of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(labels)))
-        slope = p * np.where(labels[of] == 1, -np.minimum(clean[of] / np.maximum(1 - clean[of], 1e-9), 1 / np.maximum(p, 1e-9)), 1.0) * weight[of]
-        g = np.r_[np.bincount(feature, weights=slope[sentence], minlength=size + 1), slope.sum()] / len(labels)
+        z = np.bincount(sentence, weights=weights[feature], minlength=len(of))
+        p, calm = (1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (bias + z, bias))
+        active = z >= 0
+        # hazards, -log(1 - p), add up
+        hazard = np.where(active, np.logaddexp(0, bias + z) - np.logaddexp(0, bias), 0)
+        total = np.exp(leak) + np.bincount(of, weights=hazard, minlength=len(labels))
+        clean = np.exp(-total)
+        slope = np.where(labels == 1, -clean / np.maximum(1 - clean, 1e-3), 1.0) * weight
+        down = slope[of] * active
+        g = np.r_[np.bincount(feature, weights=(down * p)[sentence], minlength=size + 1), (down * (p - calm)).sum(), slope.sum() * np.exp(leak)] / len(labels)
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        weights -= move[:-1]
+        weights -= move[:-2]
         weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * decay, 0)  # few features stay
-        bias -= 0.3 * move[-1]
+        bias -= 0.3 * move[-2]
+        leak = min(np.log(0.2), leak - 0.3 * move[-1])
     weights[size] = 0
-    return weights, float(bias)
+    return weights, float(bias), float(1 - np.exp(-np.exp(leak)))
 
 
-def scorer(weights, bias: float, bits: int, prefixes: tuple[int, ...], threshold: float):
+def scorer(weights, bias: float, leak: float, bits: int, prefixes: tuple[int, ...], threshold: float):
     """(doc_id, held_out, text) to (doc_id, held_out, score, sentences): the sentences that offend, in code points."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
@@ -127,9 +136,8 @@ def scorer(weights, bias: float, bits: int, prefixes: tuple[int, ...], threshold
                 features, sentence, of, start, end = instances(data, rows, bits, prefixes)
                 z = np.bincount(sentence, weights=table[features].sum(1), minlength=len(of))
                 p = 1 / (1 + np.exp(-np.clip(bias + z, -30, 30)))
-                # a sentence without a sign of offence counts nothing: thousands of them must not add up
-                sign = np.maximum(0, (p - calm) / (1 - calm)) * (z > 1)
-                score = 1 - np.exp(np.bincount(of, weights=np.log1p(-np.minimum(sign, 1 - 1e-12)), minlength=len(rows) - 1))
+                p = np.maximum(0, (p - calm) / (1 - calm))
+                score = 1 - (1 - leak) * np.exp(np.bincount(of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(rows) - 1))
                 bad = np.flatnonzero(p >= threshold)
                 points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
                 base = points[rows[of[bad]]]
@@ -141,21 +149,21 @@ def scorer(weights, bias: float, bits: int, prefixes: tuple[int, ...], threshold
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, fold: int = 0, sample: int = 3000, longest: int = 4000, bits: int = BITS, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, fold: int = 0, sample: int = 3000, longest: int = 40_000, bits: int = BITS, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_offending, sentences (array of start, end, p)."""
     texts = common.text_of(docs, "doc_id")
     told = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels[column].cast("int") > 0).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
-    # ids are chosen first: of the texts only the sample's, a bounded number, are moved
-    known = texts.filter(F.length("text") <= longest).select("doc_id").join(told.filter(~held_out(F.col("doc_id"), folds, fold)), "doc_id")
-    known = common.saved(known.distinct(), "known")
+    # ids are chosen first: of the texts only the sample's, one for each id, are moved
+    short = texts.filter(F.length("text") <= longest)
+    known = common.saved(short.select("doc_id").join(told.filter(~held_out(F.col("doc_id"), folds, fold)), "doc_id").distinct(), "known")
     least = [common.least_hashed(known.filter(F.col("label") == label), n) for label, n in ((0, sample), (1, max(1, sample // 3)))]
     chosen = common.saved(least[0].unionByName(least[1]), "chosen")
-    picked = common.saved(texts.filter(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select("label", "text"), "picked")
+    picked = common.saved(short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), "picked")
     total = told.filter(~held_out(F.col("doc_id"), folds, fold)).agg(F.avg(F.col("label").cast("double"))).first()[0]
     useful = useful_features(picked, bits, prefixes)
-    weights, bias = fit(picked.mapInArrow(featurizer(bits, prefixes, useful), FEATURES).toArrow(), min(max(total or 0.0, 1e-3), 1 - 1e-3), bits)
+    weights, bias, leak = fit(picked.mapInArrow(featurizer(bits, prefixes, useful), FEATURES).toArrow(), min(max(total or 0.0, 1e-3), 1 - 1e-3), bits)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    scored = texts.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text").mapInArrow(scorer(shared, bias, bits, prefixes, 0.5), "doc_id long, held_out boolean, score double, sentences array<struct<start:long,end:long,p:double>>")
+    scored = texts.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text").mapInArrow(scorer(shared, bias, leak, bits, prefixes, 0.5), "doc_id long, held_out boolean, score double, sentences array<struct<start:long,end:long,p:double>>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").cast("long").alias("n_offending"), "sentences")
 
 

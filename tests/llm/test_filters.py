@@ -44,11 +44,21 @@ def test_toxicity_learns_and_locates(spark):
     told = {r.doc_id: r for r in toxicity.score(docs, spark.createDataFrame([*labels, (3, None)], "doc_id long, toxic int")).collect()}
     held = [(told[i].predicted, y) for i, y in labels if told[i].held_out]
     assert len(held) > 40 and sum(p == y for p, y in held) >= 0.95 * len(held)
-    assert told[1000].score == told[1001].score == 0 and told[1002].predicted == 0
+    assert told[1000].score == told[1001].score < 0.3 and told[1002].predicted == 0
     s = told[None].sentences
     assert [("Fine. you scum. Fine."[x.start : x.end]) for x in s] == ["you scum"]
 
 
+def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
+    rows, labels = toxic_rows(200)
+    many = spark.range(30_000).selectExpr("2L as doc_id", "concat('you fool ', id) as text")
+    seen, real = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda table, *how: seen.append(table.num_rows) or real(table, *how))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(many)
+    told = toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), sample=60)
+    assert told.count() == 30_200 and len(seen) == 1 and seen[0] <= 80
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs, none = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.score(docs, none).collect()] == [0]
