@@ -34,6 +34,20 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
+#: All pairs: for tables of some thousand documents.
+SQL["op10_ngram_jaccard_join"] = r"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+sh as (select distinct r, array_to_string(ws[i : i + least(len(ws), 5) - 1], ' ') as s from (select r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from d where len(ws) > 0)),
+n as (select r, count(*) as n from sh group by 1),
+c as (select a.r as x, b.r as y, count(*) as inter from sh a join sh b on a.s = b.s and a.r < b.r group by 1, 2),
+l as (select x, y from c join n p on p.r = x join n q on q.r = y where 5 * inter >= 4 * (p.n + q.n - inter)),
+e as (select x, y from l union all select y, x from l),
+reach as (select r, r as t from d union select reach.r, e.y from reach join e on e.x = reach.t),
+named as (select reach.r, min(d.doc_id) as class_id from reach join d on d.r = reach.t group by 1)
+select doc_id, class_id, coalesce(n_links, 0)::bigint as n_links from d join named using (r) left join (select x as r, count(*) as n_links from e group by 1) using (r)
+"""
+
+
 @query
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
@@ -85,7 +99,41 @@ def op3_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_url_language_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(read(spark, sf_dir, "pages"))
+    return url_filter.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _smoothed(k: int) -> str:
+    """The models of order k: counts of the last k + 1 bytes, of their contexts, and Witten and Bell's mean with order k - 1."""
+    low = f"join p{k - 1} l on l.g = right(n.g, {2 * k})" if k else "cross join (select 1::double / 256 as pa, 1::double / 256 as pr) l"
+    mean = lambda c: f"case when n{c} > 0 then ({c} + t{c} * l.p{c}) / (n{c} + t{c}) else l.p{c} end as p{c}"
+    return f"""n{k} as (select right(g, {2 * (k + 1)}) as g, sum(a)::double as a, sum(r)::double as r from counts group by 1),
+c{k} as (select left(g, {2 * k}) as x, sum(a) as na, sum(r) as nr, sum((a > 0)::int)::double as ta, sum((r > 0)::int)::double as tr from n{k} group by 1),
+p{k} as (select n.g, {mean("a")}, {mean("r")} from n{k} n join c{k} c on c.x = left(n.g, {2 * k}) {low}),
+"""
+
+
+SQL["op2_url_language_model_ratio"] = (
+    r"""
+with rest as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+split as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from rest),
+j as (select *, case when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1' when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+  when (host = 'com' or host like '%.com') and starts_with(path, '/fr/') then 'com/fr/' when (host = 'com' or host like '%.com') and starts_with(path, '/de/') then 'com/de/' when (host = 'org' or host like '%.org') and starts_with(path, '/') then 'org/' end as rule from split),
+known as (select *, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' end as known, ('0x' || substr(md5(host || path), 1, 8))::bigint % 10 = 0 as left_out, lower(hex(encode(host || path))) as h from j),
+u as (select host, path, known, left_out, h, count(*) as c from known group by all),
+each as (select host, path, known, left_out, c, right('0000000000' || substr(h, 1, 2 * i), 12) as g from (select *, unnest(range(1, length(h) // 2 + 1)) as i from u)),
+counts as (select g, coalesce(sum(c) filter (known = 'allow' and not left_out), 0) as a, coalesce(sum(c) filter (known = 'block' and not left_out), 0) as r from each group by 1),
+"""
+    + "".join(_smoothed(k) for k in range(url_filter.ORDER + 1))
+    + rf"""scored as (select host, path, known, left_out, c, avg(ln(pa) - ln(pr)) as score from each join p{url_filter.ORDER} using (g) group by all),
+bins as (select round(greatest(-20, least(20, score)) * 100)::int as bin, sum(case when known = 'allow' then c else 0 end) as a, sum(case when known = 'block' then c else 0 end) as r from scored where left_out and known is not null group by 1),
+cuts as (select *, lag(bin) over (order by bin) as before, sum(a) over () as allowed, sum(r) over () as blocked,
+  coalesce(sum(a) over (order by bin rows between unbounded preceding and 1 preceding), 0) as under_a, coalesce(sum(r) over (order by bin rows between unbounded preceding and 1 preceding), 0) as under_r from bins),
+best as (select case when before is null then (bin - 0.5::double) / 100 else (bin + before)::double / 200 end as cut from cuts where allowed > 0 and blocked > 0 order by (allowed - under_a)::double / allowed + under_r::double / blocked desc, bin limit 1),
+has as (select coalesce(sum(a), 0) > 0 and coalesce(sum(r), 0) > 0 as models from counts)
+select page_id, k.host, k.path, rule, coalesce(k.known, case when not models then case when k.host || k.path = '' then 'block' else 'allow' end when score >= coalesce((select cut from best), 0) then 'allow' else 'block' end) as verdict
+from known k cross join has left join scored s on s.host = k.host and s.path = k.path
+"""
+)
 
 
 @query
@@ -124,6 +172,24 @@ def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+#: Base spans. What patterns discover is beyond SQL (an iteration of unknown length): equal wherever no pattern is sure enough to add any.
+SQL["op1_pii_bootstrap"] = r"""
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+p(k, kind) as (values (1, 'email'), (2, 'ip'), (3, 'card'), (4, 'phone')),
+f as (select r, 1 as k, regexp_extract_all(text, EMAIL) as ms, string_split_regex(text, EMAIL) as gaps from t union all select r, 2, regexp_extract_all(text, IP), string_split_regex(text, IP) from t
+  union all select r, 3, regexp_extract_all(text, CARD), string_split_regex(text, CARD) from t union all select r, 4, regexp_extract_all(text, PHONE), string_split_regex(text, PHONE) from t),
+m as (select r, k, unnest(range(1, len(ms) + 1)) as i, ms, gaps from f),
+s as (select r, k, ms[i] as v, regexp_replace(ms[i], '[^0-9]', '', 'g') as d, list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) as b from m),
+ok as (select r, k, b, b + length(v) as e from s where case k when 1 then true when 2 then len([x for x in string_split(v, '.') if length(ltrim(x, '0')) > 3 or coalesce(try_cast(ltrim(x, '0') as int), 0) > 255]) = 0
+  when 3 then length(d) between 16 and 19 and list_sum([case when (length(d) - i) % 2 = 0 then substr(d, i, 1)::int when substr(d, i, 1)::int > 4 then substr(d, i, 1)::int * 2 - 9 else substr(d, i, 1)::int * 2 end for i in range(1, least(length(d), 19) + 1)]) % 10 = 0
+  else length(d) between 8 and 15 end),
+told as (select r, string_agg(kind || ':' || b::bigint || ':' || e::bigint, ',' order by k, b) as spans, count(*) filter (k = 1) as n1, count(*) filter (k = 2) as n2, count(*) filter (k = 3) as n3, count(*) filter (k = 4) as n4 from ok join p using (k) group by 1)
+select doc_id, coalesce(n1, 0) as n_email, coalesce(n2, 0) as n_ip, coalesce(n3, 0) as n_card, coalesce(n4, 0) as n_phone, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans, 0::bigint as n_added from t left join told using (r)
+"""
+for _name, _find in (("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("IP", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"), ("CARD", r"[0-9](?:[\x20-]?[0-9])+"), ("PHONE", r"\+[0-9][\x20().0-9-]+[0-9]")):
+    SQL["op1_pii_bootstrap"] = SQL["op1_pii_bootstrap"].replace(_name, f"'{_find}'")
+
+
 @query
 def op8_language_id_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(read(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ weight of as many as it has different continuations. One is counted over all URL
 that rules block. A URL's score is the mean over its bytes of the difference of the log-likelihoods; it is allowed from
 a threshold on, which is where the balanced accuracy on rule-judged URLs that were left out of the counts is best.
 
-Counts, models and scores are tables joined by the bytes' 48-bit n-gram, so the models may grow with the corpus.
+A URL that many pages have is scored once. Counts, models and scores are tables joined by the bytes' 48-bit n-gram, so the models may grow with the corpus.
 
 A null url, or one without `://`, has empty host and path: no rule fits, nothing can be scored, and it is blocked. If
 rules allow or block nothing, there is no model to compare with, and what no rule judges is allowed. Rows are judged one
@@ -84,8 +84,8 @@ def model(counts: DataFrame, order: int) -> DataFrame:
 
 
 def _best_threshold(scored: DataFrame) -> float:
-    """Over bins of a hundredth (4001 at most): the cut with the best mean of both classes' shares on their side."""
-    bins = scored.groupBy(F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score"))) * 100).cast("int").alias("bin")).agg(F.sum(F.expr("int(verdict = 'allow')")).alias("a"), F.sum(F.expr("int(verdict = 'block')")).alias("r")).collect()
+    """Over bins of a hundredth (4001 at most): the cut with the best mean of both classes' shares on their side; c: rows of each."""
+    bins = scored.groupBy(F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score"))) * 100).cast("int").alias("bin")).agg(F.sum(F.expr("if(verdict = 'allow', c, 0)")).alias("a"), F.sum(F.expr("if(verdict = 'block', c, 0)")).alias("r")).collect()
     bins = sorted((b.bin, b.a, b.r) for b in bins)
     allowed, blocked = sum(b[1] for b in bins), sum(b[2] for b in bins)
     if not allowed or not blocked:
@@ -102,22 +102,27 @@ def _best_threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (null where nothing can be scored), threshold."""
     host, path = host_and_path(pages["url"].cast("string"))
-    split = pages.select(F.monotonically_increasing_id().alias("row"), pages["page_id"].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    split = pages.select(pages["page_id"].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = common.saved(split.select("*", name.alias("rule"), verdict.alias("known"), (F.pmod(F.xxhash64("host", "path"), F.lit(10)) == 0).alias("left_out")), "judged")
-    grams = common.saved(judged.select("row", F.concat("host", "path").alias("text")).mapInArrow(gram_lister(order), "row long, grams array<long>"), "grams")
-    each = judged.select("row", "known", "left_out").join(grams, "row").select("row", "known", "left_out", F.explode("grams").alias("gram"))
-    counts = each.groupBy("gram").agg(F.sum(F.expr("bigint(known = 'allow' and not left_out)")).alias("a"), F.sum(F.expr("bigint(known = 'block' and not left_out)")).alias("r"))
-    counts = common.saved(counts.select("gram", F.coalesce("a", F.lit(0).cast("long")).alias("a"), F.coalesce("r", F.lit(0).cast("long")).alias("r")), "counts")
+    judged = common.saved(split.select("*", name.alias("rule"), verdict.alias("known"), F.struct("host", "path").alias("at")), "judged")
+    # a URL is read once however many pages have it
+    left_out = F.conv(F.substring(F.md5(F.concat("at.host", "at.path")), 1, 8), 16, 10).cast("long") % 10 == 0
+    urls = judged.groupBy("at", "known").agg(F.count("*").alias("c"))
+    urls = common.saved(urls.select(F.monotonically_increasing_id().alias("row"), "at", "known", "c", left_out.alias("left_out")), "urls")
+    grams = common.saved(urls.select("row", F.concat("at.host", "at.path").alias("text")).mapInArrow(gram_lister(order), "row long, grams array<long>"), "grams")
+    each = urls.select("row", "known", "left_out", "c").join(grams, "row").select("row", "known", "left_out", "c", F.explode("grams").alias("gram"))
+    each = common.saved(each, "each")
+    counts = each.groupBy("gram").agg(F.sum(F.expr("if(known = 'allow' and not left_out, c, 0)")).alias("a"), F.sum(F.expr("if(known = 'block' and not left_out, c, 0)")).alias("r"), F.count("*").alias("n"))
+    counts = common.saved(counts.select("gram", F.coalesce("a", F.lit(0).cast("long")).alias("a"), F.coalesce("r", F.lit(0).cast("long")).alias("r"), "n"), "counts")
     both = counts.agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
     if not (both.a and both.r):
         return judged.select("page_id", "host", "path", "rule", F.coalesce("known", F.when(F.concat("host", "path") == "", "block").otherwise("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"))
-    likely = common.saved(model(counts, order), "model")
-    scores = each.select("row", "gram").join(likely, "gram").groupBy("row").agg(F.avg("difference").alias("score"))
-    scored = common.saved(judged.join(scores, "row", "left"), "scored")
-    cut = _best_threshold(scored.filter("left_out and known is not null and score is not null").select("score", F.col("known").alias("verdict")))
+    likely = common.saved(model(counts, order).join(counts.select("gram", "n"), "gram"), "model")
+    scores = common.lookup(each.select("row", "gram"), likely, "gram").groupBy("row").agg(F.avg("difference").alias("score"))
+    scored = common.saved(urls.join(scores, "row", "left"), "scored")
+    cut = _best_threshold(scored.filter("left_out and known is not null and score is not null").select("score", "c", F.col("known").alias("verdict")))
     own = F.when(F.col("score") >= cut, "allow").otherwise("block")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("known", own).alias("verdict"), "score", F.lit(cut).alias("threshold"))
+    return common.lookup(judged, scored.select("at", "score", F.col("c").alias("n")), "at").select("page_id", "host", "path", "rule", F.coalesce("known", own).alias("verdict"), "score", F.lit(cut).alias("threshold"))
 
 
 def allowed(pages: DataFrame, **how) -> DataFrame:

@@ -138,6 +138,76 @@ def test_pii_patterns_discover_unseen_identifiers(spark):
     assert got[51].spans == "" and all(got[i].n_added == 0 for i in range(20))
 
 
+CANDIDATE = r"(?<![A-Za-z0-9._/@+-])(?=[A-Za-z0-9._/+-]*@|(?:[A-Za-z._/@+-]*[0-9]){4})[A-Za-z0-9._/@+-]+"
+
+
+def brute_bootstrap(texts, support=5, accept=0.8):
+    """The spans that the generations add, and how many generations added some."""
+    edges, seeds, matched, seen, taken = set(), set(), set(), [], []
+    for d, t in enumerate(texts):
+        for kind, pattern in [*PII.items(), ("", CANDIDATE)]:
+            hits = list(re.finditer(pattern, t))
+            for i, m in enumerate(hits):
+                before = t[hits[i - 1].end() if i else 0 : m.start()][-60:].lower().split()
+                after = t[m.end() : hits[i + 1].start() if i + 1 < len(hits) else len(t)][:60].lower().split()
+                seed = bool(kind) and valid(kind, m.group())
+                if kind in ("email", "card") and not seed and len(m.group()) < 16:
+                    continue
+                value = re.sub("[^0-9]", "", m.group()) if kind == "card" else m.group().lower()
+                around = [" ".join([*before[-n:], "_"]) for n in (1, 2) if len(before) >= n] + [" ".join(["_", *after[:n]]) for n in (1, 2) if len(after) >= n]
+                around += [f"{before[-1]} _ {after[0]}"] if before and after else []
+                edges |= {(value, a) for a in around}
+                if kind:
+                    matched.add(value)
+                if seed:
+                    seeds.add((value, kind))
+                    taken.append((d, m.start(), m.end()))
+                if not kind:
+                    seen.append((d, m.start(), m.end(), value, around))
+    known, rounds = dict(seeds), 0
+    while True:
+        of = {}
+        for value, a in edges:
+            of.setdefault(a, set()).add(value)
+        sure = {(a, k): sum(known.get(v) == k for v in values) for a, values in of.items() for k in PII}
+        trust = {(a, k): n / (len(of[a]) + 1) for (a, k), n in sure.items() if n >= support}
+        new = {}
+        for *_, value, _ in seen:
+            if value in known or value in matched:
+                continue
+            mine = [a for v, a in edges if v == value]
+            best = lambda k, right: max([trust.get((a, k), 0) for a in mine if a.startswith("_ ") == right], default=0)
+            score, kind = max((1 - (1 - best(k, False)) * (1 - best(k, True)), -i) for i, k in enumerate(PII))
+            if score >= accept:
+                new[value] = list(PII)[-kind]
+        if not new:
+            break
+        known |= new
+        rounds += 1
+    spans = [f"{d}:{known[v]}:{s}:{e}" for d, s, e, v, _ in seen if v in known and v not in matched and all(e <= a or b <= s for x, a, b in taken if x == d)]
+    return sorted(spans), rounds
+
+
+def test_pii_accepted_instances_induce_patterns(spark):
+    texts = [f"note{i} please mail user{i}@host{i}.org at{i}" for i in range(40)]
+    texts += [f"a{i} please mail nick{i}@localhost b{i}" for i in range(8)] + [f"c{i} ping desk nick{i}@localhost d{i}" for i in range(8)]
+    texts += ["e ping desk anna@intern f", "g anna@intern over h"]
+    # the third generation: only with anna are enough of those before "over" known
+    texts += [f"i{i} nick{i}@localhost over k{i}" for i in range(8)] + ["m zoe@far over n", "p zoe@far q", "r 12345678 s", "ping desk user1@host1.org"]
+    got = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    told = pii.spans(got)
+    rows = {r.row: r.doc_id for r in told[0].collect()}
+    added = sorted(f"{rows[r.row]}:{list(PII)[r.kind]}:{r.start}:{r.end}" for r in told[1].filter("not base").collect())
+    want, rounds = brute_bootstrap(texts)
+    assert rounds == 3 and added == want and [sum(name in texts[int(x.split(":")[0])] for x in want) for name in ("nick", "anna", "zoe")] == [24, 2, 2]
+
+
+def test_pii_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a@b.c d"), (1, "a@b.c d"), (None, "1.2.3.4"), (2, None)]
+    got = sorted(((r.doc_id, r.spans) for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, "email:0:5"), (1, "email:0:5"), (None, "ip:0:7"), (2, "")], key=str)
+
+
 def chat_body(turn):
     return re.sub(r"\\([\\#/])", r"\1", turn.split(":\n", 1)[1])
 
