@@ -8,8 +8,8 @@ all partitions, which is its trie: the longest prefix that a node shares with a
 and nodes that meet none above the least depth are left out from there on. Matching begins at the full paths. Nodes whose
 prefixes match form candidate components; within a component all pairs not compared before are compared exactly, by counting
 common shingles in one task. The similarities of the links found so far say how many more there are: a link of similarity s is
-met at depth d in one of the trees with probability 1 - (1 - s^d)^trees. The prefixes are shortened, a value at a time, until the
-recall so measured reaches target, or the depth at which even links right at the threshold are met that surely (prefix_depth).
+met at depth d in one of the trees with probability 1 - (1 - s^d)^trees. The prefixes are shortened to the depth that these figures
+ask for, and measured again, until the recall reaches target, or the depth at which even links right at the threshold are met that surely (prefix_depth).
 
 Components beyond CELL_NODES nodes or CELL_SHINGLES shingles are dealt out by trie node instead, and a trie node
 beyond these limits in pairs of blocks, where a pair counts in the first tree it shares: nothing is left out, and no
@@ -254,11 +254,12 @@ def comparer(threshold: float):
     return run
 
 
-def measured_recall(found: dict[int, int], depth: int, trees: int) -> float:
-    """From the links found (by hundredths of similarity) the share that they are of all, each met with its probability."""
-    met = {s: 1 - (1 - (s / 100) ** depth) ** trees for s in found}
-    total = sum(found.values())
-    return total / sum(n / met[s] for s, n in found.items()) if total else 0.0
+def measured_recall(found: dict[int, int], depth: int, trees: int, at: int | None = None) -> float:
+    """From the links found down to a depth (by hundredths of similarity, each met with its probability) the share that they are
+    of all; or the share that is to be expected `at` another depth."""
+    met = lambda s, d: 1 - (1 - (s / 100) ** d) ** trees
+    total = sum(n / met(s, depth) for s, n in found.items())
+    return sum(n * (met(s, at) / met(s, depth) if at else 1) for s, n in found.items()) / total if total else 0.0
 
 
 def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 24, max_depth: int = 8, target: float = 0.9999, seed: int = 7, cell_nodes: int = CELL_NODES, cell_shingles: int = CELL_SHINGLES, prints: Callable = fingerprints, depths: list | None = None) -> DataFrame:
@@ -285,7 +286,7 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 24, m
     trie = common.saved(paths.repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node").mapInArrow(walker(max_depth, least), "tree int, path binary, node long, deep int"), "trie")
     held = held.drop("paths")
 
-    depth, done, rounds, bins = max_depth, None, [], {}
+    depth, before, done, rounds, bins = max_depth, None, None, [], {}
     while True:
         met = trie.filter(F.col("deep") >= depth).select("node", F.expr(f"xxhash64(tree, substring(path, 1, {2 * depth}))").alias("bucket"))
         shared = common.saved(met.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("in_bucket")).filter("in_bucket > 1"), "shared")
@@ -296,7 +297,7 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 24, m
         whole = sized.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n").alias("weight"), (F.count("done") < F.count("*")).alias("some"), F.min("done").alias("low"), F.max("done").alias("high"))
         whole = common.saved(whole.select("root", "nodes", (F.col("some") | (F.col("low") < F.col("high"))).alias("fresh"), ((F.col("nodes") <= cell_nodes) & (F.col("weight") <= cell_shingles)).alias("fits")), "whole")
         routed = common.saved(common.lookup(sized, whole, "root", "nodes"), "routed")
-        found = common.saved(_compared(texts, signed, met, routed, threshold, trees, max_depth, depth, cell_nodes, cell_shingles, setter(k, prints)), "found")
+        found = common.saved(_compared(texts, signed, met, routed, threshold, trees, max_depth, depth, before, cell_nodes, cell_shingles, setter(k, prints)), "found")
         rounds.append(found.filter("node is not null"))
         for r in found.filter("node is null").groupBy("root").agg(F.sum("links").alias("n")).collect():
             bins[r.root] = bins.get(r.root, 0) + r.n
@@ -307,7 +308,9 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 24, m
         if recall >= target or depth <= least:
             break
         done = common.saved(routed.select("node", F.when(F.col("fits"), F.col("root")).otherwise(F.col("done")).alias("done")), "done")
-        depth -= 1
+        before = depth
+        # the longest prefix at which the recall is to be expected; what is met there tells whether that was right
+        depth = next((d for d in range(depth - 1, least, -1) if measured_recall(bins, depth, trees, d) >= target), least) if bins else depth - 1
 
     found = functools.reduce(DataFrame.unionByName, rounds)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -322,19 +325,22 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 24, m
     return linked_.unionByName(alone)
 
 
-def _compared(texts: DataFrame, signed: DataFrame, met: DataFrame, routed: DataFrame, threshold: float, trees: int, max_depth: int, depth: int, cell_nodes: int, cell_shingles: int, sets_of: Callable) -> DataFrame:
+def _compared(texts: DataFrame, signed: DataFrame, met: DataFrame, routed: DataFrame, threshold: float, trees: int, max_depth: int, depth: int, before: int | None, cell_nodes: int, cell_shingles: int, sets_of: Callable) -> DataFrame:
     """comparer()'s rows for the candidates that meet at this depth and haven't been compared."""
     none, ids = F.lit(None).cast("int"), ["node", "_k", "raw", "check", "copies", "done"]
     one = routed.filter("fits and fresh").select(*ids, F.col("root").alias("cell"), none.alias("left"), none.alias("right"), F.lit(0).alias("block"))
-    dealt = met.select("node", "bucket").join(routed.filter("not fits").select(*ids, "n"), "node")
-    loads = dealt.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / (cell_nodes / 2)), F.ceil(F.sum("n") / (cell_shingles / 2))).cast("int").alias("blocks"), F.count("*").alias("in_bucket"))
-    loads, dealt = common.saved(loads, "loads"), common.saved(dealt, "dealt")
-    block = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
-    pairs = common.lookup(dealt, loads, "bucket", "in_bucket").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = pairs.select(*ids, F.col("bucket").alias("cell"), F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block")
-    cells = common.saved(one.unionByName(many), "cells")
+    cells = one
+    if not routed.filter("not fits").isEmpty():
+        dealt = met.select("node", "bucket").join(routed.filter("not fits").select(*ids, "n"), "node")
+        loads = dealt.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / (cell_nodes / 2)), F.ceil(F.sum("n") / (cell_shingles / 2))).cast("int").alias("blocks"), F.count("*").alias("in_bucket"))
+        loads, dealt = common.saved(loads, "loads"), common.saved(dealt, "dealt")
+        block = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
+        pairs = common.lookup(dealt, loads, "bucket", "in_bucket").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        many = pairs.select(*ids, F.col("bucket").alias("cell"), F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block")
+        cells = one.unionByName(many)
+    cells = common.saved(cells, "cells")
     at = lambda d: F.expr(f"transform(sequence(0, {trees - 1}), t -> xxhash64(t, substring(paths, {2 * max_depth} * t + 1, {2 * d})))")
-    earlier = at(depth + 1) if depth < max_depth else F.expr(f"transform(sequence(0, {trees - 1}), t -> cast(node as long))")
+    earlier = at(before) if before else F.expr(f"transform(sequence(0, {trees - 1}), t -> cast(node as long))")
     big = cells.filter("left is not null").select("node", "_k").distinct()
     tries = signed.select("node", common.id_key(F.col("doc_id")).alias("_k"), "paths").join(big, ["node", "_k"]).groupBy("node", "_k").agg(F.min("paths").alias("paths")).select("node", at(depth).alias("prefixes"), earlier.alias("earlier"))
     carriers = cells.select("_k").distinct()
