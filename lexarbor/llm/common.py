@@ -65,6 +65,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows that are worth a task of their own in narrow().
+TASK_ROWS = 2000
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more tasks than its counted rows are worth (8 at least): a small table isn't dealt over as many as a large one."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(8, rows // TASK_ROWS)
+    return df.coalesce(wanted) if wanted < most else df
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables that saved() wrote and nothing reads any more."""
     for table in tables:
@@ -87,9 +98,10 @@ class IdFilter:
     a full filter lets more rows through, never fewer. What passes still needs an exact join.
     """
 
-    def __init__(self, ids: DataFrame, column: str, bits: int | None = None):
-        if bits is None:
-            bits = 1 << min(30, max(20, (16 * max(1, ids.count())).bit_length()))
+    def __init__(self, ids: DataFrame, column: str, count: int | None = None):
+        """count: the number of ids or more, if it is known; else they are counted."""
+        count = ids.count() if count is None else count
+        bits = 1 << min(30, max(20, (16 * max(1, count)).bit_length()))
         self.bits = bits
         pos = self._pos(F.col(column))
         self.rows = ids.select((pos / BITMAP_BITS).cast("int").alias("_bucket"), (pos % BITMAP_BITS).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
@@ -153,12 +165,12 @@ def hot_limit(counts: DataFrame, n: str = "n") -> int:
     return max(100, total // HOT_KEYS)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
     """rows joined with table (one row a key, which n rows have): hot keys by broadcast, the others by shuffle.
 
-    Both should be written tables, as they are read twice. Which keys are hot changes the plan, never the result.
+    Both should be written tables, as they are read twice. total: the sum of n, if it is known. Which keys are hot changes the plan, never the result.
     """
-    limit = hot_limit(table, n)
+    limit = hot_limit(table, n) if total is None else max(100, total // HOT_KEYS)
     hot = F.broadcast(table.filter(F.col(n) > limit))
     cool = rows.join(hot.select(key), key, "left_anti").join(table.filter(F.col(n) <= limit), key)
     return rows.join(hot, key).unionByName(cool)
@@ -188,19 +200,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     hub's edges.
     """
     ensure_checkpoint_dir(edges.sparkSession)
+    told = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     hang = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    before = None
+    before = told(hang)
     for _ in range(rounds):
+        hang = narrow(hang, before.n)
         both = hang.unionByName(hang.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "low")
+        low = saved(narrow(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), before.n), "low")
         # large star: larger neighbours of u go to u's smallest
-        large = saved(lookup(both, low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        large = saved(narrow(lookup(both, low, "u", total=2 * before.n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), before.n), "large")
         # small star: u and its smaller neighbours go to the smallest; u has few smaller ones, the smallest of each star
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        hang = small.checkpoint()
+        hang = narrow(small, before.n).checkpoint()
         dropped(low, large)
-        now = hang.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        now = told(hang)
         if before == now:
             roots = hang.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -45,13 +45,14 @@ def rank() -> Column:
 class Run:
     """A sorted table (digest, stays, n) in the shared folder, its level and the filter of its digests."""
 
-    def __init__(self, entries: DataFrame, level: int):
-        self.level, spark = level, entries.sparkSession
+    def __init__(self, entries: DataFrame, level: int, rows: int):
+        """rows: how many entries there are at most, for the filter's size."""
+        self.level, self.rows, spark = level, rows, entries.sparkSession
         path = common.scratch_path(spark, f"run-{level}")
         entries.select("digest", "stays", "n").sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
         self.table = spark.read.schema(entries.select("digest", "stays", "n").schema).parquet(path)
         self.table.scratch = path
-        self.filter = common.IdFilter(self.table.select(F.xxhash64("digest").alias("h")), "h")
+        self.filter = common.IdFilter(self.table.select(F.xxhash64("digest").alias("h")), "h", rows)
 
     def known(self, rows: DataFrame) -> DataFrame:
         """rows with _maybe: false where this run doesn't hold the digest for sure."""
@@ -59,14 +60,15 @@ class Run:
 
 
 class LsmIndex:
-    """Runs of digests by level. merged: how many digests compactions had to merge by shuffle, and how many passed by the filters."""
+    """Runs of digests by level. merged, if counted: how many digests compactions had to merge by shuffle, and how many passed by the filters."""
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.runs, self.merged = fanout, [], (0, 0)
+    def __init__(self, fanout: int = FANOUT, counted: bool = False):
+        self.fanout, self.runs, self.counted, self.merged = fanout, [], counted, (0, 0)
 
-    def flush(self, memtable: DataFrame) -> None:
-        """Adds the rows (digest, doc_id, size, row) as a run and compacts levels that are full."""
-        self.runs.append(Run(memtable.groupBy("digest").agg(F.min(rank()).alias("stays"), F.count("*").alias("n")), 0))
+    def flush(self, memtable: DataFrame, rows: int | None = None) -> None:
+        """Adds the rows (digest, doc_id, size, row), `rows` at most, as a run and compacts levels that are full."""
+        rows = memtable.count() if rows is None else rows
+        self.runs.append(Run(memtable.groupBy("digest").agg(F.min(rank()).alias("stays"), F.count("*").alias("n")), 0, rows))
         while sum(r.level == self.runs[-1].level for r in self.runs) >= self.fanout:
             self.compact(self.runs[-1].level)
 
@@ -84,9 +86,10 @@ class LsmIndex:
             rows = common.saved(rows, "sifted")
             one, more = rows.filter("not _shared").drop("_shared"), rows.filter("_shared").drop("_shared")
             alone, shared = (one, more) if alone is None else (alone.unionByName(one), shared.unionByName(more))
-        self.merged = (self.merged[0] + shared.count(), self.merged[1] + alone.count())
+        if self.counted:
+            self.merged = (self.merged[0] + shared.count(), self.merged[1] + alone.count())
         shared = shared.groupBy("digest").agg(F.min("stays").alias("stays"), F.sum("n").alias("n"))
-        self.runs = [r for r in self.runs if r not in runs] + [Run(alone.unionByName(shared), max(r.level for r in runs) + 1)]
+        self.runs = [r for r in self.runs if r not in runs] + [Run(alone.unionByName(shared), max(r.level for r in runs) + 1, sum(r.rows for r in runs))]
         for run in runs:
             common.dropped(run.table)
 
@@ -108,13 +111,13 @@ def report(docs: DataFrame, digest: Callable[[Column], Column] = sha256, memtabl
     texts = common.text_of(docs, "doc_id").select("doc_id", F.length("text").alias("size"), normalised(F.col("text")).alias("norm"))
     entries = texts.select(F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("task"), digest(F.col("norm")).alias("digest"), "doc_id", "size", sha256(F.col("norm")).alias("sha"))
     entries = common.saved(entries, "entries")
-    index = LsmIndex(fanout)
+    index, sizes = LsmIndex(fanout), {r.m: r.n for r in entries.groupBy((F.col("task") % memtables).alias("m")).agg(F.count("*").alias("n")).collect()}
     for m in range(memtables):
-        index.flush(entries.filter(F.col("task") % memtables == m))
+        index.flush(entries.filter(F.col("task") % memtables == m), sizes.get(m, 0))
     index.compact()
     # digests of one row are in no group: only the others are looked up
     groups = common.saved(index.runs[0].table.filter("n > 1"), "groups")
-    sifted = common.IdFilter(groups.select(F.xxhash64("digest").alias("h")), "h").split(entries, F.xxhash64("digest"))
+    sifted = common.IdFilter(groups.select(F.xxhash64("digest").alias("h")), "h", sum(sizes.values()) // 2).split(entries, F.xxhash64("digest"))
     several = common.saved(sifted.filter("_maybe").drop("_maybe"), "several")
     hits = common.saved(common.lookup(several, groups, "digest"), "hits")
     differ = common.saved(_differ(texts, hits, digest), "differ")

@@ -284,7 +284,7 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 24, m
     size = 2 * max_depth
     paths = held.select("node", "paths", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("tree", F.expr(f"substring(paths, {size} * tree + 1, {size})").alias("path"), "node")
     trie = common.saved(paths.repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node").mapInArrow(walker(max_depth, least), "tree int, path binary, node long, deep int"), "trie")
-    held = held.drop("paths")
+    trie, held = common.narrow(trie, trie.count()), held.drop("paths")
 
     depth, before, done, rounds, bins = max_depth, None, None, [], {}
     while True:

@@ -37,7 +37,7 @@ def test_exact_groups_with_strong_and_weak_digests(spark, digest):
 def test_exact_filters_skip_runs(spark):
     rows = [(i, f"text {i % 350}", "s") for i in range(400)]
     entries = table(spark, rows).selectExpr("unhex(sha2(text, 256)) as digest", "doc_id", "length(text) as size", "doc_id as row")
-    index = exact_dedup.LsmIndex(fanout=3)
+    index = exact_dedup.LsmIndex(fanout=3, counted=True)
     for part in range(5):
         index.flush(entries.filter(F.col("doc_id") % 5 == part))
     # three of level 0 became one of level 1, two are left
