@@ -1,7 +1,7 @@
 """Exact dedup by a log-structured merge index of text digests. DataFrame functions only.
 
 The rows are dealt to memtables by the task that read them. A memtable is combined by digest and flushed as a run: a Parquet table
-sorted by digest (with its min/max statistics and Bloom filters) and a bitmap filter of its digests beside it. When
+sorted by digest (with its min/max statistics) and a bitmap filter of its digests beside it. When
 FANOUT runs of a level are there, they are compacted into one of the next level, written again: digests that no other run's filter
 knows go through as they are, without a shuffle, and the others are merged, keeping of each digest the row that stays and the number of rows.
 A lookup asks only those runs whose filter lets a digest pass; its hits are merged over the runs.
@@ -49,7 +49,7 @@ class Run:
         """rows: how many entries there are at most, for the filter's size."""
         self.level, self.rows, spark = level, rows, entries.sparkSession
         path = common.scratch_path(spark, f"run-{level}")
-        entries.select("digest", "stays", "n").sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+        entries.select("digest", "stays", "n").sortWithinPartitions("digest").write.parquet(path)
         self.table = spark.read.schema(entries.select("digest", "stays", "n").schema).parquet(path)
         self.table.scratch = path
         self.filter = common.IdFilter(self.table.select(F.xxhash64("digest").alias("h")), "h", rows)
