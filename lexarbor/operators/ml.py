@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexarbor.operators import evaluation, features, sampling
+from lexarbor.operators import dedup, evaluation, features, sampling
 
 
 def _numbered(terms: DataFrame) -> DataFrame:
@@ -46,19 +46,20 @@ def svm(train: DataFrame, label: str, rounds: int = 100):
 def pad_leaderboard(rows: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:
     """(group, n, error, pad), lowest distance first: how well an SVM tells each group (few: generators) from other rows.
 
-    rows have `features`. Of the rows of other groups each is drawn with the probability that gives as many as the group has,
-    by a hash of seed, group and key; a fifth of either side is held out. A group without other rows has no distance.
+    rows have `features`. A fifth of every group is held out, once for all distances. Of the rows of other groups each is drawn with
+    the probability that gives as many as the group has, by a hash of seed, group and key. A group without other rows has no distance.
     """
-    told, sizes = None, {r[0]: r[1] for r in rows.filter(F.col(group).isNotNull()).groupBy(group).count().collect()}  # a row a group
+    dedup.ensure_checkpoints(rows.sparkSession)
+    parts = sampling.split(rows.filter(F.col(group).isNotNull()).select(group, key, "features"), 0.2, key, seed, group).checkpoint()
+    told, sizes = None, {r[0]: r[1] for r in parts.groupBy(group).count().collect()}  # a row a group
     for g, n in sorted(sizes.items()):
         rest = sum(sizes.values()) - n
         if not rest:
             continue
         other = (F.col(group) != g) & (sampling.uniform(f"{seed}:{g}", F.col(key)) < n / rest)
-        pair = rows.filter((F.col(group) == g) | other).select(key, "features", (F.col(group) == g).cast("double").alias("label"))
-        parts = sampling.split(pair, 0.2, key, seed, "label")
-        model = svm(parts.filter("part = 'train'").drop("part"), "label")
-        one = model.transform(parts.filter("part = 'test'").drop("part")).select(F.lit(g).alias(group), F.lit(n).cast("long").alias("n"), F.col("label").alias("_actual"), "prediction")
+        pair = parts.filter((F.col(group) == g) | other).select(key, "features", "part", (F.col(group) == g).cast("double").alias("label"))
+        model = svm(pair.filter("part = 'train'").drop("part"), "label")
+        one = model.transform(pair.filter("part = 'test'").drop("part")).select(F.lit(g).alias(group), F.lit(n).cast("long").alias("n"), F.col("label").alias("_actual"), "prediction")
         told = one if told is None else told.unionByName(one)
     if told is None:
         told = rows.limit(0).select(group, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("_actual"), F.lit(0.0).alias("prediction"))

@@ -32,30 +32,44 @@ def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 hou
 
 
 def take_open(batch: DataFrame, done: DataFrame, key: str, quotas: dict[str, int]) -> DataFrame:
-    """The records of a batch that the sink lacks and its quotas still want, first by key."""
+    """The records of a batch that the sink lacks and its quotas (a row a label) still want, first by key."""
     new = batch.dropDuplicates([key]).join(done.select(key), key, "left_anti")
-    want = generation.progress(done, quotas).select("label", "remaining")
-    # as in sampling: a rank per label, over records not yet taken
-    ranked = new.join(F.broadcast(want), "label").withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy(key)))
-    return ranked.filter("_r <= remaining").drop("_r", "remaining")
+    return _first(new, generation.progress(done, quotas).select("label", "remaining"), key)
+
+
+#: Parts of a label that are ranked by themselves before the ranks of a whole label are made.
+PARTS = 64
+
+
+def _first(new: DataFrame, want: DataFrame, key: str) -> DataFrame:
+    """The `remaining` records of each label that are first by key: within parts of a label, then of what those leave, so that
+    no task ranks more than a 64th of a label or 64 times its quota."""
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS))
+    near = new.join(F.broadcast(want), "label").withColumn("_r", F.row_number().over(W.partitionBy("label", part).orderBy(key))).filter("_r <= remaining")
+    return near.withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy(key))).filter("_r <= remaining").drop("_r", "remaining")
 
 
 def fill_quotas(stream: DataFrame, sink: str, rejects: str, checkpoint: str, key: str, quotas: dict[str, int] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Writes valid records to the sink (Parquet) until each label has its quota; those without text go to rejects.
+    """Writes valid records to the sink (Parquet, partitioned by batch) until each label has its quota; those without text go to rejects.
 
-    A batch that is run again writes to the same folder again, so a lost driver repeats no record.
+    A batch that is run again writes to the same folder again, so a lost driver repeats no record. What earlier batches wrote is
+    one table: its keys and labels alone are read, batches listed once by the reader, and once all quotas are full not even these.
     """
     quotas = quotas or generation.QUOTAS
-    columns = [f for f in stream.schema.fields]
+    columns = T.StructType(stream.schema.fields)
+    state = {}
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [f"{sink}/batch={i}" for i in range(number)]
-        jpath = spark._jvm.org.apache.hadoop.fs.Path
-        held = [p for p in before if jpath(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath(p))]
-        done = spark.read.schema(T.StructType(columns)).parquet(*held) if held else spark.createDataFrame([], T.StructType(columns))
-        take_open(generation.valid(batch), done, key, quotas).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+        held = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         batch.filter(F.col("text").isNull()).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        if state.get("full_since", number) < number:
+            return
+        done = spark.read.schema(T.StructType([*columns.fields, T.StructField("batch", T.LongType())])).option("basePath", sink).parquet(sink).filter(F.col("batch") < number) if held else spark.createDataFrame([], columns)
+        take_open(generation.valid(batch), done.select(key, "label"), key, quotas).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        if held and generation.progress(done, quotas).filter("remaining > 0").isEmpty():
+            state["full_since"] = number
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

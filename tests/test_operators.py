@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 from collections import Counter
@@ -153,3 +154,15 @@ def test_retries_are_bounded(spark):
     rows = spark.range(6).withColumnRenamed("id", "k")
     made, rejects = ingest.with_retries(rows, lambda r, n: r.withColumn("text", F.when(F.col("k") <= n, "ok")), "k", 3)
     assert sorted(r.k for r in made.collect()) == [0, 1, 2] and rejects.count() == 3
+
+
+def test_draws_take_exactly_the_least_hashes(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else f"g{i % 3}") for i in range(400)] + [(7, "g1")] * 3 + [(None, "g0")], "id long, g string")
+    want = spark.createDataFrame([("g0", 1000), ("g1", 20), (None, 1)], "g string, _k long")
+    got = sampling.least(rows, ["g"], want, "id", 9)
+    assert got.count() == 404 and {(r.g, r.n) for r in got.filter("_least").groupBy("g").agg(F.count("*").alias("n")).collect()} == {("g0", rows.filter("g = 'g0'").count()), ("g1", 20), (None, 1)}
+    ranked = sorted((hashlib.md5(f"9:{r.id}".encode()).hexdigest(), r.id) for r in rows.filter("g = 'g1'").collect())
+    assert sorted(r.id for r in got.filter("_least and g = 'g1'").collect()) == sorted(i for _, i in ranked[:20])
+    plain = sampling.split(rows, 0.25, "id", 1)
+    assert plain.filter("part = 'test'").count() == 101 and sampling.split(rows.limit(0), 0.25, "id", 1, "g").isEmpty()
+    assert sampling.sample_per_group(rows, "g", 2, "id", 1).count() == 8
