@@ -33,6 +33,28 @@ def stats(docs: DataFrame, group: str, text: str = "text") -> DataFrame:
     return docs.groupBy(group).agg(F.count("*").alias("n_docs"), F.round(F.avg(n), 6).alias("mean_words"), F.round(F.avg(F.length(text)), 6).alias("mean_chars"), F.sum(F.length(text)).alias("sum_chars"))
 
 
+def overview(docs: DataFrame, channel: str, text: str = "text") -> DataFrame:
+    """One row: texts, different channels, and the mean words of a text."""
+    n = tx.word_count(F.coalesce(F.col(text), F.lit("")))
+    return docs.agg(F.count("*").alias("n_docs"), F.countDistinct(channel).alias("n_channels"), F.round(F.avg(n), 6).alias("mean_words"))
+
+
+#: Parts of a channel that are ranked by themselves first.
+PARTS = 64
+
+
+def newest(posts: DataFrame, channel: str, time: str, key: str, limit: int | None = None) -> DataFrame:
+    """The `limit` newest posts of each channel (null or none: all), in the order of channel, time and key, the oldest first.
+
+    Ranks within parts of a channel come first, so no task ranks more than a 64th of a channel, or 64 times the limit. Ties go by the larger key.
+    """
+    kept = posts
+    if limit is not None:
+        for parts in ([channel, F.pmod(F.xxhash64(key), F.lit(PARTS))], [channel]):
+            kept = kept.withColumn("_r", F.row_number().over(W.partitionBy(*parts).orderBy(F.desc_nulls_last(time), F.desc_nulls_last(key)))).filter(F.col("_r") <= limit).drop("_r")
+    return kept.orderBy(channel, time, key)
+
+
 def ngram_totals(docs: DataFrame, low: int, high: int, text: str = "text", min_chars: int = 2) -> DataFrame:
     """(term, n) over all documents: a map-side combined count of exploded n-grams."""
     return docs.select(F.explode(tx.word_ngrams(tx.tokens(F.coalesce(F.col(text), F.lit("")), min_chars), low, high)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import atexit
 import functools
+import hashlib
 import tempfile
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,26 +28,50 @@ def coefficients(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
     return out
 
 
-def token_hash(token):
-    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % PRIME
+#: Words of documents that are hashed together; a longer document is a piece of its own, in parts.
+PIECE = 1 << 17
+
+
+def _minima(words: pa.Array, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The minima of all permutations over each run of words that begins at starts (no run is empty)."""
+    coded = words.dictionary_encode()
+    own = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % PRIME for w in coded.dictionary.to_pylist()], np.int64)
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    out = np.empty((len(starts), len(table)), np.int64)
+    for i, (a, b) in enumerate(table):
+        out[:, i] = np.minimum.reduceat(((a * own + b) % PRIME)[at], starts)
+    return out
+
+
+def signatures(column: pa.Array, table: np.ndarray) -> np.ndarray:
+    """A row of minima for each list of words; of an empty one PRIME. Each word of a piece is hashed once."""
+    offsets = column.offsets.to_numpy()
+    out = np.full((len(column), len(table)), PRIME, np.int64)
+    row = 0
+    while row < len(column):
+        low, end = offsets[row], row + 1
+        while end < len(column) and offsets[end + 1] - low <= PIECE:
+            end += 1
+        held = row + np.flatnonzero(np.diff(offsets[row : end + 1]))
+        if end - row == 1:
+            for part in range(low, offsets[end], PIECE):  # a long document
+                out[row] = np.minimum(out[row], _minima(column.values[part : min(part + PIECE, offsets[end])], np.zeros(1, np.int64), table)[0])
+        elif len(held):
+            out[held] = _minima(column.values[low : offsets[end]], offsets[held] - low, table)
+        row = end
+    return out
 
 
 def bands(docs: DataFrame, words: str, order: str, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """(order, band, bucket) for each document that has words: MD5 over the `rows` minima of each band."""
     table = np.array(coefficients(permutations), np.int64)
 
-    @F.pandas_udf("array<long>")
-    def signature(hashes: pd.Series) -> pd.Series:
-        a, b = table[:, :1], table[:, 1:]
-        out = []
-        for h in hashes:
-            best = np.full(len(table), PRIME, np.int64)
-            for i in range(0, len(h), 4096):
-                best = np.minimum(best, ((a * np.asarray(h[i : i + 4096], np.int64)[None, :] + b) % PRIME).min(1))
-            out.append(best)
-        return pd.Series(out)
-
-    signed = docs.filter(F.size(words) > 0).select(order, signature(F.transform(F.array_distinct(words), token_hash)).alias("s"))
+    @F.arrow_udf("array<long>")
+    def signature(column: pa.Array) -> pa.Array:
+        minima = signatures(column, table)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(minima) + 1, dtype=np.int32) * len(table)), pa.array(minima.ravel()))
+
+    signed = docs.filter(F.size(words) > 0).select(order, signature(F.col(words)).alias("s"))
     cut = F.transform(F.sequence(F.lit(0), F.lit(permutations // rows - 1)), lambda i: F.md5(F.array_join(F.transform(F.slice("s", i * rows + 1, rows), lambda v: v.cast("string")), ",")))
     return signed.select(order, F.posexplode(cut).alias("band", "bucket"))
 
@@ -57,6 +82,15 @@ def first_match(banded: DataFrame, order: str) -> DataFrame:
     return banded.join(first, ["band", "bucket"]).filter(F.col("first") < F.col(order)).groupBy(order).agg(F.min("first").alias("first"))
 
 
+def verified(matches: DataFrame, docs: DataFrame, words: str, order: str) -> DataFrame:
+    """(order, first, jaccard): first_match()'s links with the exact Jaccard similarity of both documents' sets of words."""
+    sets = docs.select(F.col(order).alias("_d"), F.array_distinct(words).alias("_w"))
+    own = matches.join(sets.withColumnRenamed("_w", "_a"), F.col(order) == F.col("_d")).drop("_d")
+    both = own.join(sets.withColumnRenamed("_w", "_b"), F.col("first") == F.col("_d")).drop("_d")
+    common = F.size(F.array_intersect("_a", "_b"))
+    return both.select(order, "first", (common / (F.size("_a") + F.size("_b") - common)).alias("jaccard"))
+
+
 @functools.cache
 def _own_dir() -> str:
     folder = tempfile.TemporaryDirectory(prefix="lexarbor-")
@@ -65,8 +99,12 @@ def _own_dir() -> str:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
+    """A checkpoint folder: the one that the session names; a temporary one only where all runs in one process."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _own_dir())
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or _own_dir())
 
 
 def survivors(banded: DataFrame, order: str, rounds: int = 100) -> DataFrame:

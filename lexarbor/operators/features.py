@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexarbor.functions import text as tx
@@ -28,5 +29,5 @@ def tfidf(counts: DataFrame, terms: DataFrame, key: str, sublinear: bool = False
     """(key, term, w) with vectors of length one; terms that weren't fitted are left out."""
     tf = 1 + F.log(F.col("tf")) if sublinear else F.col("tf")
     raw = counts.join(terms.select("term", "idf"), "term").select(key, "term", (tf * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("w"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexarbor.sources import readers
+
 LABELS = ["junk", "single", "listing"]
 EVENT_MODELS = {
     "signup": "cerebras/qwen-3-235b-a22b-instruct-2507",
@@ -18,7 +20,7 @@ CONDITIONS, SEEDS, BASE = ["base", "tapt", "aug", "both"], [40, 41, 42, 43, 44],
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:

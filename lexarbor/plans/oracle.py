@@ -119,6 +119,18 @@ SQL = {
       select doc_id, round(coalesce(c, 0), 6) as max_cosine, round(coalesce(c, 0), 6) >= 0.9 as leaks from documents left join best using (doc_id)""",
     "minhash_bands": f"with {BANDS} select doc_id, band, bucket from bands",
     "near_dup_first_match": f"with {BANDS} select a.doc_id, min(b.doc_id) as first from bands a join bands b using (band, bucket) where b.doc_id < a.doc_id group by 1",
+    "near_dup_verified": f"""with {BANDS}, m as (select a.doc_id, min(b.doc_id) as first from bands a join bands b using (band, bucket) where b.doc_id < a.doc_id group by 1),
+      w as (select doc_id, list_distinct({TOKENS}) as w from documents), j as (select m.doc_id, first, len(list_intersect(x.w, y.w)) as c, len(x.w) + len(y.w) as n from m join w x on x.doc_id = m.doc_id join w y on y.doc_id = first)
+      select doc_id, first, round(c / (n - c)::double, 6) as jaccard, round(c / (n - c)::double, 6) >= 0.85 as near from j""",
+    "corpus_overview": f"select count(*) as n_docs, count(distinct source) as n_channels, round(avg(len({_words(chr(99) + 'oalesce(text, chr(32))')})), 6) as mean_words from documents",
+    "newest_posts": "select event_type, event_id from events qualify row_number() over (partition by event_type order by ts desc nulls last, event_id desc) <= 200",
+    "decontaminate": f"""with gold as (select doc_id, text || ' the end' as text from documents where source = 'src0'), docs as (select * from documents where {HASH} not in (select {HASH} from gold)),
+      t as (select (0, doc_id) as distinct_on, text from docs union all select (1, doc_id), text from gold), grams as """ + _grams("t") + """,
+      idf as (select gram, ln((1 + (select count(*) from t)) / (1 + count(*))::double) + 1 as idf from grams group by 1),
+      raw as (select distinct_on as id, gram, tf * idf as w from grams join idf using (gram)), norm as (select id, sqrt(sum(w * w)) as n from raw group by 1),
+      vec as (select id, gram, w / n as w from raw join norm using (id)),
+      dot as (select a.id[1] as side, a.id[2] as doc_id, b.id as item, sum(a.w * b.w) as c from vec a join vec b using (gram) where a.id[1] = 0 and b.id[1] = 1 group by all)
+      select doc_id from docs where doc_id not in (select doc_id from dot where round(c, 9) >= 0.9)""",
     "top_bigrams": _bigrams(""),
     "bigram_compare": f"select a.rank, a.term as left_term, a.n as left_n, b.term as right_term, b.n as right_n from ({_bigrams(chr(119) + 'here lang = ' + repr('en'))}) a join ({_bigrams(chr(119) + 'here lang = ' + repr('fr'))}) b using (rank)",
     "tfidf_terms": f"""with c as (select doc_id, term, count(*) as tf from (select doc_id, unnest({LONG_TOKENS}) as term from documents) group by all), n as (select count(*) as n from documents),

@@ -38,6 +38,16 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return corpus.stats(table(spark, d, "documents"), "source")
 
 
+@query
+def corpus_overview(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.overview(table(spark, d, "documents"), "source")
+
+
+@query
+def newest_posts(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.newest(table(spark, d, "events"), "event_type", "ts", "event_id", 200).select("event_type", "event_id")
+
+
 @query
 def length_filter(spark: SparkSession, d: str) -> DataFrame:
     kept = corpus.cleaned(table(spark, d, "documents"))
@@ -73,9 +83,19 @@ def fuzzy_leak(spark: SparkSession, d: str) -> DataFrame:
     return best.select("doc_id", _six("max_cosine"), (F.round("max_cosine", 6) >= leakage.THRESHOLD).alias("leaks"))
 
 
+@query
+def decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    golden = docs.filter("source = 'src0'").select(F.col("doc_id").alias("item_id"), F.concat("text", F.lit(" the end")).alias("text"))
+    return leakage.decontaminate(docs, golden, "doc_id", "item_id").select("doc_id")
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", tx.tokens(F.coalesce("text", F.lit(""))).alias("words"))
+
+
 def _banded(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select("doc_id", tx.tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    return dedup.bands(words, "words", "doc_id")
+    return dedup.bands(_words(spark, d), "words", "doc_id")
 
 
 @query
@@ -88,6 +108,12 @@ def near_dup_first_match(spark: SparkSession, d: str) -> DataFrame:
     return dedup.first_match(_banded(spark, d), "doc_id")
 
 
+@query
+def near_dup_verified(spark: SparkSession, d: str) -> DataFrame:
+    links = dedup.verified(dedup.first_match(_banded(spark, d), "doc_id"), _words(spark, d), "words", "doc_id")
+    return links.select("doc_id", "first", _six("jaccard"), (F.round("jaccard", 6) >= 0.85).alias("near"))
+
+
 @query
 def near_dup_survivors(spark: SparkSession, d: str) -> DataFrame:
     return dedup.survivors(_banded(spark, d), "doc_id")
@@ -311,7 +337,9 @@ def tfidf_logistic(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text").join(fx.predictions(spark, d).select("doc_id", "actual"), "doc_id")
     parts = sampling.split(docs.withColumn("label", (F.col("actual") == "junk").cast("double")), 0.2, "doc_id", 42, "actual")
     train, test = (parts.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
-    terms = features.fit(features.term_counts(train, "doc_id", 1, 1), train.count(), min_df=3, max_df=0.8, max_features=2000).cache()
+    terms = features.fit(features.term_counts(train, "doc_id", 1, 1), train.count(), min_df=3, max_df=0.8, max_features=2000)
+    dedup.ensure_checkpoints(spark)
+    terms = terms.checkpoint()
     fitted = ml.logistic(ml.vectors(train, terms, "doc_id", 1, 1), "label", rounds=30)
     return fitted.transform(ml.vectors(test, terms, "doc_id", 1, 1)).select("doc_id", "label", "prediction")
 

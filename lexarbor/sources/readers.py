@@ -79,3 +79,11 @@ def cartography(spark: SparkSession, path: str) -> DataFrame:
     """(id, history) from a file that maps ids to histories."""
     raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", schemas.CARTOGRAPHY).alias("m"))
     return raw.select(F.explode("m").alias("id", "v")).select("id", "v.history")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A table of files smaller than one scan split, dealt over the cores: its few row groups would else be as many tasks. Larger ones as they are."""
+    spark = rows.sparkSession
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return rows.repartition(spark.sparkContext.defaultParallelism) if 1 << 20 < size <= split else rows

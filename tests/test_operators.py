@@ -4,11 +4,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexarbor import schemas
-from lexarbor.operators import dedup, diversity, generation, leakage, sampling, similarity
+from lexarbor.operators import corpus, dedup, diversity, generation, leakage, sampling, similarity
 from lexarbor.sources import readers, sinks
 from lexarbor.streaming import ingest
 
@@ -166,3 +167,31 @@ def test_draws_take_exactly_the_least_hashes(spark):
     plain = sampling.split(rows, 0.25, "id", 1)
     assert plain.filter("part = 'test'").count() == 101 and sampling.split(rows.limit(0), 0.25, "id", 1, "g").isEmpty()
     assert sampling.sample_per_group(rows, "g", 2, "id", 1).count() == 8
+
+
+def test_signatures_are_brute_force(spark):
+    table = np.array(dedup.coefficients(8), np.int64)
+    rng = random.Random(5)
+    lists = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (3, 0, 7, 1, 200_000, 0, 5)]
+    code = lambda w: int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % dedup.PRIME
+    want = [[min(((int(a) * code(w) + int(b)) % dedup.PRIME for w in set(ws)), default=dedup.PRIME) for a, b in table] for ws in lists]
+    column = pa.array([["dropped"], *lists])[1:]  # a sliced array
+    assert dedup.signatures(column, table).tolist() == want and len(dedup.signatures(column[:0], table)) == 0
+
+
+def test_prefixes_lose_no_leak(spark):
+    rng = random.Random(2)
+    base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma"]) + str(rng.randrange(9)) for _ in range(12)) for _ in range(12)]
+    rows = [(i, " ".join(w for w in base[i % 12].split() if rng.random() > 0.15 * (i % 4))) for i in range(60)] + [(60, None), (61, "")]
+    df, gold = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(list(enumerate(base)), "item long, text string")
+    for threshold in (0.7, 0.9):
+        want = {r.id for r in leakage.similarity(df, gold, "id", "item").filter(F.round("max_cosine", 9) >= threshold).collect()}
+        got = [r.id for r in leakage.leaks(df, gold, "id", "item", threshold).collect()]
+        assert 0 < len(want) < 60 and sorted(got) == sorted(want)
+
+
+def test_newest_posts_and_overview(spark):
+    rows = spark.createDataFrame([("a", i % 7, i, "x y") for i in range(300)] + [("b", None, 1, None), ("b", 3, 2, "z")], "c string, t long, k long, text string")
+    got = [(r.c, r.t, r.k) for r in corpus.newest(rows, "c", "t", "k", 2).collect()]
+    assert got == [("a", 6, 293 - 7 + 0), ("a", 6, 293), ("b", None, 1), ("b", 3, 2)] and corpus.newest(rows, "c", "t", "k").count() == 302
+    assert tuple(corpus.overview(rows, "c").first()) == (302, 2, round((600 + 1) / 302, 6))
