@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -39,10 +40,17 @@ def split_words(text: Column) -> Column:
 
 
 def demojize(text: Column, names: dict[str, str] | None = None) -> Column:
-    """Emoji as names from a table that the caller supplies; without one the text stays."""
-    for emoji, name in (names or {}).items():
-        text = F.replace(text, F.lit(emoji), F.lit(name))
-    return text
+    """Emoji as names from a table that the caller supplies, the longest that fits first, in one pass; without one the text stays."""
+    if not names:
+        return text
+    pattern = F.lit("|".join(re.sub(r"([^\w\s])", r"\\\1", e) for e in sorted(names, key=len, reverse=True)))
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+
+    def named(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, pattern, F.lit(0)), lambda e: F.try_element_at(table, e))
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda piece, name: F.concat(piece, F.coalesce(name, F.lit("")))), "")
+
+    return let(text, lambda t: F.when(F.rlike(t, pattern), named(t)).otherwise(t))
 
 
 def clean(text: Column, emoji_names: dict[str, str] | None = None) -> Column:
@@ -59,6 +67,11 @@ def clean(text: Column, emoji_names: dict[str, str] | None = None) -> Column:
     return F.when(text.isNull() | (text == ""), EMPTY).otherwise(let(squeeze(t), short))
 
 
+def truncated(text: Column, words: int) -> Column:
+    """The first words of a text, as split by whitespace, one blank between: what a model with a bounded input is given."""
+    return F.array_join(F.slice(split_words(text), 1, words), " ")
+
+
 def word_count(text: Column) -> Column:
     return F.size(split_words(text))
 

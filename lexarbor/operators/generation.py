@@ -57,6 +57,20 @@ def benchmark(records: DataFrame) -> DataFrame:
     )
 
 
+#: The columns of a benchmark that a reader is shown.
+SHOWN = ["model", "records_count", "avg_latency_sec", "avg_tps", "total_cost_usd", "diversity_score"]
+
+
+def displayed(summary: DataFrame) -> DataFrame:
+    """The six columns that are shown, most diverse models first."""
+    return ranked(summary).select(SHOWN)
+
+
+def captured(records: DataFrame) -> DataFrame:
+    """Latencies as they are recorded: seconds with two decimals."""
+    return records.withColumn("latency_sec", F.round("latency_sec", 2))
+
+
 def ranked(summary: DataFrame) -> DataFrame:
     """Most diverse models first, those without a score last."""
     return summary.orderBy(F.desc_nulls_last("diversity_score"), "model")

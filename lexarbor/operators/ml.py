@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexarbor.operators import dedup, evaluation, features, sampling
 
@@ -19,15 +20,20 @@ def _numbered(terms: DataFrame) -> DataFrame:
 
 
 def vectors(docs: DataFrame, terms: DataFrame, key: str, low: int = 1, high: int = 2, sublinear: bool = True) -> DataFrame:
-    """docs with a sparse TF-IDF column `features`, of as many terms as were fitted (max_features bounds them)."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """docs with a sparse TF-IDF column `features`, of as many terms as were fitted (max_features bounds them).
+
+    The vectors are made in the JVM: a struct of the vector type's own fields, read as that type through JSON.
+    """
+    from pyspark.ml.linalg import VectorUDT
 
     numbered = _numbered(terms.select("term", "idf"))
     size = terms.count()
     weights = features.tfidf(features.term_counts(docs, key, low, high), numbered, key, sublinear).join(numbered.select("term", "i"), "term")
     packed = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("t"))
-    sparse = F.udf(lambda t: SparseVector(size, [x.i for x in t or []], [x.w for x in t or []]), VectorUDT())
-    return docs.join(packed, key, "left").withColumn("features", sparse("t")).drop("t")
+    held = F.coalesce("t", F.array().cast("array<struct<i:long,w:double>>"))
+    fields = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), F.transform(held, lambda x: x["i"]).alias("indices"), F.transform(held, lambda x: x["w"]).alias("values"))
+    read = F.from_json(F.to_json(F.struct(fields.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))
+    return docs.join(packed, key, "left").withColumn("features", read["v"]).drop("t")
 
 
 def logistic(train: DataFrame, label: str, c: float = 5.0, rounds: int = 1000):

@@ -16,6 +16,9 @@ EVENT_MODELS = {
     "click": "local/unpriced",
 }
 VOCABULARY = ["and", "the", "with", "of", "de", "la", "les", "und", "der", "nicht", "que", "los"]
+LEMMAS = {"los": "el", "las": "el", "la": "el", "les": "le", "die": "der", "das": "der", "dem": "der"}
+LEMMA_VOCABULARY = ["and", "the", "with", "of", "de", "el", "le", "und", "der", "nicht", "que"]
+EMOJI = {"\U0001f600": ":grin:", "\U0001f468": ":man:", "\U0001f468\u200d\U0001f4bb": ":coder:"}
 CONDITIONS, SEEDS, BASE = ["base", "tapt", "aug", "both"], [40, 41, 42, 43, 44], "base"
 
 

@@ -107,6 +107,11 @@ SQL = {
     "length_filter": f"select source, count(*) as n_docs, round(avg(n), 6) as mean_words from (select source, len({_words('clean_text')}) as n from ({CLEAN_DOCS}) where clean_text <> 'empty') where n >= 20 group by source",
     "relevance_score": f"""select doc_id, score from (select doc_id, len({_words('clean_text')}) as n, len(list_intersect(list_distinct(regexp_extract_all(lower(clean_text), '{tx.WORD}+')), {fx.VOCABULARY}))::int as score
       from ({CLEAN_DOCS}) where clean_text <> 'empty') where n >= 20 and score >= 2""",
+    "relevance_lemmas": f"""select doc_id, count(distinct lemma)::int as score from (select doc_id, coalesce(lemma, word) as lemma from
+      (select doc_id, unnest(regexp_extract_all(lower(clean_text), '{tx.WORD}+')) as word from ({CLEAN_DOCS}) where clean_text <> 'empty' and len({_words('clean_text')}) >= 20)
+      left join (values {", ".join(map(str, fx.LEMMAS.items()))}) t(word, lemma) using (word)) where list_contains({fx.LEMMA_VOCABULARY}, lemma) group by 1 having count(distinct lemma) >= 2""",
+    "emoji_names": f"select conv_id, turn, {list(fx.EMOJI.values())}[turn % 3 + 1] || coalesce(text, '') || {list(fx.EMOJI.values())}[conv_id % 3 + 1] as text from conversations",
+    "truncated_words": f"select doc_id, array_to_string(list_slice({_words(chr(99) + 'oalesce(text, chr(32))')}, 1, 128), ' ') as text from documents",
     "text_hash": f"select {HASH} as hash, min(doc_id) as first_id, count(*) as n from documents group by 1",
     "exact_leak_url": "select page_id from pages where coalesce(url, '') not in (select url from pages where contains(url, '/de/'))",
     "exact_leak_text": f"select doc_id from documents where source <> 'src0' and {HASH} not in (select {HASH} from documents where source = 'src0')",
@@ -189,7 +194,7 @@ SQL = {
     "pseudo_perplexity": "select event_type, round(exp(sum((event_id % 7) / 2.0::double * (event_id % 9)) / sum(event_id % 9)), 6) as pppl from events where event_id % 9 > 0 group by 1",
     "softmax_predict": """with l as (select vec_id, list_transform(embedding[1:3], lambda x: round(x::double, 4)) as z from embeddings), e as (select vec_id, z, list_transform(z, lambda x: exp(x - list_max(z))) as e from l)
       select vec_id, ['junk', 'single', 'listing'][list_position(z, list_max(z))] as label, round(list_max(e) / list_sum(e), 6) as p, round(-[1.0::double, 2.0::double, 0.5::double][(vec_id % 3 + 1)::int] * ln(e[(vec_id % 3 + 1)::int] / list_sum(e)), 6) as loss from e""",
-    "warmup_schedule": "select seed * 10 as step, round((2e-5::double * greatest(0.0::double, (500 - seed * 10) / 450.0::double)) * 1e6, 6) as rate from range(40, 45) t(seed)",
+    "warmup_schedule": "select step, round((case when step < 50 then 2e-5::double * step / 50 else 2e-5::double * greatest(0.0::double, (500 - step) / 450.0::double) end) * 1e6, 6) as rate from (select i * 140 + 10 as step from range(5) t(i))",
     "experiment_sizes": "select (select count(*) from documents) as train_size, (select count(*) from benchmark) as test_size, count(*) as aug_size, true as tapt_enabled, count(*) > 0 as aug_enabled from documents where lang = 'es'",
     "crawl_targets": "select * from (values ('one', 'https://t.me/one', null::varchar), ('two', 'https://t.me/two', null), ('+three', 'https://t.me/+three', null), ('group', 't.me/group', '689')) t(name, entity, topic_id)",
     "fill_quotas": f"""with g as (select record_id, label from ({fx.GENERATED_SQL}) where text is not null), q as (select * from (values ('junk', 2000), ('single', 1700), ('listing', 10)) t(label, quota)),

@@ -59,6 +59,24 @@ def relevance_score(spark: SparkSession, d: str) -> DataFrame:
     return corpus.relevant(corpus.cleaned(table(spark, d, "documents")), fx.VOCABULARY).select("doc_id", "score")
 
 
+@query
+def relevance_lemmas(spark: SparkSession, d: str) -> DataFrame:
+    dictionary = spark.createDataFrame(list(fx.LEMMAS.items()), "word string, lemma string")
+    return corpus.relevant_by_table(corpus.cleaned(table(spark, d, "documents")), "doc_id", fx.LEMMA_VOCABULARY, dictionary).select("doc_id", "score")
+
+
+@query
+def emoji_names(spark: SparkSession, d: str) -> DataFrame:
+    marks = F.array(*(F.lit(e) for e in fx.EMOJI))
+    text = F.concat(F.element_at(marks, (F.col("turn") % 3 + 1).cast("int")), F.coalesce("text", F.lit("")), F.element_at(marks, (F.col("conv_id") % 3 + 1).cast("int")))
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.demojize(text, fx.EMOJI).alias("text"))
+
+
+@query
+def truncated_words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", tx.truncated(F.coalesce("text", F.lit("")), 128).alias("text"))
+
+
 @query
 def text_hash(spark: SparkSession, d: str) -> DataFrame:
     hashed = table(spark, d, "documents").select("doc_id", tx.text_hash(F.col("text")).alias("hash"))
@@ -314,7 +332,7 @@ def _labelled_vectors(spark: SparkSession, d: str, labels: int) -> tuple[DataFra
 @query
 def lr_predict(spark: SparkSession, d: str) -> DataFrame:
     train, test = _labelled_vectors(spark, d, 10)
-    return ml.logistic(train, "label", rounds=50).transform(test).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+    return ml.logistic(train, "label").transform(test).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
 
 
 @query
@@ -337,11 +355,11 @@ def tfidf_logistic(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text").join(fx.predictions(spark, d).select("doc_id", "actual"), "doc_id")
     parts = sampling.split(docs.withColumn("label", (F.col("actual") == "junk").cast("double")), 0.2, "doc_id", 42, "actual")
     train, test = (parts.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
-    terms = features.fit(features.term_counts(train, "doc_id", 1, 1), train.count(), min_df=3, max_df=0.8, max_features=2000)
+    terms = features.fit(features.term_counts(train, "doc_id"), train.count(), min_df=3, max_df=0.8, max_features=15000)
     dedup.ensure_checkpoints(spark)
     terms = terms.checkpoint()
-    fitted = ml.logistic(ml.vectors(train, terms, "doc_id", 1, 1), "label", rounds=30)
-    return fitted.transform(ml.vectors(test, terms, "doc_id", 1, 1)).select("doc_id", "label", "prediction")
+    fitted = ml.logistic(ml.vectors(train, terms, "doc_id").checkpoint(), "label")
+    return fitted.transform(ml.vectors(test, terms, "doc_id")).select("doc_id", "label", "prediction")
 
 
 @query
@@ -382,7 +400,7 @@ def softmax_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def warmup_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return fx.runs(spark).select("seed").distinct().select((F.col("seed") * 10).alias("step")).select("step", F.round(evaluation.warmup_rate(F.col("step"), 500, 2e-5) * 1e6, 6).alias("rate"))
+    return fx.runs(spark).select("seed").distinct().select(((F.col("seed") - 40) * 140 + 10).alias("step")).select("step", F.round(evaluation.warmup_rate(F.col("step"), 500, 2e-5) * 1e6, 6).alias("rate"))
 
 
 @query

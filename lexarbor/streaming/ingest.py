@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexarbor.functions import text as tx
 from lexarbor.operators import generation, sampling
+from lexarbor.sources import readers
 
 
 def posts(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
@@ -37,6 +38,15 @@ def take_open(batch: DataFrame, done: DataFrame, key: str, quotas: dict[str, int
     return _first(new, generation.progress(done, quotas).select("label", "remaining"), key)
 
 
+def resume(spark: SparkSession, path: str, schema: str | T.StructType, quotas: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, rejects, progress) of a JSONL checkpoint: lines that parse and have a text and a label with a quota, lines that
+    don't parse, and what each quota still wants. A checkpoint without rows resumes from nothing."""
+    quotas = quotas or generation.QUOTAS
+    rows, rejects = readers.jsonl(spark, path, schema)
+    records = generation.valid(rows).filter(F.col("label").isin(list(quotas)))
+    return records, rejects, generation.progress(records, quotas)
+
+
 #: Parts of a label that are ranked by themselves before the ranks of a whole label are made.
 PARTS = 64
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexarbor import schemas
-from lexarbor.operators import corpus, dedup, diversity, generation, leakage, sampling, similarity
+from lexarbor.functions import text as tx
+from lexarbor.operators import corpus, dedup, diversity, embedding, features, generation, leakage, ml, sampling, similarity
 from lexarbor.sources import readers, sinks
 from lexarbor.streaming import ingest
 
@@ -195,3 +196,117 @@ def test_newest_posts_and_overview(spark):
     got = [(r.c, r.t, r.k) for r in corpus.newest(rows, "c", "t", "k", 2).collect()]
     assert got == [("a", 6, 293 - 7 + 0), ("a", 6, 293), ("b", None, 1), ("b", 3, 2)] and corpus.newest(rows, "c", "t", "k").count() == 302
     assert tuple(corpus.overview(rows, "c").first()) == (302, 2, round((600 + 1) / 302, 6))
+
+
+def test_lemmas_from_a_table(spark):
+    docs = spark.createDataFrame([(1, ["cats", "sat", "cats", "x"], "e"), (2, [], "e"), (3, None, None), (4, ["X", None, "ran"], "e")], "id long, words array<string>, lemma string")
+    table = spark.createDataFrame([("cats", "cat"), ("ran", "run"), ("ran", "ran2"), (None, "y"), ("X", None)], "word string, lemma string")
+    want = {1: ["cat", "sat", "cat", "x"], 2: [], 3: [], 4: ["X", "ran2"]}  # the least of two
+    for rows in (100, 2):  # broadcast, and joined by word and salt
+        got = corpus.lemmatised(docs, "id", "words", table, rows)
+        assert {r.id: [w for w in r.lemmas if w] for r in got.collect()} == want and got.columns == ["id", "words", "lemma", "lemmas"]
+    assert {r.id: r.lemmas for r in corpus.lemmatised(docs.filter("id = 1"), "id", "words", table.limit(0)).collect()} == {1: ["cats", "sat", "cats", "x"]}
+    cleaned = docs.select("id", F.lit("Cats sat").alias("clean_text"))
+    assert [r.score for r in corpus.relevant_by_table(cleaned, "id", ["cat", "sat"], table, 2).collect()] == [2] * 4
+
+
+def test_emoji_and_truncation(spark):
+    names = {"\U0001f468": ":man:", "\U0001f468‍\U0001f4bb": ":coder:", "*": ":star:"}
+    df = spark.createDataFrame([("\U0001f468‍\U0001f4bb a\U0001f468\U0001f468*",), ("plain",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(tx.demojize(F.col("t"), names)).collect()] == [":coder: a:man::man::star:", "plain", "", None]
+    assert [r[0] for r in df.select(tx.demojize(F.col("t"))).collect()] == [r.t for r in df.collect()]
+    cut = spark.createDataFrame([(" a  b\nc d ",), ("a",), ("",)], "t string").select(tx.truncated(F.col("t"), 3))
+    assert [r[0] for r in cut.collect()] == ["a b c", "a", ""]
+
+
+def test_checkpoint_resumes(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"text":"a","label":"junk"}\n{"text":"b","label":"junk"}\n{"label":"junk"}\n{"text":"c","label":"other"}\n{broken\n')
+    records, rejects, progress = ingest.resume(spark, str(tmp_path / "c.jsonl"), schemas.LABELLED, {"junk": 3, "single": 1})
+    assert sorted(r.text for r in records.collect()) == ["a", "b"] and [r.value for r in rejects.collect()] == ["{broken"]
+    assert {r.label: (r.have, r.remaining) for r in progress.collect()} == {"junk": (2, 1), "single": (0, 1)}
+    (tmp_path / "none.jsonl").write_text("")
+    assert {r.remaining for r in ingest.resume(spark, str(tmp_path / "none.jsonl"), schemas.LABELLED, {"junk": 3})[2].collect()} == {3}
+
+
+def test_embedder_and_tokenizer_see_bounded_batches(spark):
+    def load():
+        def model(texts):
+            assert 0 < len(texts) <= 16
+            return [[float(len(t)), float(len(texts) <= 16)] for t in texts]
+
+        return model
+
+    rows = spark.range(100).withColumn("text", F.when(F.col("id") != 7, F.concat(F.lit("a b "), F.repeat(F.lit("c "), F.col("id").cast("int")))))
+    got = {r.id: r.embedding for r in embedding.embed(rows, load, max_words=5).collect()}
+    assert len(got) == 100 and got[7] == [0.0, 1.0] and got[0] == [3.0, 1.0] and got[99] == [9.0, 1.0]
+    assert embedding.embed(rows.limit(0), load).count() == 0
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    tokenizers = pytest.importorskip("tokenizers")
+    try:
+        plain = tokenizers.Tokenizer.from_file(path)
+    except Exception:
+        pytest.skip("no tokenizer file here")
+    some = rows.filter("id < 9")
+    for limit in (None, 4):
+        for r in embedding.tokenise(some, embedding.tokenizer_file(path), limit=limit).collect():
+            assert r.ids == plain.encode(r.text or "", add_special_tokens=False).ids[:limit]
+
+
+def test_display_order_and_rounding(spark):
+    made = spark.createDataFrame([("a", None), ("b", 0.2), ("c", 0.7)], "model string, diversity_score double")
+    for c in generation.SHOWN[1:-1]:
+        made = made.withColumn(c, F.lit(1))
+    shown = generation.displayed(made.withColumn("avg_temperature", F.lit(2)))
+    assert [r.model for r in shown.collect()] == ["c", "b", "a"] and shown.columns == generation.SHOWN
+    assert [r.latency_sec for r in generation.captured(spark.createDataFrame([(1.23456,), (None,)], "latency_sec double")).collect()] == [1.23, None]
+
+
+def test_text_classifier_end_to_end(spark):
+    docs = spark.createDataFrame([(i, ("red apple pie" if i % 2 else "blue stone wall") + f" w{i % 5}", float(i % 2)) for i in range(40)] + [(99, None, 0.0)], "id long, text string, label double")
+    terms = features.fit(features.term_counts(docs, "id"), 41, min_df=3)
+    made = ml.vectors(docs, terms, "id")
+    names = sorted(r.term for r in terms.collect())
+    weights = {}
+    for r in features.tfidf(features.term_counts(docs, "id"), terms, "id", True).collect():
+        weights.setdefault(r.id, {})[names.index(r.term)] = r.w
+    for r in made.collect():
+        assert r.features.size == len(names) and dict(zip(r.features.indices.tolist(), r.features.values.tolist())) == pytest.approx(weights.get(r.id, {}))
+    model = ml.logistic(made, "label")
+    assert all(r.prediction == r.label for r in model.transform(made).filter("id <> 99").collect())
+    top = ml.top_features(ml.svm(made, "label"), terms, 3)
+    assert {r.term for r in top.collect()} <= {n for n in names if {"red", "apple", "pie"} & set(n.split())}
+    (_, right), = ml.grid(docs.filter("id < 30"), docs.filter("id between 30 and 39"), "id", "label", [{"min_df": 3}])
+    assert right == 1.0
+    fused = ml.fused(made.withColumn("more", F.col("features")), ["features", "more"], "label")
+    assert fused.transform(made.withColumn("more", F.col("features"))).filter("id <> 99 and prediction <> label").count() == 0
+
+
+def test_pca_is_the_singular_decomposition(spark):
+    x = np.random.default_rng(3).normal(size=(30, 6)) * [5, 3, 2, 1, 0.5, 0.1]
+    got = ml.pca(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, e array<double>"), "e", 2)
+    mine = np.array([r.pca.toArray() for r in got.orderBy("id").collect()])
+    axes = np.linalg.svd(x - x.mean(0))[2][:2]
+    assert np.allclose(np.abs(mine), np.abs(x @ axes.T), atol=1e-8)
+
+
+def test_small_sources_sinks_and_streams(spark, tmp_path):
+    (tmp_path / "t.txt").write_text(" a \n\n\tb c\n")
+    assert sorted(r.text for r in readers.text_lines(spark, str(tmp_path / "t.txt")).collect()) == ["a", "b c"]
+    rows = spark.createDataFrame([("junk", "é"), ("other", "x"), (None, "y")], "label string, text string")
+    assert [r.text for r in readers.by_class(rows).collect()] == ["é"]
+    sinks.jsonl(rows, str(tmp_path / "j"))
+    assert sorted(r.text for r in spark.read.schema(rows.schema).json(str(tmp_path / "j")).collect()) == ["x", "y", "é"]
+    assert any("é" in p.read_text("utf-8") for p in (tmp_path / "j").glob("part-*"))
+    both = corpus.union(rows, rows.limit(1).withColumn("more", F.lit(1)), names=["a", "b"])
+    assert {r.dataset: r["count"] for r in both.groupBy("dataset").count().collect()} == {"a": 3, "b": 1}
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "1.json").write_text('{"url":"u","text":" a "}\n{"url":"u","text":"a"}\n{"url":"v","text":" "}\n')
+    schema = spark.createDataFrame([], "url string, text string").schema
+    q = ingest.posts(spark, str(tmp_path / "s"), schema).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r.url, r.text) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("u", "a")]
+    events = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "a")], "t string, kind string").withColumn("t", F.to_timestamp("t"))
+    assert sorted(r.n for r in ingest.windowed_counts(events, "t", "kind").collect()) == [1, 2]
+    made = ingest.template_generator(5)(spark.range(3).withColumn("p", F.lit("Hi")), "id", "p")
+    again = ingest.template_generator(5)(spark.range(3).withColumn("p", F.lit("Hi")), "id", "p")
+    assert made.collect() == again.collect() and all(r.text.startswith("Hi ") and r.text_length_chars == len(r.text) for r in made.collect())
