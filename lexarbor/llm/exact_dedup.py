@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lexarbor.llm import common
 
 #: Rows of a digest that are compared with one copy of the text that stays; larger groups are salted.
-SALT_ROWS = 2000
+SALT_ROWS = 256
 
 
 def normalised(text: Column) -> Column:
