@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexarbor.llm import common
-from lexarbor.llm.kernels import U64, grams, mix, pieces, window_starts, words
+from lexarbor.llm.kernels import LOWER, U64, grams, mix, pieces, window_starts, words
 
 #: Limits of what one task compares at once.
 CELL_NODES = 2048
@@ -45,9 +45,9 @@ def prefix_depth(threshold: float, trees: int, max_depth: int, target: float) ->
     return depth
 
 
-def shingles(data: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, rows: np.ndarray, k: int, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, and offsets of the rows in them."""
-    h, _, _, first = words(data, rows)
+    h, _, _, first = words(data, rows, table)
     n_words = np.diff(first)
     values, owner = grams(h, k), np.repeat(np.arange(len(n_words)), np.maximum(n_words - k + 1, 0))
     values = values[window_starts(first, k)] if len(values) else values
@@ -99,13 +99,13 @@ def signer(k: int, trees: int, depth: int, seed: int, prints):
     return run
 
 
-def setter(k: int, prints):
+def setter(k: int, prints, table: np.ndarray = LOWER):
     """(id, text) to (_k, raw, check, shingles): the sets themselves, as bytes."""
 
     def run(batches):
         for batch in batches:
             for row, data, rows in pieces(batch.column(1)):
-                values, offsets = shingles(data, rows, k)
+                values, offsets = shingles(data, rows, k, table)
                 sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 8).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(offsets) - 1), *(pa.array(f.view(np.int64)) for f in prints(values, offsets)), sets], names=["_k", "raw", "check", "shingles"])
 
@@ -187,6 +187,17 @@ def linked(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.nda
     return link, inter / union
 
 
+def least_linked(link: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the smallest row that chains of them reach."""
+    root = np.arange(len(link))
+    while True:
+        low = np.minimum(root, np.where(link, root[None, :], len(link)).min(1))
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 def comparer(threshold: float):
     """Rows (cell, left, right, block, node, copies, done, prefixes, earlier, shingles) sorted by cell to (node, links, root).
 
@@ -214,14 +225,7 @@ def comparer(threshold: float):
                     same = prefixes[js] == prefixes[i]
                     first = prefixes[i][same.argmax(1)]
                     link[i, js] = link[js, i] = (first == cell) & ~(earlier[js] == earlier[i]).any(1)
-        count = link @ copies
-        root = np.arange(len(rows))
-        while True:
-            low = np.minimum(root, np.where(link, root[None, :], len(rows)).min(1))
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
+        count, root = link @ copies, least_linked(link)
         some = count > 0
         bins = np.bincount((similarity[np.triu(link, 1)] * 100 + 1e-3).astype(np.int64), minlength=101)
         return nodes[some], count[some], nodes[root[some]], bins
@@ -262,6 +266,14 @@ def measured_recall(found: dict[int, int], depth: int, trees: int, at: int | Non
     return sum(n * (met(s, at) / met(s, depth) if at else 1) for s, n in found.items()) / total if total else 0.0
 
 
+def noded(signed: DataFrame) -> DataFrame:
+    """signed with a column node: one long for each set, null without words. Sets of one hash that the other hash tells apart are nodes of their own."""
+    twins = common.saved(signed.filter("raw is not null").groupBy("raw").agg(F.min("check").alias("one"), F.max("check").alias("other")).filter("one <> other").select("raw", "one"), "twins")
+    if twins.isEmpty():
+        return signed.withColumn("node", F.col("raw"))
+    return signed.join(twins, "raw", "left").withColumn("node", F.when(F.col("check") != F.col("one"), F.xxhash64("raw", "check")).otherwise(F.col("raw"))).drop("one")
+
+
 def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 24, max_depth: int = 8, target: float = 0.9999, seed: int = 7, cell_nodes: int = CELL_NODES, cell_shingles: int = CELL_SHINGLES, prints: Callable = fingerprints, depths: list | None = None) -> DataFrame:
     """One row per document: doc_id, class_id, n_links.
 
@@ -271,12 +283,7 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 24, m
     least = prefix_depth(threshold, trees, max_depth, target)
     texts = common.text_of(docs, "doc_id")
     signed = common.saved(texts.mapInArrow(signer(k, trees, max_depth, seed, prints), "doc_id long, raw long, check long, n long, paths binary"), "signed")
-    # sets of one hash that the other hash tells apart are nodes of their own
-    twins = common.saved(signed.filter("raw is not null").groupBy("raw").agg(F.min("check").alias("one"), F.max("check").alias("other")).filter("one <> other").select("raw", "one"), "twins")
-    if twins.isEmpty():
-        signed = signed.withColumn("node", F.col("raw"))
-    else:
-        signed = signed.join(twins, "raw", "left").withColumn("node", F.when(F.col("check") != F.col("one"), F.xxhash64("raw", "check")).otherwise(F.col("raw"))).drop("one")
+    signed = noded(signed)
     some = signed.filter("node is not null")
     # one document stands for each node
     held = some.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("raw").alias("raw"), F.min("check").alias("check"), F.min(common.id_key(F.col("doc_id"))).alias("_k"), F.min("paths").alias("paths"))

@@ -25,6 +25,17 @@ def lower_table() -> np.ndarray:
 LOWER = lower_table()
 
 
+def spaced_table() -> np.ndarray:
+    """Byte to byte: A-Z to a-z, ASCII whitespace to 0, and byte 0, a character of words here, to one that no UTF-8 has."""
+    t = np.arange(256, dtype=np.uint8)
+    t[0x41:0x5B] += 32
+    t[0], t[0x20], t[0x09:0x0E] = 0xFF, 0, 0
+    return t
+
+
+SPACED = spaced_table()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads each bit (finalizer of SplitMix64)."""
     x = x ^ (x >> U64(30))
@@ -67,9 +78,9 @@ def pieces(column: pa.Array, piece: int = PIECE):
         row = end
 
 
-def _segment(data: np.ndarray, rows: np.ndarray):
+def _segment(data: np.ndarray, rows: np.ndarray, table: np.ndarray = LOWER):
     """First byte and end of each word, and the running sum from which hashes of byte ranges are taken."""
-    low = LOWER[data]
+    low = table[data]
     inside = low != 0
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -85,12 +96,12 @@ def _range_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((total[ends] - total[starts]) * powers(len(total))[1][starts])
 
 
-def words(data: np.ndarray, rows: np.ndarray):
-    """Words [0-9a-z and all beyond ASCII]+ after lower-casing A-Z.
+def words(data: np.ndarray, rows: np.ndarray, table: np.ndarray = LOWER):
+    """Words [0-9a-z and all beyond ASCII]+ after lower-casing A-Z, or with SPACED runs of other bytes than ASCII whitespace.
 
     Returns hashes, first byte and end of each word, and for each row the number of its first word (one more at the end).
     """
-    starts, ends, total = _segment(data, rows)
+    starts, ends, total = _segment(data, rows, table)
     return _range_hashes(total, starts, ends), starts, ends, np.searchsorted(starts, rows)
 
 

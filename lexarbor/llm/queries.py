@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarbor.llm import chat_format, decontaminate, exact_dedup, jaccard, language_id, mixing, passages, pii, toxicity, url_filter
+from lexarbor.llm import chat_format, collocations, decontaminate, exact_dedup, jaccard, language_id, minhash, mixing, passages, pii, spelling, toxicity, url_filter
 from lexarbor.llm.common import read
 
 QUERIES: dict = {}
@@ -198,3 +198,70 @@ def op8_language_id_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.shared(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_minhash_star_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(read(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle: for tables of some thousand documents.
+SQL["op11_minhash_star_components"] = r"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+sh as (select distinct r, array_to_string(ws[i : i + least(len(ws), 3) - 1], ' ') as s from (select r, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from d where len(ws) > 0)),
+n as (select r, count(*) as n from sh group by 1),
+c as (select a.r as x, b.r as y, count(*) as inter from sh a join sh b on a.s = b.s and a.r < b.r group by 1, 2),
+l as (select x, y from c join n p on p.r = x join n q on q.r = y where 100 * inter >= 85 * (p.n + q.n - inter)),
+e as (select x, y from l union all select y, x from l),
+reach as (select r, r as t from d union select reach.r, e.y from reach join e on e.x = reach.t),
+named as (select reach.r, min(d.doc_id) as component_id from reach join d on d.r = reach.t group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id is not distinct from component_id as kept from d join named using (r) left join n using (r)
+"""
+
+
+@query
+def op12_spelling_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def _crc_table() -> list[int]:
+    """The remainders of all bytes by the reversed polynomial of CRC-32."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [(c >> 1) ^ (0xEDB88320 * (c & 1)) for c in out]
+    return out
+
+
+SQL["op12_spelling_neighbourhoods"] = rf"""
+with recursive run as (select coalesce(doc_id::varchar, '') as id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+once as (select id, run, count(*) as c, hex(encode(id || ':' || run)) as x from run where length(run) >= 6 group by 1, 2),
+crc as (select run, c, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, [('0x' || substr(x, 2 * i - 1, 2))::bigint for i in range(1, length(x) // 2 + 1)]), lambda s, b: xor(({_crc_table()})[(xor(s, b) & 255) + 1], s >> 8))) as h from once),
+v as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, sum(c)::bigint as n from crc group by 1 having length(word) >= 6 and sum(c) >= 5),
+letters as (select array_agg(distinct c order by c) as abc from (select unnest(string_split(word, '')) as c from v)),
+made as (select word, n, unnest([substr(word, 1, i) || substr(word, i + 2) for i in range(0, length(word))]) as other from v
+  union all select word, n, substr(word, 1, i) || c || substr(word, i + 2) from (select word, n, i, unnest(abc) as c from (select word, n, unnest(range(0, length(word))) as i from v), letters)
+  union all select word, n, substr(word, 1, i) || c || substr(word, i + 1) from (select word, n, i, unnest(abc) as c from (select word, n, unnest(range(0, length(word) + 1)) as i from v), letters)),
+near as (select distinct m.word, m.n, m.other, v.n as other_n from made m join v on v.word = m.other where m.word <> m.other),
+best as (select word, count(*) as n_near, max(other_n) as most from near group by 1),
+form as (select near.word, min(other) as form, any_value(most) as form_n from near join best on best.word = near.word and other_n = most where most >= 5 * n group by 1),
+path as (select word, form as head, 1 as step from form union all select path.word, form.form, step + 1 from path join form on form.word = path.head),
+ends as (select word, arg_max(head, step) as root from path group by 1)
+select v.word, form, coalesce(root, v.word) as root, n, coalesce(n_near, 0) as n_near, form_n from v left join best using (word) left join form using (word) left join ends using (word)
+"""
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+SQL["op13_collocations"] = r"""
+with p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+n as (select lang, sum(len(ws))::bigint as n from p group by 1),
+g as (select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase, count(*) as f from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from p, (select unnest(range(1, 6)) as k)) group by all having count(*) >= 100),
+cut as (select g.lang, g.phrase, g.k, g.f as a, cut, l.f as l, r.f as r, n.n, 1000::hugeint * g.f * n.n // (l.f::hugeint * r.f) as score
+  from (select *, unnest(range(1, k)) as cut from g where k > 1) g join n on n.lang = g.lang join g l on l.lang = g.lang and l.phrase = array_to_string(string_split(g.phrase, ' ')[1:cut], ' ') join g r on r.lang = g.lang and r.phrase = array_to_string(string_split(g.phrase, ' ')[cut + 1:], ' ')),
+low as (select * from cut qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+kept as (select * from low c where not exists (select 1 from low e where e.lang = c.lang and e.k > c.k and 100 * e.a >= 100 * c.a and contains(' ' || e.phrase || ' ', ' ' || c.phrase || ' ')))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score from kept qualify rank <= 2000
+"""
