@@ -5,9 +5,9 @@ A turn is written as
     ### role:
     text</turn>
 
-and a window is a run of turns. Inside texts `\` becomes `\\`, `###` becomes `#\##` and `</turn>` becomes
-`<\/turn>`, so no text can end a turn or begin one, and reading undoes it by dropping the backslash before `\`, `#` and
-`/`. Roles are URL-encoded. A turn counts its words and two for the template.
+and a window is a run of turns. Inside texts `\` becomes `\\`, a `#` that follows another becomes `\#` and `</turn>`
+becomes `<\/turn>`. So no text holds `##` or `</turn>`, and none can end a turn or begin one; reading undoes it by dropping the backslash before
+`\`, `#` and `/`. Roles are URL-encoded. A turn counts its words and two for the template.
 
 Windows are chosen greedily from the running sums of a conversation's tokens. Every window begins with the system turn, if the
 conversation begins with one; then come the last whole turns before the window's first, as many as fit `history` and leave room for that
@@ -34,7 +34,10 @@ BUDGET, HISTORY = 512, 96
 
 
 def escape(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("###"), F.lit("#\\##")), F.lit("</turn>"), F.lit("<\\/turn>"))
+    # what one pass leaves of a run of # are pairs with a backslash between, so the second one finds the rest
+    for plain, safe in (("\\", "\\\\"), ("##", "#\\#"), ("##", "#\\#"), ("</turn>", "<\\/turn>")):
+        text = F.replace(text, F.lit(plain), F.lit(safe))
+    return text
 
 
 def unescape(text: Column) -> Column:

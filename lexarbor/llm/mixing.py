@@ -6,9 +6,10 @@ summed by source and by the hash's first bits, the running sum over these few bu
 budget ends, and only that bucket is summed again by the next bits, down to single hash values. The last hash value is taken if that
 ends nearer to the budget than leaving it.
 
-So a source ends within half of the words that share its boundary hash value (mostly one document). Null texts have no
-words; a null source is a source of its own, last in order; documents with equal doc_id (or null) share a hash
-value and so are taken or left together. An empty table gives no rows.
+The hash is of a row's id, its text and its number among the rows of its source that are equal in both, so rows that share an id, or have none, are told
+apart, copies too. Only equal rows are numbered: within each part of the table, and then on over the parts, so no task gets them all.
+A source ends within half of the words that share its boundary hash value (mostly one document). Null texts have no
+words; a null source is a source of its own, last in order. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +29,33 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
 
 
-def hash32(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+def digest(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def hash32(digest_: Column, number: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(digest_, F.lit(":"), number.cast("string"))), 1, 8), 16, 10).cast("long")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """(key, digest) of which rows has several, written."""
+    return common.saved(rows.groupBy("key", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("key", "digest"), "repeated")
+
+
+def hashed(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """rows with their hash h: of digest and number, which is 0 for all (key, digest) but those in twice."""
+    same = F.xxhash64("key", "digest")
+    if twice.isEmpty():
+        return rows.withColumn("h", hash32(F.col("digest"), F.lit(0)))
+    split = common.IdFilter(twice.select(same.alias("_k")), "_k").split(rows, same)
+    alone = split.filter("not _maybe").drop("_maybe").withColumn("h", hash32(F.col("digest"), F.lit(0)))
+    some = common.saved(split.filter("_maybe").drop("_maybe").withColumn("_part", F.spark_partition_id()), "some")
+    equal = W.partitionBy("key", "digest", "_part")
+    parts = some.groupBy("key", "digest", "_part").agg(F.count("*").alias("_n"))
+    parts = parts.withColumn("_before", F.sum("_n").over(W.partitionBy("key", "digest").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).drop("_n")
+    local = some.withColumn("_i", F.row_number().over(equal.orderBy(F.lit(0))) - 1)
+    numbered = local.join(parts, ["key", "digest", "_part"]).withColumn("h", hash32(F.col("digest"), F.col("_i") + F.coalesce("_before", F.lit(0))))
+    return alone.unionByName(numbered.drop("_part", "_i", "_before"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -49,8 +75,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     level = level.withColumn("_full", most * F.coalesce(F.sum("source_size").over(before), F.lit(0)).cast("double"))
     level = level.withColumn("_left", F.sum("_w").over(by_ratio.rowsBetween(0, W.unboundedFollowing)))
     level = level.withColumn("_level", (F.col("_total") - F.col("_full")) / F.col("_left"))
-    # sources in order of their ratio are full while the level that the others could reach is above them
-    found = level.withColumn("_open", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(by_ratio.rowsBetween(W.unboundedPreceding, 0)))
+    # sources in order of their ratio are full while the level that the others could reach is above them; the first that isn't gives the level of the rest
+    found = level.withColumn("_open", F.first(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level")), True).over(by_ratio.rowsBetween(W.unboundedPreceding, 0)))
     return found.select("source", "key", "source_size", F.when(F.col("_open").isNotNull(), F.col("_w") * F.col("_open")).otherwise(F.col("_cap")).alias("target"))
 
 
@@ -59,10 +85,15 @@ def source_key(source: Column) -> Column:
     return F.concat(F.when(source.isNull(), "n").otherwise("s"), F.coalesce(source.cast("string"), F.lit("")))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, key, size, h), written in the shared folder: the texts are read once."""
-    sized = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("size"))
-    return common.saved(sized.select("doc_id", "source", source_key(F.col("source")).alias("key"), "size", hash32(F.col("doc_id")).alias("h")), "sized")
+def sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, key, size, h), written in the shared folder, the texts being read once; and what repeated() tells of them."""
+    sized = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), source_key(docs["source"]).alias("key"),
+        word_count(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("size"), digest(docs["doc_id"].cast("long"), docs["text"]).alias("digest"),
+    )
+    sized = common.saved(sized, "digests")
+    twice = repeated(sized)
+    return common.saved(hashed(sized, twice).drop("digest"), "sized"), twice
 
 
 def thresholds(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -99,12 +130,13 @@ def _copies() -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    sized = sizes(docs)
+    sized, _ = sizes(docs)
     return sized.join(_small(thresholds(sized, weights, share, most)), "key").select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The documents that the mix takes, all columns, and copies: how often (a column of that name is replaced)."""
-    plan = thresholds(sizes(docs), weights, share, most)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "copies")).alias("_row"), source_key(docs["source"]).alias("key"), hash32(docs["doc_id"]).alias("h"))
-    return packed.join(_small(plan), "key").withColumn("copies", _copies().cast("int")).filter("copies > 0").select("_row.*", "copies")
+    sized, twice = sizes(docs)
+    plan = thresholds(sized, weights, share, most)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "copies")).alias("_row"), source_key(docs["source"]).alias("key"), digest(docs["doc_id"].cast("long"), docs["text"]).alias("digest"))
+    return hashed(packed, twice).join(_small(plan), "key").withColumn("copies", _copies().cast("int")).filter("copies > 0").select("_row.*", "copies")

@@ -38,8 +38,8 @@ MAY = {
     "phone": lambda t: F.rlike(t, F.lit(r"\+[0-9]")),
 }
 CANDIDATE = r"(?<![A-Za-z0-9._/@+-])(?=[A-Za-z0-9._/+-]*+@|(?:[A-Za-z._/@+-]*+[0-9]){4})[A-Za-z0-9._/@+-]++"
-#: Code points before and after an occurrence in which its patterns' words are looked for.
-CONTEXT = 60
+#: The two words before an occurrence, and the two after it: whole ones, whatever their length.
+BEFORE, AFTER = r"(?<!\S)(?:\S++\s++)?\S++\s*+\z", r"\A\s*+\S++(?:\s++\S++)?+"
 
 
 def _hits(text: Column, kind: int, find: str, may: Column) -> Column:
@@ -48,7 +48,7 @@ def _hits(text: Column, kind: int, find: str, may: Column) -> Column:
     def listed(gaps: Column) -> Column:
         after = F.slice(gaps, F.lit(2), F.size(gaps))
         zipped = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(find), F.lit(0)).alias("match"), after.alias("after"))
-        return F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["match"].alias("match"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"), F.left(x["after"], F.lit(CONTEXT)).alias("after")))
+        return F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["match"].alias("match"), F.regexp_extract(x["gap"], BEFORE, 0).alias("before"), F.regexp_extract(x["after"], AFTER, 0).alias("after")))
 
     none = F.array().cast("array<struct<kind:int,i:int,gap:int,match:string,before:string,after:string>>")
     # the text is split once: a lambda binds what it is split into

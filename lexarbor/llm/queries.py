@@ -54,14 +54,15 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_mix_sources"] = r"""
-with d as (select doc_id, coalesce(source, '') as s, source is null as none, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-             ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from documents),
+with t as (select doc_id, coalesce(source, '') as s, source is null as none, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+             md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as digest from documents),
+d as (select *, ('0x' || substr(md5(digest || ':' || (row_number() over (partition by none, s, digest) - 1)), 1, 8))::bigint as h from t),
 src as (select none, s, sum(size)::bigint as source_size from d group by 1, 2),
 ranked as (select *, [3.0::double, 1.0::double, 2.0::double][((row_number() over (order by none, s) - 1) % 3 + 1)::int] as w, row_number() over (order by none, s) as i from src),
 ratio as (select *, 2.0::double * source_size::double as cap, 2.0::double * source_size::double / w as r from ranked),
 level as (select *, ((sum(source_size) over ())::double * 1.5::double - 2.0::double * coalesce(sum(source_size) over (order by r, i rows between unbounded preceding and 1 preceding), 0)::double)
              / sum(w) over (order by r, i rows between current row and unbounded following) as l from ratio),
-open as (select *, min(case when l <= r then l end) over (order by r, i rows between unbounded preceding and current row) as o from level),
+open as (select *, first_value(case when l <= r then l end ignore nulls) over (order by r, i rows between unbounded preceding and current row) as o from level),
 goal as (select none, s, source_size, case when o is not null then w * o else cap end as target from open),
 budget as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from goal),
 sums as (select none, s, h, sum(size)::bigint as words from d group by 1, 2, 3),
@@ -149,7 +150,7 @@ with recursive c as (select conv_id, turn, coalesce(role, '') as role, coalesce(
   union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
 t as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as n from c),
 s as (select *, n = 0 and role = 'system' as is_system, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 as tokens,
-  4 + length(url_encode(role)) + 2 + length(replace(replace(replace(text, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>')) + 8 as chars from t),
+  4 + length(url_encode(role)) + 2 + length(replace(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '##', '#\#'), '</turn>', '<\/turn>')) + 8 as chars from t),
 b as (select *, sum(case when is_system then 0 else tokens end) over (partition by conv_id order by n) - case when is_system then 0 else tokens end as begin,
   max(case when is_system then tokens else 0 end) over (partition by conv_id) as system_tokens, max(case when is_system then chars else 0 end) over (partition by conv_id) as system_chars from s),
 o as (select coalesce(conv_id, -1) as k, * from b where not is_system),
