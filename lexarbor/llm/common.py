@@ -140,6 +140,29 @@ def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> Data
     return kept.select("_row.*")
 
 
+def row_keys(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """df with the columns k1 and k2: 128 bits of hash of a row's id (null is no number) and its whole text (null: empty)."""
+    told = (F.col(doc_id).isNull(), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return df.withColumns({"k1": F.xxhash64(*told), "k2": F.xxhash64(F.lit(1), *told)})
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose keys (k1, k2 of row_keys) are in the table gone; of those in once, one row of each key stays.
+
+    Both are written tables of their distinct keys. A row goes for its own id and text, never for those of another one. Rows that the id filter clears
+    aren't shuffled. All columns stay, whatever their names.
+    """
+    asked = gone.select("k1", "k2") if once is None else gone.select("k1", "k2").unionByName(once.select("k1", "k2"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id"), F.col("text"))
+    split = IdFilter(asked, "k1").split(row_keys(packed).select("_row", "k1", "k2"), F.col("k1"))
+    met = split.filter("_maybe").drop("_maybe").join(gone.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    kept = split.filter(~F.col("_maybe")).select("_row")
+    if once is None or once.isEmpty():
+        return kept.unionByName(met.select("_row")).select("_row.*")
+    one = met.join(once.select("k1", "k2"), ["k1", "k2"]).groupBy("k1", "k2").agg(F.any_value("_row").alias("_row"))
+    return kept.unionByName(met.join(once.select("k1", "k2"), ["k1", "k2"], "left_anti").select("_row")).unionByName(one.select("_row")).select("_row.*")
+
+
 def least_hashed(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """The n rows of least hash of their key, or all if there are fewer.
 
@@ -176,6 +199,19 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, n: str = "n", total: int
     return rows.join(hot, key).unionByName(cool)
 
 
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, per: int = 2000) -> DataFrame:
+    """rows joined with table, of which a key may have several rows, and in which no row is broadcast.
+
+    rows of one key are dealt by a hash of all their columns into parts of about `per`, each of which meets a copy of the key's rows of table. Both should
+    be written tables. Only how many parts a key has is looked up, by broadcast for the hottest (see lookup).
+    """
+    parts = rows.groupBy(key).agg(F.count("*").alias("_n")).join(table.select(key).distinct(), key).withColumn("_parts", F.ceil(F.col("_n") / per).cast("int"))
+    parts = saved(parts, "parts")
+    dealt = lookup(rows, parts, key, "_n").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int")).drop("_n", "_parts")
+    copies = table.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_n", "_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
 def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     """A table of 2^bits bits as bytes, on the driver: bit `key modulo 2^bits` is set for each key."""
     pos = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))

@@ -85,7 +85,7 @@ def item_side(window: int, k: int):
 
 
 def document_side(window: int, k: int, short: list[int], bits: int, bitmap):
-    """(row, doc_id, text) to (row, doc_id, n_words, hits), hits being the fingerprints that the bitmap lets pass."""
+    """(row, who, text) to (row, who, n_words, hits), hits being the fingerprints that the bitmap lets pass."""
     struct = pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("slice", pa.binary())])
 
     def run(batches):
@@ -100,62 +100,76 @@ def document_side(window: int, k: int, short: list[int], bits: int, bitmap):
                 found = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array((at - first[r]).astype(np.int32)), pa.array((at - start).astype(np.int32)), _slices(h, start, end)], fields=list(struct))
                 hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(len(rows))).astype(np.int32)), found)
                 n = len(rows) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(first).astype(np.int64)), hits], names=["row", "doc_id", "n_words", "hits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(first).astype(np.int64)), hits], names=["row", "who", "n_words", "hits"])
 
     return run
 
 
 def extender(k: int):
-    """Joined fingerprints to the run of equal words around each, where it is as long as a window."""
+    """Joined fingerprints (row, pos, before, mine, passage, need, b2, theirs) to (row, start, end, passage): the run of equal words around each, where it is as long as a window."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for row, pos, before, mine, item, need, theirs_before, theirs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = np.frombuffer(mine, U64), np.frombuffer(theirs, U64)
-                step = min(k, need)
-                left = min(before, theirs_before)
-                same = a[before - left : before][::-1] == b[theirs_before - left : theirs_before][::-1]
-                left = left if same.all() else int(same.argmin())
-                core = (a[before : before + step] == b[theirs_before : theirs_before + step]).all()
-                a, b = a[before + step :], b[theirs_before + step :]
-                same = a[: len(b)] == b[: len(a)]
-                right = len(same) if same.all() else int(same.argmin())
-                if core and left + step + right >= need:
-                    out.append((row, pos - left, pos + step + right, item))
-            rows = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64())], names=["row", "start", "end", "item_id"])
+            row, pos, before, need, b2 = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 5, 6))
+            (mine, at), (theirs, from_) = (_words_of(batch.column(i)) for i in (3, 7))
+            left, right = np.minimum(before, b2), np.minimum(np.diff(at) - before, np.diff(from_) - b2)
+            # the words of both sides, laid over each other so that the fingerprints' first words meet
+            size = left + right
+            offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size + left, size)
+            same = mine[np.repeat(at[:-1] + before, size) + offset] == theirs[np.repeat(from_[:-1] + b2, size) + offset]
+            # the run of equal words around the fingerprint: from the last difference before it to the first one after
+            which, differ = np.repeat(np.arange(len(row)), size)[~same], offset[~same]
+            low, high = -left, right.copy()
+            np.maximum.at(low, which[differ < 0], differ[differ < 0] + 1)
+            np.minimum.at(high, which[differ >= 0], differ[differ >= 0])
+            ok = np.flatnonzero((high >= np.minimum(k, need)) & (high - low >= need))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), pa.array((pos + low)[ok].astype(np.int32)), pa.array((pos + high)[ok].astype(np.int32)), batch.column(4).take(pa.array(ok))], names=["row", "start", "end", "passage"])
 
     return run
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, share: int = 20) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words)."""
+def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes in a column of slices, and where each row's begin."""
+    raw = column.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    return np.frombuffer(raw.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])), U64) if len(raw) and offsets[-1] > offsets[0] else np.zeros(0, U64), (offsets - offsets[0]) // 8
+
+
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, share: int = 20, keys: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words); with keys also k1 and k2 of common.row_keys.
+
+    Items that have the same words around a fingerprint are one passage: it is extended in a document once, however many items hold it, and the items are
+    told once for each passage that a document has.
+    """
     spark = docs.sparkSession
     items = common.text_of(benchmark, "item_id").mapInArrow(item_side(window, k), "item_id long, key long, need int, before int, slice binary")
-    items = common.saved(items.distinct(), "items")
-    n, short = items.count(), sorted(r.need for r in items.select("need").distinct().collect() if r.need < window)
+    items = common.saved(items.distinct().withColumn("passage", F.xxhash64("key", "need", "before", "slice")), "items")
+    passages = common.saved(items.groupBy("key", "need", "before", "slice").agg(F.min("passage").alias("passage")), "passages")
+    n, short = passages.count(), sorted(r.need for r in passages.select("need").distinct().collect() if r.need < window)
     bits = min(MOST_BITS, max(15, (64 * n).bit_length()))
-    passes = spark.sparkContext.broadcast(common.bitmap(items.select("key").distinct(), "key", bits))
-    texts = common.text_of(docs, "doc_id").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    marked = common.saved(texts.mapInArrow(document_side(window, k, short, bits, passes), "row long, doc_id long, n_words long, hits array<struct<key:long,pos:int,before:int,slice:binary>>"), "marked")
+    passes = spark.sparkContext.broadcast(common.bitmap(passages.select("key").distinct(), "key", bits))
+    who, texts = (("doc_id", "k1", "k2"), common.row_keys(common.text_of(docs, "doc_id"))) if keys else (("doc_id",), common.text_of(docs, "doc_id"))
+    texts = texts.select(F.monotonically_increasing_id().alias("row"), F.struct(*who).alias("who"), "text")
+    marked = common.saved(texts.mapInArrow(document_side(window, k, short, bits, passes), f"row long, who struct<{', '.join(f'{c}:long' for c in who)}>, n_words long, hits array<struct<key:long,pos:int,before:int,slice:binary>>"), "marked")
     hits = marked.select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
-    both = hits.join(items.select("item_id", "key", "need", F.col("before").alias("b2"), F.col("slice").alias("s2")), "key").select("row", "pos", "before", "slice", "item_id", "need", "b2", "s2")
-    runs = common.saved(both.mapInArrow(extender(k), "row long, start int, end int, item_id long").distinct(), "runs")
+    both = common.dealt_join(hits, passages.select("key", "need", "passage", F.col("before").alias("b2"), F.col("slice").alias("s2")), "key")
+    both = both.select("row", "pos", "before", "slice", "passage", "need", "b2", "s2")
+    runs = common.saved(both.mapInArrow(extender(k), "row long, start int, end int, passage long").distinct(), "runs")
     spans = runs.select("row", F.struct("start", "end").alias("span")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("reach"))
     joined = F.aggregate(
         "spans", zero, lambda a, s: F.struct((a["hit"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(a["reach"], s["start"].cast("long")))).alias("hit"), F.greatest(a["reach"], s["end"].cast("long")).alias("reach"))
     )
     covered = spans.select("row", joined["hit"].alias("n_hit"))
-    named = runs.groupBy("row").agg(F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))).alias("ids"))
-    told = marked.select("row", "doc_id", "n_words").join(covered, "row", "left").join(named, "row", "left")
+    met = common.saved(runs.select("row", "passage").distinct(), "met")
+    named = common.dealt_join(met, items.select("passage", "item_id").distinct(), "passage").groupBy("row").agg(F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))).alias("ids"))
+    told = marked.select("row", "who", "n_words").join(covered, "row", "left").join(named, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return told.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return told.select("who.*", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that aren't contaminated. Rows that share a doc_id go together."""
-    bad = common.saved(report(docs, benchmark, **how).filter("contaminated").select("doc_id"), "contaminated")
-    return common.without_ids(docs, bad)
+    """The rows of docs that aren't contaminated, each judged by its own text, whatever ids it shares."""
+    bad = report(docs, benchmark, keys=True, **how).filter("contaminated").select("k1", "k2").distinct()
+    return common.without_rows(docs, common.saved(bad, "contaminated"))

@@ -76,7 +76,7 @@ def fingerprints(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def signer(k: int, trees: int, depth: int, seed: int, prints):
-    """(doc_id, text) to (doc_id, raw, check, n, paths): each tree's path, two bytes a value; raw is null without words."""
+    """(who, text) to (who, raw, check, n, paths): each tree's path, two bytes a value; raw is null without words."""
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 2**32, trees * depth, dtype=np.uint32) | np.uint32(1)
     b = rng.integers(0, 2**32, trees * depth, dtype=np.uint32)
@@ -94,7 +94,7 @@ def signer(k: int, trees: int, depth: int, seed: int, prints):
                         paths[some, i] = mix(np.minimum.reduceat(x * a[i] + b[i], at).astype(U64)) >> U64(48)
                 size = 2 * trees * depth
                 flat = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * size).astype(np.int32)), pa.py_buffer(paths.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(raw.view(np.int64), mask=n == 0), pa.array(check.view(np.int64)), pa.array(n.astype(np.int64)), flat], names=["doc_id", "raw", "check", "n", "paths"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(raw.view(np.int64), mask=n == 0), pa.array(check.view(np.int64)), pa.array(n.astype(np.int64)), flat], names=["who", "raw", "check", "n", "paths"])
 
     return run
 
@@ -274,15 +274,17 @@ def noded(signed: DataFrame) -> DataFrame:
     return signed.join(twins, "raw", "left").withColumn("node", F.when(F.col("check") != F.col("one"), F.xxhash64("raw", "check")).otherwise(F.col("raw"))).drop("one")
 
 
-def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 24, max_depth: int = 8, target: float = 0.9999, seed: int = 7, cell_nodes: int = CELL_NODES, cell_shingles: int = CELL_SHINGLES, prints: Callable = fingerprints, depths: list | None = None) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links.
+def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 24, max_depth: int = 8, target: float = 0.9999, seed: int = 7, cell_nodes: int = CELL_NODES, cell_shingles: int = CELL_SHINGLES, prints: Callable = fingerprints, depths: list | None = None, keys: bool = False) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links; with keys also k1 and k2 of common.row_keys, and class, a number for the class (null: no links).
 
     n_links: how many other documents have a similarity of threshold or more with it. class_id: the smallest doc_id
     that chains of such links reach. prints: two 64-bit hashes of a set. depths, if given, gets (depth, links found so far, measured recall) of each round.
     """
     least = prefix_depth(threshold, trees, max_depth, target)
     texts = common.text_of(docs, "doc_id")
-    signed = common.saved(texts.mapInArrow(signer(k, trees, max_depth, seed, prints), "doc_id long, raw long, check long, n long, paths binary"), "signed")
+    who, named = (("doc_id", "k1", "k2"), common.row_keys(texts)) if keys else (("doc_id",), texts)
+    signed = named.select(F.struct(*who).alias("who"), "text").mapInArrow(signer(k, trees, max_depth, seed, prints), f"who struct<{', '.join(f'{c}:long' for c in who)}>, raw long, check long, n long, paths binary")
+    signed = common.saved(signed.select("who.*", "raw", "check", "n", "paths"), "signed")
     signed = noded(signed)
     some = signed.filter("node is not null")
     # one document stands for each node
@@ -325,11 +327,12 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 24, m
     known = held.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).filter("copies > 1 or links is not null")
     known = common.saved(known.select("node", "root", "first", "copies", "links"), "known")
     classes = common.saved(known.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("n")), "classes")
-    told = common.lookup(known, classes, "root").select("node", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    told = common.lookup(known, classes, "root").select("node", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("root").alias("class"))
     told = common.saved(told, "told")
-    linked_ = common.lookup(some.select("doc_id", "node"), told, "node", "copies").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
-    alone = signed.select("doc_id", "node").join(told.select("node"), "node", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked_.unionByName(alone)
+    out = [*who, "class_id", "n_links", *(["class"] if keys else [])]
+    linked_ = common.lookup(some.select(*who, "node"), told, "node", "copies").withColumns({"class_id": F.coalesce("class_id", "doc_id"), "n_links": F.col("n_links").cast("long")})
+    alone = signed.select(*who, "node").join(told.select("node"), "node", "left_anti").withColumns({"class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), "class": F.lit(None).cast("long")})
+    return linked_.select(*out).unionByName(alone.select(*out))
 
 
 def _compared(texts: DataFrame, signed: DataFrame, met: DataFrame, routed: DataFrame, threshold: float, trees: int, max_depth: int, depth: int, before: int | None, cell_nodes: int, cell_shingles: int, sets_of: Callable) -> DataFrame:
@@ -359,6 +362,12 @@ def _compared(texts: DataFrame, signed: DataFrame, met: DataFrame, routed: DataF
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that stay: of each class the one that names it. Rows that repeat its doc_id stay together."""
-    told = join(docs, **how)
-    return common.without_ids(docs, common.saved(told.filter("not (doc_id <=> class_id)").select("doc_id"), "near"))
+    """The rows of docs that stay: of each class the one of smallest doc_id (null last; of rows that share it the one of smallest hash, of equal rows any one), and all
+    that have no links."""
+    told = common.saved(join(docs, keys=True, **how).filter("class is not null").select("class", F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2"), "linked")
+    rank = F.struct("none", "doc_id", "k1", "k2")
+    best = common.saved(told.groupBy("class").agg(F.min(rank).alias("best"), F.count("*").alias("n")), "best")
+    ranked = common.saved(common.lookup(told, best, "class").select("k1", "k2", (rank == F.col("best")).alias("stays")), "ranked")
+    gone = common.saved(ranked.filter("not stays").select("k1", "k2").distinct(), "near")
+    once = common.saved(ranked.filter("stays").groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2"), "equal")
+    return common.without_rows(docs, gone, once)

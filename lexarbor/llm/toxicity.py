@@ -8,9 +8,9 @@ Only documents are labelled; the likelihood of their labels under this very comb
 sentences offend.
 
 Training takes at most `sample` clean documents and a third as many toxic ones, those of least hash, never held-out ones, one text for each
-doc_id (of repeated rows the first by code points), and weighs them by how many their label has; the weights are a table of fixed size. Documents
-of more than `longest` characters are left out of training, to bound the sample's memory; what only they show isn't learned. Scoring reads
-every text whole.
+doc_id (of repeated rows the first by code points), and weighs them by how many their label has; the weights are a table of fixed size. Of a
+document of more than `most` sentences so many are learned from, spread evenly from its first to its last, which bounds the sample's memory
+whatever the lengths; no document is left out. Scoring reads every text whole.
 
 Null and empty texts have no sentence and score the leak, as all documents without any sign do. Rows with null or conflicting labels: null is no label, the highest
 label of a doc_id counts. Without any labels every score is 0. A null doc_id hashes as empty text, and is held out.
@@ -46,13 +46,22 @@ def instances(data: np.ndarray, rows: np.ndarray, bits: int, prefixes: tuple[int
     return features, np.cumsum(new) - 1, row[at], starts[at] if len(at) else at, ends[last] if len(at) else at
 
 
-def featurizer(bits: int, prefixes: tuple[int, ...], useful: np.ndarray):
-    """(label, text) to (label, n, sentence, feature): the number of sentences, and the useful features in them."""
+def spread(n: np.ndarray, most: int) -> np.ndarray:
+    """For rows of n sentences which of these are among at most `most` of their row, spread evenly over it."""
+    local = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    size = np.repeat(np.maximum(n, most), n)
+    return (local + 1) * most // size > local * most // size
+
+
+def featurizer(bits: int, prefixes: tuple[int, ...], useful: np.ndarray, most: int):
+    """(label, text) to (label, n, sentence, feature): the number of sentences, `most` at most, and the useful features in them."""
 
     def run(batches):
         for batch in batches:
             for row, data, rows in pieces(batch.column(1)):
                 features, sentence, of, _, _ = instances(data, rows, bits, prefixes)
+                chosen = spread(np.bincount(of, minlength=len(rows) - 1), most)
+                features, sentence, of = features[chosen[sentence]], (np.cumsum(chosen) - 1)[sentence[chosen[sentence]]], of[chosen]
                 first = np.searchsorted(of, np.arange(len(rows)))
                 flat, number = features.reshape(-1), np.repeat(sentence, features.shape[1])
                 kept = useful[flat]
@@ -68,12 +77,12 @@ def featurizer(bits: int, prefixes: tuple[int, ...], useful: np.ndarray):
 FEATURES = "label int, n int, sentence array<int>, feature array<int>"
 
 
-def useful_features(documents: DataFrame, bits: int, prefixes: tuple[int, ...]) -> np.ndarray:
+def useful_features(documents: DataFrame, bits: int, prefixes: tuple[int, ...], most: int) -> np.ndarray:
     """Which of the 2^bits features (and none, at the end) three documents have, and toxic ones oftener or rarer than by chance."""
     size = 1 << bits
     every = np.ones(size + 1, bool)
     every[size] = False
-    told = documents.mapInArrow(featurizer(bits, prefixes, every), FEATURES).select("label", F.explode(F.array_distinct("feature")).alias("feature"))
+    told = documents.mapInArrow(featurizer(bits, prefixes, every, most), FEATURES).select("label", F.explode(F.array_distinct("feature")).alias("feature"))
     counts = told.groupBy("feature").agg(F.count("*").alias("seen"), F.sum("label").alias("toxic")).filter("seen >= 3").toArrow()
     base = documents.agg(F.avg("label")).first()[0] or 0.0
     at, seen, toxic = (counts.column(c).to_numpy().astype(np.int64) for c in ("feature", "seen", "toxic"))
@@ -126,7 +135,7 @@ def fit(table: pa.Table, share: float, bits: int, rounds: int = 150, rate: float
 
 
 def scorer(weights, bias: float, leak: float, bits: int, prefixes: tuple[int, ...], threshold: float):
-    """(doc_id, held_out, text) to (doc_id, held_out, score, sentences): the sentences that offend, in code points."""
+    """(who, held_out, text) to (who, held_out, score, sentences): the sentences that offend, in code points."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
     def run(batches):
@@ -144,30 +153,31 @@ def scorer(weights, bias: float, leak: float, bits: int, prefixes: tuple[int, ..
                 found = pa.StructArray.from_arrays([pa.array(points[start[bad]] - base), pa.array(points[end[bad]] - base), pa.array(p[bad])], fields=list(span))
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[bad], np.arange(len(rows))).astype(np.int32)), found)
                 n = len(rows) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.clip(score, 0, 1)), lists], names=["doc_id", "held_out", "score", "sentences"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.clip(score, 0, 1)), lists], names=["who", "held_out", "score", "sentences"])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, fold: int = 0, sample: int = 3000, longest: int = 40_000, bits: int = BITS, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, n_offending, sentences (array of start, end, p)."""
+def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, fold: int = 0, sample: int = 3000, most: int = 2000, bits: int = BITS, prefixes: tuple[int, ...] = PREFIXES, keys: bool = False) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, n_offending, sentences (array of start, end, p); with keys also k1 and k2 of common.row_keys."""
     texts = common.text_of(docs, "doc_id")
     told = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels[column].cast("int") > 0).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     # ids are chosen first: of the texts only the sample's, one for each id, are moved
-    short = texts.filter(F.length("text") <= longest)
-    known = common.saved(short.select("doc_id").join(told.filter(~held_out(F.col("doc_id"), folds, fold)), "doc_id").distinct(), "known")
+    known = common.saved(texts.select("doc_id").join(told.filter(~held_out(F.col("doc_id"), folds, fold)), "doc_id").distinct(), "known")
     least = [common.least_hashed(known.filter(F.col("label") == label), n) for label, n in ((0, sample), (1, max(1, sample // 3)))]
     chosen = common.saved(least[0].unionByName(least[1]), "chosen")
-    picked = common.saved(short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), "picked")
+    picked = common.saved(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), "picked")
     total = told.filter(~held_out(F.col("doc_id"), folds, fold)).agg(F.avg(F.col("label").cast("double"))).first()[0]
-    useful = useful_features(picked, bits, prefixes)
-    weights, bias, leak = fit(picked.mapInArrow(featurizer(bits, prefixes, useful), FEATURES).toArrow(), min(max(total or 0.0, 1e-3), 1 - 1e-3), bits)
+    useful = useful_features(picked, bits, prefixes, most)
+    weights, bias, leak = fit(picked.mapInArrow(featurizer(bits, prefixes, useful, most), FEATURES).toArrow(), min(max(total or 0.0, 1e-3), 1 - 1e-3), bits)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    scored = texts.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text").mapInArrow(scorer(shared, bias, leak, bits, prefixes, 0.5), "doc_id long, held_out boolean, score double, sentences array<struct<start:long,end:long,p:double>>")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").cast("long").alias("n_offending"), "sentences")
+    who, named = (("doc_id", "k1", "k2"), common.row_keys(texts)) if keys else (("doc_id",), texts)
+    scored = named.select(F.struct(*who).alias("who"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text")
+    scored = scored.mapInArrow(scorer(shared, bias, leak, bits, prefixes, 0.5), f"who struct<{', '.join(f'{c}:long' for c in who)}>, held_out boolean, score double, sentences array<struct<start:long,end:long,p:double>>")
+    return scored.select("who.*", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").cast("long").alias("n_offending"), "sentences")
 
 
 def reject(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of docs that aren't predicted toxic. Rows that share a doc_id go together."""
-    bad = common.saved(score(docs, labels, **how).filter("predicted = 1").select("doc_id"), "toxic")
-    return common.without_ids(docs, bad)
+    """The rows of docs that aren't predicted toxic, each judged by its own text, whatever ids it shares."""
+    bad = score(docs, labels, keys=True, **how).filter("predicted = 1").select("k1", "k2").distinct()
+    return common.without_rows(docs, common.saved(bad, "toxic"))

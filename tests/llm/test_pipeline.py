@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -36,3 +38,55 @@ def test_exact_sql(spark):
     want = sorted(con.sql(queries.SQL["op4_exact_dedup"]).fetchall())
     got = queries.QUERIES["op4_exact_dedup"](spark, SF).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_rows_with_null_and_repeated_ids_stand_for_themselves(spark):
+    from lexarbor.llm import decontaminate, jaccard, toxicity
+
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    base, item = say(60), say(40)
+    near = base.rsplit(" ", 1)[0] + " end"
+    others = [say(50) for _ in range(6)]
+    rows = [(1, base, "a"), (None, base, "b"), (None, near, "c"), (7, near, "d"), (7, near, "e"), (None, others[0], "f"), (7, others[1], "g"), (1, others[2], "h"), (7, item + " " + others[3], "i"), (7, None, "j"), (None, "", "k"), (7, "", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    stays = {r.k1 for r in jaccard.representatives(docs).collect()}
+    assert stays == {"a", "f", "g", "h", "i", "j", "k", "l"}
+    # without the document of smallest id, of the equal rows d and e one stays
+    assert len(few := {r.k1 for r in jaccard.representatives(docs.filter("k1 <> 'a'")).collect()} & {"b", "c", "d", "e"}) == 1 and few < {"d", "e"}
+    kept = {r.k1 for r in decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert kept == {r[2] for r in rows} - {"i"}
+    bad = [(i, f"{say(8)}. you {rng.choice(['scum', 'fool'])}. {say(5)}") for i in range(100, 200)]
+    good = [(i, f"{say(8)}. {say(5)}") for i in range(200, 400)]
+    labels = spark.createDataFrame([(i, int(i < 200)) for i, _ in bad + good], "doc_id long, toxic int")
+    mixed = spark.createDataFrame([*bad, *good, (None, "you scum. you fool."), (None, say(20)), (150, say(20)), (150, None)], "doc_id long, text string")
+    left = sorted(map(tuple, toxicity.reject(mixed, labels).collect()), key=str)
+    told = {r.text: r.predicted for r in toxicity.score(mixed, labels, keys=True).join(common_keys(mixed), ["k1", "k2"]).collect()}
+    assert left == sorted((r for r in map(tuple, mixed.collect()) if not told[r[1]]), key=str)
+    assert (None, "you scum. you fool.") not in left and len([r for r in left if r[0] is None]) == 1 and len([r for r in left if r[0] == 150 and not (r[1] or "").count("you")]) >= 2
+
+
+def common_keys(docs):
+    from lexarbor.llm import common
+
+    return common.row_keys(docs).select("k1", "k2", "text").distinct()
+
+
+def test_stages_lose_nothing_unrelated_and_take_empty_tables(spark, tmp_path):
+    from lexarbor.llm import common
+
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    rows = [(rng.choice([None, 1, 2, i]), say(30), rng.choice(["x", "y", None])) for i in range(120)]
+    rows += rows[:10] + [(5, None, "x"), (6, "", "x"), (None, " ", "x")]
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "none of these words is there at all in any of the texts here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.saved(stage(spark, docs, str(tmp_path)), "test")
+        left = {r.text for r in docs.collect() if r.text}
+        assert left >= {r[1] for r in rows if r[1] and r[1].strip()}, name
+    assert docs.count() == 121  # equal texts once, whatever their ids, and the empty ones
+    assert sum(r.copies for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) > 100
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.select("doc_id", "text", "source").limit(0), str(tmp_path)).count() == 0, name
