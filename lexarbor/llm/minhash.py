@@ -36,8 +36,8 @@ from lexarbor.llm.kernels import SPACED, U64, mix, pieces
 EMPTY = np.uint32(0xFFFFFFFF)
 #: Up to so many bins with a value a row's empty bins are filled by ranks, beyond by trying one after the other.
 SPARSE = 16
-#: Edges of a star that are verified beside one copy of the pivot's set.
-SPOKES = 128
+#: Edges of a star, and shingles of their sets, that are verified beside one copy of the pivot's set.
+SPOKES, SPOKE_SHINGLES = 128, 1_000_000
 
 
 def one_permutation(values: np.ndarray, offsets: np.ndarray, bins: int, seed: int) -> np.ndarray:
@@ -95,56 +95,69 @@ def signer(k: int, bins: int, seed: int, prints):
     return run
 
 
+def set_views(column: pa.Array) -> list[np.ndarray]:
+    """The sets in a column of bytes, without a copy."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+    data = column.buffers()[2]
+    values = np.frombuffer(data, U64, data.size // 8) if data is not None and data.size >= 8 else np.zeros(0, U64)
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def cells_of(batches, width: int):
-    """The rows of each run of equal first `width` columns, of batches sorted by these."""
-    held, key = [], None
+    """(columns, sets) of each run of equal first `width` columns, of batches sorted by these whose last column holds sets."""
+    held = None
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if r[:width] != key and held:
+        if not batch.num_rows:
+            continue
+        columns, sets = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]], set_views(batch.columns[-1])
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:width]], axis=0)) + 1
+        for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
+            part = [c[a:b] for c in columns], sets[a:b]
+            if held is not None and all(x[0] == y[0] for x, y in zip(held[0][:width], part[0], strict=False)):
+                held = [np.concatenate(x) for x in zip(held[0], part[0], strict=True)], held[1] + part[1]
+                continue
+            if held is not None:
                 yield held
-                held = []
-            key = r[:width]
-            held.append(r)
-    if held:
+            held = part
+        # what the next batch may go on with outlives this one
+        held = [c.copy() for c in held[0]], [s.copy() for s in held[1]]
+    if held is not None:
         yield held
 
 
 def star(batches):
     """Rows (pivot, block, node, shingles) sorted by the first two to (pivot, node, common, united): sizes of intersection and union of the sets of pivot and node."""
-    out = []
-    for rows in cells_of(batches, 2):
-        sets = {r[2]: np.frombuffer(r[3], U64) for r in rows}  # a repeated document stands there twice
-        pivot = sets.pop(rows[0][0])
-        for node, s in sets.items():
-            few, many = (s, pivot) if len(s) < len(pivot) else (pivot, s)
-            shared = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
-            out.append((rows[0][0], node, shared, len(s) + len(pivot) - shared))
-        if len(out) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["pivot", "node", "common", "united"])
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["pivot", "node", "common", "united"])
+    for (pivot, _, node), sets in cells_of(batches, 2):
+        _, first = np.unique(node, return_index=True)  # a repeated document stands there twice
+        centre = sets[int(np.flatnonzero(node == pivot)[0])]
+        first = first[node[first] != pivot[0]]
+        shared = np.zeros(len(first), np.int64)
+        for i, at in enumerate(first):
+            few, many = (sets[at], centre) if len(sets[at]) < len(centre) else (centre, sets[at])
+            shared[i] = (many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum()
+        united = np.array([len(sets[at]) + len(centre) for at in first], np.int64) - shared
+        yield pa.RecordBatch.from_arrays([pa.array(pivot[first]), pa.array(node[first]), pa.array(shared), pa.array(united)], names=["pivot", "node", "common", "united"])
 
 
 def crosser(threshold: float):
     """Rows (cell, left, right, node, root, shingles) sorted by the first three to (a, b): a spanning forest of the links between nodes of different roots."""
 
     def run(batches):
-        for rows in cells_of(batches, 3):
-            rows = list({r[3]: r for r in rows}.values())
-            root = np.array([r[4] for r in rows], np.int64)
+        for (_, _, _, node, root), sets in cells_of(batches, 3):
+            node, first = np.unique(node, return_index=True)
+            root = root[first]
             if (root == root[0]).all():
                 continue
-            link, _ = jaccard.linked([np.frombuffer(r[5], U64) for r in rows], threshold)
+            link, _ = jaccard.linked([sets[i] for i in first], threshold)
             link &= root[:, None] != root[None, :]
-            node, least = np.array([r[3] for r in rows], np.int64), jaccard.least_linked(link)
-            some = np.flatnonzero(least != np.arange(len(rows)))
+            least = jaccard.least_linked(link)
+            some = np.flatnonzero(least != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[least[some]])], names=["a", "b"])
 
     return run
 
 
-def near_components(docs: DataFrame, percent: int = 85, k: int = 3, bands: int = 32, rows: int = 6, seed: int = 11, spokes: int = SPOKES, cell_nodes: int = jaccard.CELL_NODES, cell_shingles: int = jaccard.CELL_SHINGLES, prints: Callable = jaccard.fingerprints, told: dict | None = None) -> DataFrame:
+def near_components(docs: DataFrame, percent: int = 85, k: int = 3, bands: int = 32, rows: int = 6, seed: int = 11, spokes: int = SPOKES, spoke_shingles: int = SPOKE_SHINGLES, cell_nodes: int = jaccard.CELL_NODES, cell_shingles: int = jaccard.CELL_SHINGLES, prints: Callable = jaccard.fingerprints, told: dict | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Linked are documents with 100 * intersection >= percent * union. component_id: the smallest doc_id that chains of links reach. told, if given,
@@ -170,7 +183,8 @@ def near_components(docs: DataFrame, percent: int = 85, k: int = 3, bands: int =
         return cells.join(sets, ["_k", "raw", "check"])
 
     # the stars, each in blocks that hold the pivot's set once
-    sized = common.saved(edges.groupBy("pivot").agg(F.count("*").alias("edges")).withColumn("blocks", F.ceil(F.col("edges") / spokes).cast("int")), "sized")
+    sized = edges.join(held.select("node", "n"), "node").groupBy("pivot").agg(F.count("*").alias("edges"), F.sum("n").alias("weight"))
+    sized = common.saved(sized.select("pivot", "edges", F.ceil(F.greatest(F.col("edges") / spokes, F.col("weight") / spoke_shingles)).cast("int").alias("blocks")), "sized")
     out = common.lookup(edges, sized, "pivot", "edges").select("pivot", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
     centres = sized.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("node"))
     dealt = with_sets(out.unionByName(centres)).select("pivot", "block", "node", "shingles").repartition("pivot", "block").sortWithinPartitions("pivot", "block")
