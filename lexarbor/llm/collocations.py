@@ -3,8 +3,8 @@
 Texts, A-Z lower-cased, are split at .,;:!? and line ends into pieces and these at blanks and tabs into words. All phrases of 1 to max_n words
 within a piece become rows (lang, phrase, c), hash-aggregated per language; a null lang is `und`.
 
-Phrases of k words are exploded after those of k - 1 have been counted, and only where both parts of k - 1 words were found often enough:
-a phrase occurs no oftener than its parts, so this leaves out only what can't be a candidate. The parts are looked up in a bitmap of fixed size (64 MB
+Phrases of two words are exploded after words have been counted, and longer ones after those of two, and only where all their words, or pairs of words, were found often
+enough: a phrase occurs no oftener than its parts, so this leaves out only what can't be a candidate. The parts are looked up in a bitmap of fixed size (64 MB
 at most) of their hashes, which may let more pass and never fewer; counts are of the phrases themselves, as strings, and exact. Rows of one stretch of text are combined before they leave Python.
 
 Each cut of a candidate looks up the counts of both sides (hot sides by broadcast, see common.lookup); scores are quotients of exact decimals. A
@@ -35,37 +35,36 @@ STRETCH = 1 << 20
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Of each byte: 0 in words, 1 between words, 2 between pieces; and the byte with A-Z lower-cased."""
-    kind, lower = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+    """Of each byte: 0 in words, 1 between words, 2 between pieces; and the byte with A-Z lower-cased, or a blank outside of words."""
+    kind, shown = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
     kind[[0x20, 0x09]] = 1
     kind[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
-    lower[0x41:0x5B] += 32
-    return kind, lower
+    shown[0x41:0x5B] += 32
+    shown[kind > 0] = 0x20
+    return kind, shown
 
 
-KIND, LOWERED = _tables()
+KIND, SHOWN = _tables()
 
 
 def packed_words(data: np.ndarray, rows: np.ndarray):
-    """Words as bytes with one blank after each, where each begins and ends there, its row, and whether the next word is of the same piece."""
+    """Words as bytes with one blank after each, where each begins and ends there, its row, and whether the next word is of the same piece.
+
+    Every row ends with a byte between pieces.
+    """
     kind = KIND[data]
     inside = kind == 0
-    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    cuts = rows[(rows > 0) & (rows < len(data))]
-    before[cuts] = False
-    after[cuts - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    size = ends - starts + 1
-    end = np.cumsum(size)
-    begin = end - size
-    flat = np.full(int(end[-1]) if len(end) else 0, 0x20, np.uint8)
-    flat[np.arange(len(flat)) != np.repeat(end - 1, size)] = LOWERED[data[inside]]
-    row = np.searchsorted(rows, starts, side="right") - 1
-    piece = np.cumsum(kind == 2)[starts] if len(starts) else starts
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edge = np.r_[0, edge] if len(data) and inside[0] else edge
+    starts, ends = edge[::2], edge[1::2]
+    inside[ends] = True  # the blank after a word
+    flat = SHOWN[data[inside]]
+    end = np.cumsum(ends - starts + 1) - 1
+    begin = end - (ends - starts)
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
     same = np.zeros(len(starts), bool)
-    same[:-1] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
-    return flat, begin, end - 1, row, same
+    same[:-1] = piece[1:] == piece[:-1]
+    return flat, begin, end, np.searchsorted(rows, starts, side="right") - 1, same
 
 
 @functools.lru_cache(4096)
@@ -88,10 +87,10 @@ def strings(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat[at]))
 
 
-def exploder(k: int, passes=None, bits: int = 0, stretch: int = STRETCH):
-    """(lang, text) to (lang, phrase, c) of the phrases of k words whose parts of k - 1 words the bitmap lets pass.
+def exploder(sizes: list[int], part: int = 0, passes=None, bits: int = 0, stretch: int = STRETCH):
+    """(lang, text) to (lang, phrase, c) of the phrases of so many words (sizes, in order, beyond part) of which the bitmap lets all parts of `part` words pass.
 
-    With one word, rows without a phrase hold the number of all words.
+    With phrases of one word, rows without a phrase hold the number of all words.
     """
 
     def run(batches):
@@ -101,24 +100,25 @@ def exploder(k: int, passes=None, bits: int = 0, stretch: int = STRETCH):
             code, salt = langs.indices.to_numpy(), np.array([_salt(x) for x in names.to_pylist()], U64)
             for at, data, rows in pieces(batch.column(1), stretch):
                 flat, begin, end, row, same = packed_words(data, rows)
-                if len(begin) < k:
-                    continue
                 lang = code[at + row]
-                first = np.arange(len(begin) - k + 1)
-                for i in range(k - 1):
-                    first = first[same[first + i]]
-                if k > 1:
-                    known = np.zeros(len(begin), bool)
-                    parts = np.union1d(first, first + 1)
-                    known[parts] = common.probe(passes.value, gram_hashes(flat, begin[parts], end[parts + k - 2], salt[lang[parts]]), bits)
-                    first = first[known[first] & known[first + 1]]
-                counted = pa.table({"lang": lang[first].astype(np.int64), "phrase": strings(flat, begin[first], end[first + k - 1])}).group_by(["lang", "phrase"]).aggregate([([], "count_all")])
-                lang_of, phrase, c = (counted.column(x).combine_chunks() for x in ("lang", "phrase", "count_all"))
-                if k == 1:
-                    n = np.bincount(lang, minlength=len(names))
-                    some = np.flatnonzero(n)
-                    lang_of, phrase, c = (pa.concat_arrays(x) for x in ((lang_of, pa.array(some)), (phrase, pa.nulls(len(some), phrase.type)), (c, pa.array(n[some]))))
-                yield pa.RecordBatch.from_arrays([names.take(lang_of), phrase.cast(pa.string()), c], names=["lang", "phrase", "c"])
+                first, known = np.arange(len(begin)), np.ones(len(begin), bool)
+                for k in range(1, sizes[-1] + 1):
+                    if k > 1:
+                        first = first[same[first + k - 2]]  # the last word's is false
+                    if k == part:
+                        known = np.zeros(len(begin), bool)
+                        known[first] = common.probe(passes.value, gram_hashes(flat, begin[first], end[first + k - 1], salt[lang[first]]), bits)
+                    if k >= part:
+                        first = first[known[first + k - max(part, 1)]]
+                    if k not in sizes or not len(first):
+                        continue
+                    counted = pa.table({"lang": lang[first].astype(np.int64), "phrase": strings(flat, begin[first], end[first + k - 1])}).group_by(["lang", "phrase"]).aggregate([([], "count_all")])
+                    lang_of, phrase, c = (counted.column(x).combine_chunks() for x in ("lang", "phrase", "count_all"))
+                    if k == 1:
+                        n = np.bincount(lang, minlength=len(names))
+                        some = np.flatnonzero(n)
+                        lang_of, phrase, c = (pa.concat_arrays(x) for x in ((lang_of, pa.array(some)), (phrase, pa.nulls(len(some), phrase.type)), (c, pa.array(n[some]))))
+                    yield pa.RecordBatch.from_arrays([names.take(lang_of), phrase.cast(pa.string()), c], names=["lang", "phrase", "c"])
 
     return run
 
@@ -133,29 +133,31 @@ def hasher(batches):
 
 
 def counts(docs: DataFrame, max_n: int = 5, least: int = 100) -> list[DataFrame]:
-    """Written tables (lang, phrase, f) of the phrases of 1, 2, .. words with at least `least` occurrences; the first also has all words of each language, without a phrase."""
+    """Written tables (lang, phrase, f) of the phrases with at least `least` occurrences: of one word, of two, and of all longer ones; the first also has all words of each language, without a phrase."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    ended = F.concat(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit("\n"))
+    texts = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), ended.alias("text"))
     out, passes, bits = [], None, 0
-    for k in range(1, max_n + 1):
-        grams = texts.mapInArrow(exploder(k, passes, bits), "lang string, phrase string, c long")
+    for part, sizes in enumerate(([1], [2], list(range(3, max_n + 1)))):
+        if not sizes or sizes[0] > max_n:
+            break
+        grams = texts.mapInArrow(exploder(sizes, part, passes, bits), "lang string, phrase string, c long")
         often = grams.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter((F.col("f") >= least) | F.col("phrase").isNull())
-        out.append(common.saved(often, f"grams-{k}"))
-        if k < max_n:
-            keys = out[-1].filter("phrase is not null").select("lang", "phrase")
-            n = keys.count()
-            if not n:
-                break
-            bits = min(MOST_BITS, max(15, (64 * n).bit_length()))
-            passes = spark.sparkContext.broadcast(common.bitmap(keys.mapInArrow(hasher, "h long"), "h", bits))
+        out.append(common.saved(often, f"grams-{sizes[0]}"))
+        keys = out[-1].filter("phrase is not null").select("lang", "phrase")
+        n = keys.count()
+        if not n:
+            break
+        bits = min(MOST_BITS, max(15, (64 * n).bit_length()))
+        passes = spark.sparkContext.broadcast(common.bitmap(keys.mapInArrow(hasher, "h long"), "h", bits))
     return out
 
 
 def scored(levels: list[DataFrame]) -> DataFrame:
     """(lang, phrase, k, a, l, r, n, score) of every phrase of two or more words, by its lowest-scoring cut."""
     every = functools.reduce(DataFrame.unionByName, [t.filter("phrase is not null") for t in levels])
-    found = functools.reduce(DataFrame.unionByName, [t.select("lang", "phrase", F.lit(k).alias("k"), F.col("f").alias("a")) for k, t in enumerate(levels[1:], 2)])
     ws = F.split("phrase", " ")
+    found = functools.reduce(DataFrame.unionByName, levels[1:]).select("lang", "phrase", F.size(ws).alias("k"), F.col("f").alias("a"))
     cuts = found.select("lang", "phrase", "k", "a", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     side = lambda name, part: F.struct(F.lit(name).alias("side"), F.array_join(part, " ").alias("part"))
     sides = cuts.select("lang", "phrase", "k", "a", "cut", F.explode(F.array(side("l", F.slice(ws, F.lit(1), F.col("cut"))), side("r", F.slice(ws, F.col("cut") + 1, F.col("k") - F.col("cut"))))).alias("s")).select("lang", "phrase", "k", "a", "cut", "s.side", "s.part")
