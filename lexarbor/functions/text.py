@@ -16,8 +16,7 @@ WORD = r"[\p{L}\p{N}_]"
 
 # The cleaner's patterns and placeholders.
 HTML_TAG = r"<[^>]+>"
-VIDEO_HOSTS = ("youtube.com", "youtu.be", "vk.com/video", "rutube.ru", "vimeo.com", "music.yandex.ru", "podcasts.apple.com")
-VIDEO_URL = r"https?://(?:www\.)?(?:" + "|".join(h.replace(".", r"\.") for h in VIDEO_HOSTS) + f"){NOT_SPACE}+"
+VIDEO_URL = r"https?://(?:www\.)?(?:youtube\.com|youtu\.be|vk\.com/video|rutube\.ru|vimeo\.com|music\.yandex\.ru|podcasts\.apple\.com)" + f"{NOT_SPACE}+"
 URL = f"https?://{NOT_SPACE}+"
 EMAIL = r"[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+\.[\p{L}\p{N}_]+"
 PHONE = r"\+?[0-9\-()" + SPACES + r"]{10,}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexarbor.operators import training
 from lexarbor.sources import readers
 
 LABELS = ["junk", "single", "listing"]
@@ -48,37 +49,50 @@ GENERATED_SQL = (
 )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, actual, predicted): classes from the labels, predictions wrong for two hash classes of seven."""
-    labels = table(spark, sf_dir, "labels")
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, actual): classes from the labels."""
     actual = F.when(F.col("toxic") == 1, "junk").when(F.col("quality") == 1, "single").otherwise("listing")
-    other = F.when(F.col("doc_id") % 7 == 3, "single").when(F.col("doc_id") % 7 == 5, "listing").otherwise(actual)
-    return labels.select("doc_id", actual.alias("actual"), other.alias("predicted"))
+    return table(spark, sf_dir, "labels").select("doc_id", actual.alias("actual"))
 
 
-PREDICTIONS_SQL = """select doc_id, case when toxic = 1 then 'junk' when quality = 1 then 'single' else 'listing' end as actual,
- case doc_id % 7 when 3 then 'single' when 5 then 'listing' else case when toxic = 1 then 'junk' when quality = 1 then 'single' else 'listing' end end as predicted from labels"""
+CLASSES_SQL = "select doc_id, case when toxic = 1 then 'junk' when quality = 1 then 'single' else 'listing' end as actual from labels"
 
+#: What share of the rows each condition learns from, and which scores are compared with constants.
+SHARES = dict(zip(CONDITIONS, (0.1, 0.2, 0.5, 1.0), strict=True))
+CONSTANTS = {"f1_macro": 0.71, "f1_junk": 0.82}
+EPOCHS = 10
 
-def _value(c: int, s: int, e: int) -> float:
-    return round(0.5 + 0.04 * c + ((s * 7 + e * 3 + c * 5) % 11) / 100 + 0.01 * min(e, 6), 4)
 
+def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out predictions of nearest-centroid runs on the embeddings, by condition, seed and epoch."""
+    return training.runs(table(spark, sf_dir, "embeddings"), "vec_id", "label", SHARES, SEEDS, EPOCHS)
 
-#: (condition, seed, curve of macro F1): runs stop after three to ten epochs.
-RUNS = [(name, s, [_value(c, s, e) for e in range(1, 4 + (s * 3 + c * 5) % 8)]) for c, name in enumerate(CONDITIONS) for s in SEEDS]
-METRICS = [(name, s, m, round(max(curve) + 0.01 * i, 4)) for name, s, curve in RUNS for i, m in enumerate(("f1_macro", "f1_junk"))]
-CONSTANTS = {"f1_macro": 0.71, "f1_junk": 0.82}
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.curves(training.scores(trained(spark, sf_dir)))
 
-def runs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RUNS, "condition string, seed long, curve array<double>")
 
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.metrics(training.scores(trained(spark, sf_dir)), F.col("label") == 0, "f1_junk")
 
-def metrics(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(METRICS, "condition string, seed long, metric string, value double")
 
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, actual, predicted) of one run when it has learned from everything."""
+    last = training.runs(table(spark, sf_dir, "embeddings"), "vec_id", "label", {"both": 1.0}, [42], EPOCHS).filter(F.col("epoch") == EPOCHS)
+    return last.select("vec_id", F.col("actual").cast("string").alias("actual"), F.col("predicted").cast("string").alias("predicted"))
 
-RUNS_SQL = "select * from (values " + ", ".join(f"('{n}', {s}, {[float(v) for v in c]}::double[])" for n, s, c in RUNS) + ") t(condition, seed, curve)"
-METRICS_SQL = "select * from (values " + ", ".join(f"('{n}', {s}, '{m}', {v}::double)" for n, s, m, v in METRICS) + ") t(condition, seed, metric, value)"
 
-LINKS = ["https://t.me/one", "https://t.me/two", "https://t.me/one", "https://t.me/+three"]
+CLASSES = [str(i) for i in range(10)]
+_HASH = "('0x' || substr(md5({x}), 1, 8))::bigint / 4294967296.0::double"
+TRAINED_SQL = f"""select s.seed, condition, epoch, vec_id, s.label as actual, arg_min(k.label, (list_distance(x, m), k.label)) as predicted
+  from (select vec_id, label, embedding::double[] as x, seed, {_HASH.format(x="seed || ':' || vec_id")} as u from embeddings, (select unnest({SEEDS}) as seed)) s
+  join (select seed, condition, epoch, label, list(m order by i) as m from (select seed, condition, epoch, label, i, avg(x[i]) as m from
+      (select *, least({EPOCHS - 1}, floor((u - 0.2::double) / 0.8::double * {EPOCHS}))::int as step from (select label, embedding::double[] as x, seed, {_HASH.format(x="seed || ':' || vec_id")} as u, {_HASH.format(x="seed || ':share:' || vec_id")} as v from embeddings, (select unnest({SEEDS}) as seed)))
+      join (values {", ".join(f"('{c}', {x}::double)" for c, x in SHARES.items())}) c(condition, share) on v < share, range(1, {EPOCHS + 1}) e(epoch), range(1, 65) d(i) where u >= 0.2 and step < epoch group by all) group by all) k on k.seed = s.seed
+  where u < 0.2 group by all"""
+SCORES_SQL = f"""select condition, seed, epoch, label, round(2 * sum(hit)::double / (sum(support) + sum(claimed)), 9) as f1 from (
+  select condition, seed, epoch, actual as label, 1 as support, 0 as claimed, (actual = predicted)::int as hit from ({TRAINED_SQL}) union all select condition, seed, epoch, predicted, 0, 1, 0 from ({TRAINED_SQL})) group by all"""
+RUNS_SQL = f"select condition, seed, list(f1 order by epoch) as curve from (select condition, seed, epoch, round(avg(f1), 6) as f1 from ({SCORES_SQL}) group by all) group by all"
+METRICS_SQL = f"""select condition, seed, unnest(['f1_macro', 'f1_junk']) as metric, unnest([b.f1_macro, b.f1_junk]) as value from (select condition, seed, arg_max({{'f1_macro': f1_macro, 'f1_junk': f1_junk}}, (f1_macro, -epoch)) as b
+  from (select condition, seed, epoch, round(avg(f1), 6) as f1_macro, coalesce(max(f1) filter (where label = 0), 0.0::double) as f1_junk from ({SCORES_SQL}) group by all) group by all)"""
+JUDGED_SQL = f"select vec_id, actual::varchar as actual, predicted::varchar as predicted from ({TRAINED_SQL}) where condition = 'both' and seed = 42 and epoch = {EPOCHS}"

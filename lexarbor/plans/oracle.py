@@ -97,8 +97,20 @@ scores as (select words.g, words.k, case when coalesce(max(m) filter (where o =
 bleu as (select g, count(*) as n, case when count(*) >= 2 then avg(bleu) end as self_bleu from scores group by 1)"""
 
 
-CONFUSION = f"""p as ({fx.PREDICTIONS_SQL}), l as (select unnest({fx.LABELS}) as x),
-c as (select a.x as actual, b.x as predicted, count(p.doc_id) as n from l a cross join l b left join p on p.actual = a.x and p.predicted = b.x group by all)"""
+CONFUSION = f"""p as ({fx.JUDGED_SQL}), l as (select unnest({fx.CLASSES}) as x),
+c as (select a.x as actual, b.x as predicted, count(p.vec_id) as n from l a cross join l b left join p on p.actual = a.x and p.predicted = b.x group by all)"""
+
+LOSSES = f"""with u as (select doc_id, {U.format(seed=42, key="doc_id")} as u, {TOKENS} as ws from documents),
+t as (select doc_id, u, ws, unnest(range(1, len(ws) + 1)) as i from u), g as (select doc_id, u, i, case when i = 1 then '' else ws[i - 1] end as l, ws[i] as w, case when i = len(ws) then '' else ws[i + 1] end as r from t),
+n3 as (select l, w, r, count(*) as n from g where u >= 0.2 group by all), x3 as (select l, r, sum(n) as n, count(*) as t from n3 group by all),
+nl as (select l, w, sum(n) as n from n3 group by all), xl as (select l, sum(n) as n, count(*) as t from nl group by all), nr as (select r, w, sum(n) as n from n3 group by all), xr as (select r, sum(n) as n, count(*) as t from nr group by all),
+n0 as (select w, sum(n) as n from n3 group by all), x0 as (select coalesce(sum(n), 0) as n, count(*) as t from n0),
+a as (select doc_id, l, w, case when i = 128 then '' else r end as r from g where u < 0.2 and i <= 128),
+q as (select doc_id, (coalesce(n0.n, 0) + 1.0::double) / (x0.n + x0.t + 1) as p0, nl.n as cl, xl.n as al, xl.t as tl, nr.n as cr, xr.n as ar, xr.t as tr, n3.n as c3, x3.n as a3, x3.t as t3
+  from a cross join x0 left join n0 on n0.w = a.w left join nl on nl.l = a.l and nl.w = a.w left join xl on xl.l = a.l left join nr on nr.r = a.r and nr.w = a.w left join xr on xr.r = a.r
+  left join n3 on n3.l = a.l and n3.w = a.w and n3.r = a.r left join x3 on x3.l = a.l and x3.r = a.r),
+p1 as (select *, ((case when al > 0 then (coalesce(cl, 0) + tl * p0) / (al + tl) else p0 end) + (case when ar > 0 then (coalesce(cr, 0) + tr * p0) / (ar + tr) else p0 end)) / 2 as p1 from q),
+losses as (select doc_id, -avg(ln(case when a3 > 0 then (coalesce(c3, 0) + t3 * p1) / (a3 + t3) else p1 end)) as loss, count(*) as n_tokens from p1 group by 1)"""
 
 SQL = {
     "clean_text": f"select doc_id, clean_text from ({CLEAN_DOCS})",
@@ -143,8 +155,8 @@ SQL = {
       raw as (select doc_id, term, (1 + ln(tf)) * idf as w from c join idf using (term)), norm as (select doc_id, sqrt(sum(w * w)) as l from raw group by 1)
       select doc_id, term, round(w / l, 6) as w from raw join norm using (doc_id)""",
     "char_gram_df": "with t as (select doc_id as distinct_on, text from documents) select gram, count(*) as df from " + _grams("t") + " group by 1",
-    "label_balance": f"with p as ({fx.PREDICTIONS_SQL}) select actual, count(*) as n, round((select count(*) from p) / ((select count(distinct actual) from p) * count(*))::double, 6) as weight from p group by 1",
-    "label_encode": f"with p as ({fx.PREDICTIONS_SQL}) select doc_id, case actual when 'junk' then 0 when 'single' then 1 else 2 end as code from p",
+    "label_balance": f"with p as ({fx.CLASSES_SQL}) select actual, count(*) as n, round((select count(*) from p) / ((select count(distinct actual) from p) * count(*))::double, 6) as weight from p group by 1",
+    "label_encode": f"with p as ({fx.CLASSES_SQL}) select doc_id, case actual when 'junk' then 0 when 'single' then 1 else 2 end as code from p",
     "confusion": f"with {CONFUSION} select actual, predicted, n from c",
     "class_report": f"""with {CONFUSION}, s as (select x as label, (select sum(n) from c where actual = x) as support, (select sum(n) from c where predicted = x) as claimed, (select sum(n) from c where actual = x and predicted = x) as hit from l),
       e as (select *, case when claimed = 0 then 0 else hit / claimed::double end as precision, case when support = 0 then 0 else hit / support::double end as recall from s),
@@ -181,7 +193,7 @@ SQL = {
       h as (select *, least(1, max(s) over (partition by metric order by p range unbounded preceding)) as h from r) select test, condition, metric, round(p, 6) as p, round(h, 6) as p_holm, h <= 0.05::double as significant from h""",
     "cartography": """with h as (select (case when label < 4 then 'golden_' when label < 8 then 'aug_' else 'other_' end) || vec_id as id, label, list_transform(embedding[1:5], lambda v: round(v::double, 4)) as h from embeddings),
       x as (select id, label, unnest(h) as v from h) select id, case when any_value(label) < 4 then 'Organic' when any_value(label) < 8 then 'Synthetic' end as origin, round(avg(v), 6) as confidence, round(stddev_pop(v), 6) as variability from x group by 1""",
-    "strat_split": f"""with p as ({fx.PREDICTIONS_SQL}), r as (select *, row_number() over (partition by actual order by md5('42:' || doc_id), doc_id) as r, count(*) over (partition by actual) as n from p)
+    "strat_split": f"""with p as ({fx.CLASSES_SQL}), r as (select *, row_number() over (partition by actual order by md5('42:' || doc_id), doc_id) as r, count(*) over (partition by actual) as n from p)
       select doc_id, actual, case when r <= floor(0.2::double * n + 0.5) then 'test' else 'train' end as part from r""",
     "hash_sample": "select doc_id, source from documents order by md5('7:' || doc_id), doc_id limit 300",
     "weighted_choice": f"select doc_id, {_weighted()} as model, round(0.3::double + 0.9::double * {U.format(seed=6, key='doc_id')}, 2) as temperature from documents",
@@ -191,12 +203,14 @@ SQL = {
       select round(1.4::double * max(greatest(abs(mean + margin), abs(mean - margin), 0.0581::double)), 6) as bound from b""",
     "macro_centroid_cosine": """with x as (select vec_id, label, unnest(range(1, len(embedding) + 1)) as i, unnest(embedding)::double as v from embeddings), c as (select label, i, avg(v) as c from x group by all),
       e as (select vec_id, label, sum(v * c) / (sqrt(sum(v * v)) * sqrt(sum(c * c))) as cosine from x join c using (label, i) group by all), l as (select avg(cosine) as m from e group by label) select round(avg(m), 6) as macro_mean_cosine from l""",
-    "pseudo_perplexity": "select event_type, round(exp(sum((event_id % 7) / 2.0::double * (event_id % 9)) / sum(event_id % 9)), 6) as pppl from events where event_id % 9 > 0 group by 1",
+    "token_losses": LOSSES + " select doc_id, round(loss, 6) as loss, n_tokens from losses",
+    "pseudo_perplexity": LOSSES + " select source, round(exp(sum(loss * n_tokens) / sum(n_tokens)), 4) as pppl from losses join documents using (doc_id) group by 1",
     "softmax_predict": """with l as (select vec_id, list_transform(embedding[1:3], lambda x: round(x::double, 4)) as z from embeddings), e as (select vec_id, z, list_transform(z, lambda x: exp(x - list_max(z))) as e from l)
       select vec_id, ['junk', 'single', 'listing'][list_position(z, list_max(z))] as label, round(list_max(e) / list_sum(e), 6) as p, round(-[1.0::double, 2.0::double, 0.5::double][(vec_id % 3 + 1)::int] * ln(e[(vec_id % 3 + 1)::int] / list_sum(e)), 6) as loss from e""",
-    "warmup_schedule": "select step, round((case when step < 50 then 2e-5::double * step / 50 else 2e-5::double * greatest(0.0::double, (500 - step) / 450.0::double) end) * 1e6, 6) as rate from (select i * 140 + 10 as step from range(5) t(i))",
+    "warmup_schedule": """with s as (select distinct vec_id // 8 as step from embeddings), t as (select max(step) + 1 as total, greatest(1, floor((max(step) + 1) * 0.1::double))::bigint as up from s)
+      select step, round((case when step < up then 2e-5::double * step / up else 2e-5::double * greatest(0.0::double, (total - step)::double / greatest(1, total - up)) end) * 1e6, 6) as rate from s, t""",
     "experiment_sizes": "select (select count(*) from documents) as train_size, (select count(*) from benchmark) as test_size, count(*) as aug_size, true as tapt_enabled, count(*) > 0 as aug_enabled from documents where lang = 'es'",
-    "crawl_targets": "select * from (values ('one', 'https://t.me/one', null::varchar), ('two', 'https://t.me/two', null), ('+three', 'https://t.me/+three', null), ('group', 't.me/group', '689')) t(name, entity, topic_id)",
+    "crawl_targets": "select split_part(url, '/', -1) as name, arg_min(url, page_id) as entity from pages where url is not null group by 1",
     "fill_quotas": f"""with g as (select record_id, label from ({fx.GENERATED_SQL}) where text is not null), q as (select * from (values ('junk', 2000), ('single', 1700), ('listing', 10)) t(label, quota)),
       have as (select q.label, greatest(0, any_value(quota) - count(g.record_id)) as open from q left join (select * from g where record_id % 2 = 0) g using (label) group by 1),
       r as (select *, row_number() over (partition by label order by record_id) as r from g where record_id % 2 <> 0) select record_id, label from r join have using (label) where r <= open""",

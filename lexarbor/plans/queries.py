@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexarbor.functions import stats
 from lexarbor.functions import text as tx
-from lexarbor.operators import corpus, dedup, diversity, evaluation, features, generation, leakage, ml, prompts, sampling, similarity
+from lexarbor.operators import corpus, dedup, diversity, evaluation, features, generation, leakage, masked, ml, prompts, sampling, similarity
 from lexarbor.plans import fixtures as fx
 from lexarbor.plans.fixtures import table
 
@@ -164,24 +164,24 @@ def char_gram_df(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def label_balance(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.class_weights(fx.predictions(spark, d), "actual").select("actual", "n", _six("weight"))
+    return evaluation.class_weights(fx.classes(spark, d), "actual").select("actual", "n", _six("weight"))
 
 
 @query
 def label_encode(spark: SparkSession, d: str) -> DataFrame:
     from lexarbor import schemas
 
-    return fx.predictions(spark, d).select("doc_id", evaluation.label_code(F.col("actual"), schemas.LABEL_CODES).alias("code"))
+    return fx.classes(spark, d).select("doc_id", evaluation.label_code(F.col("actual"), schemas.LABEL_CODES).alias("code"))
 
 
 @query
 def confusion(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.confusion(fx.predictions(spark, d), fx.LABELS)
+    return evaluation.confusion(fx.judged(spark, d), fx.CLASSES)
 
 
 @query
 def class_report(spark: SparkSession, d: str) -> DataFrame:
-    told = evaluation.report(evaluation.confusion(fx.predictions(spark, d), fx.LABELS))
+    told = evaluation.report(evaluation.confusion(fx.judged(spark, d), fx.CLASSES))
     return told.select("label", _six("precision"), _six("recall"), _six("f1"), F.col("support").cast("long").alias("support"))
 
 
@@ -242,52 +242,52 @@ def message_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def curve_pad(spark: SparkSession, d: str) -> DataFrame:
-    return fx.runs(spark).select("condition", "seed", F.posexplode(evaluation.pad_curve(F.col("curve"))).alias("i", "value")).select("condition", "seed", (F.col("i") + 1).alias("epoch"), "value")
+    return fx.runs(spark, d).select("condition", "seed", F.posexplode(evaluation.pad_curve(F.col("curve"))).alias("i", "value")).select("condition", "seed", (F.col("i") + 1).alias("epoch"), "value")
 
 
 @query
 def early_stop(spark: SparkSession, d: str) -> DataFrame:
-    return fx.runs(spark).select("condition", "seed", evaluation.early_stop(F.col("curve")).alias("s")).select("condition", "seed", "s.*")
+    return fx.runs(spark, d).select("condition", "seed", evaluation.early_stop(F.col("curve")).alias("s")).select("condition", "seed", "s.*")
 
 
 @query
 def epoch_stats(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.epoch_stats(fx.runs(spark), "condition", "curve").select("condition", "epoch", _six("mean"), _six("std"))
+    return evaluation.epoch_stats(fx.runs(spark, d), "condition", "curve").select("condition", "epoch", _six("mean"), _six("std"))
 
 
 @query
 def confidence_interval(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.confidence(fx.metrics(spark), ["condition", "metric"], "value").select("condition", "metric", "n", _six("mean"), _six("margin"))
+    return evaluation.confidence(fx.metrics(spark, d), ["condition", "metric"], "value").select("condition", "metric", "n", _six("mean"), _six("margin"))
 
 
 @query
 def ci_delta(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.confidence_of_delta(fx.metrics(spark), "condition", fx.BASE, "seed", ["metric"], "value").select("condition", "metric", _six("mean"), _six("margin"), "positive")
+    return evaluation.confidence_of_delta(fx.metrics(spark, d), "condition", fx.BASE, "seed", ["metric"], "value").select("condition", "metric", _six("mean"), _six("margin"), "positive")
 
 
-def _paired(spark: SparkSession) -> DataFrame:
-    rows = evaluation.deltas(fx.metrics(spark), "condition", fx.BASE, "seed", ["metric"], "value")
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    rows = evaluation.deltas(fx.metrics(spark, d), "condition", fx.BASE, "seed", ["metric"], "value")
     return evaluation.t_test(rows, ["condition", "metric"], F.col("delta"))
 
 
-def _one_sample(spark: SparkSession) -> DataFrame:
+def _one_sample(spark: SparkSession, d: str) -> DataFrame:
     constant = F.create_map(*(F.lit(x) for pair in fx.CONSTANTS.items() for x in pair))[F.col("metric")]
-    return evaluation.t_test(fx.metrics(spark), ["condition", "metric"], F.col("value") - constant)
+    return evaluation.t_test(fx.metrics(spark, d), ["condition", "metric"], F.col("value") - constant)
 
 
 @query
 def paired_ttest(spark: SparkSession, d: str) -> DataFrame:
-    return _paired(spark).select("condition", "metric", _six("mean_difference"), _six("t"), _six("p"))
+    return _paired(spark, d).select("condition", "metric", _six("mean_difference"), _six("t"), _six("p"))
 
 
 @query
 def one_sample_ttest(spark: SparkSession, d: str) -> DataFrame:
-    return _one_sample(spark).select("condition", "metric", _six("mean_difference"), _six("t"), _six("p"))
+    return _one_sample(spark, d).select("condition", "metric", _six("mean_difference"), _six("t"), _six("p"))
 
 
 @query
 def holm(spark: SparkSession, d: str) -> DataFrame:
-    tests = _paired(spark).withColumn("test", F.lit("paired")).unionByName(_one_sample(spark).withColumn("test", F.lit("one-sample")))
+    tests = _paired(spark, d).withColumn("test", F.lit("paired")).unionByName(_one_sample(spark, d).withColumn("test", F.lit("one-sample")))
     return stats.holm(tests.withColumn("p", F.round("p", 9)), ["metric"]).select("test", "condition", "metric", _six("p"), _six("p_holm"), "significant")
 
 
@@ -301,7 +301,7 @@ def cartography(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def strat_split(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.split(fx.predictions(spark, d), 0.2, "doc_id", 42, "actual").select("doc_id", "actual", "part")
+    return sampling.split(fx.classes(spark, d), 0.2, "doc_id", 42, "actual").select("doc_id", "actual", "part")
 
 
 @query
@@ -352,7 +352,7 @@ def pca(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tfidf_logistic(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text").join(fx.predictions(spark, d).select("doc_id", "actual"), "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text").join(fx.classes(spark, d).select("doc_id", "actual"), "doc_id")
     parts = sampling.split(docs.withColumn("label", (F.col("actual") == "junk").cast("double")), 0.2, "doc_id", 42, "actual")
     train, test = (parts.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
     terms = features.fit(features.term_counts(train, "doc_id"), train.count(), min_df=3, max_df=0.8, max_features=15000)
@@ -364,12 +364,12 @@ def tfidf_logistic(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def best_run(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.best_run(fx.metrics(spark), ["condition", "metric"], "value", "seed")
+    return evaluation.best_run(fx.metrics(spark, d), ["condition", "metric"], "value", "seed")
 
 
 @query
 def axis_bound(spark: SparkSession, d: str) -> DataFrame:
-    bars = evaluation.confidence_of_delta(fx.metrics(spark), "condition", fx.BASE, "seed", ["metric"], "value").withColumn("constant_delta", F.lit(-0.0581))
+    bars = evaluation.confidence_of_delta(fx.metrics(spark, d), "condition", fx.BASE, "seed", ["metric"], "value").withColumn("constant_delta", F.lit(-0.0581))
     return evaluation.axis_bound(bars).select(_six("bound"))
 
 
@@ -384,10 +384,20 @@ def macro_centroid_cosine(spark: SparkSession, d: str) -> DataFrame:
     return similarity.macro(similarity.centroid_cosine(vectors, similarity.centroids(vectors, "label"), "vec_id", "label")).select(_six("macro_mean_cosine"))
 
 
+def _losses(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("u", sampling.uniform(42, F.col("doc_id")))
+    return masked.losses(masked.fit(docs.filter("u >= 0.2")), docs.filter("u < 0.2"), "doc_id")
+
+
+@query
+def token_losses(spark: SparkSession, d: str) -> DataFrame:
+    return _losses(spark, d).select("doc_id", _six("loss"), "n_tokens")
+
+
 @query
 def pseudo_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    scored = table(spark, d, "events").select("event_type", (F.col("event_id") % 9).alias("n_tokens"), (F.col("event_id") % 7 / 2).alias("loss"))
-    return diversity.pseudo_perplexity(scored, "event_type").select("event_type", _six("pppl"))
+    scored = _losses(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return diversity.pseudo_perplexity(scored, "source").select("source", F.round("pppl", 4).alias("pppl"))
 
 
 @query
@@ -400,7 +410,9 @@ def softmax_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def warmup_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return fx.runs(spark).select("seed").distinct().select(((F.col("seed") - 40) * 140 + 10).alias("step")).select("step", F.round(evaluation.warmup_rate(F.col("step"), 500, 2e-5) * 1e6, 6).alias("rate"))
+    steps = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("step")).distinct()
+    total = steps.agg(F.max("step")).first()[0] + 1
+    return steps.select("step", F.round(evaluation.warmup_rate(F.col("step"), total, 2e-5) * 1e6, 6).alias("rate"))
 
 
 @query
@@ -413,7 +425,7 @@ def experiment_sizes(spark: SparkSession, d: str) -> DataFrame:
 def crawl_targets(spark: SparkSession, d: str) -> DataFrame:
     from lexarbor.sources import readers
 
-    return readers.targets(spark, fx.LINKS, [{"name": "group", "entity": "t.me/group", "topic_id": 689}]).select("name", "entity", F.col("topic_id").cast("string").alias("topic_id"))
+    return readers.linked_targets(table(spark, d, "pages"), "url", "page_id").select("name", "entity")
 
 
 @query

@@ -25,6 +25,12 @@ def targets(spark: SparkSession, links: list[str], extra: list[dict] | None = No
     return first.select("name", "t.*")
 
 
+def linked_targets(rows: DataFrame, link: str, order: str) -> DataFrame:
+    """(name, entity) from a table of links, named by the last segment; of a name the first by `order` stays, links that are null are left out."""
+    made = rows.filter(F.col(link).isNotNull()).select(tx.last_segment(F.col(link)).alias("name"), F.col(link).alias("entity"), order)
+    return made.groupBy("name").agg(F.min_by("entity", order).alias("entity"))
+
+
 def channel_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(posts, rejects) of a directory of JSON arrays, one file a channel, read recursively.
 

@@ -16,15 +16,13 @@ TEXTS = [
 
 
 def plain_clean(t):
-    if not isinstance(t, str) or not t:
-        return "empty"
-    t = re.sub(r"<[^>]+>", " ", t.lower())
-    t = re.sub(r"https?://(?:www\.)?(?:youtube\.com|youtu\.be|vk\.com/video|rutube\.ru|vimeo\.com|music\.yandex\.ru|podcasts\.apple\.com)\S+", " [MEDIA_URL] ", t)
-    t = re.sub(r"https?://\S+", " [URL] ", t)
-    t = re.sub(r"[\w\.-]+@[\w\.-]+\.\w+", " [EMAIL] ", t)
-    t = re.sub(r"[\+]?[0-9\s\-\(\)]{10,}", " [PHONE] ", t)
-    t = " ".join(t.split())
-    return "empty" if len(t) <= 10 else " ".join(t.split()[:400])
+    """The definition, read with the library's own table of patterns, whose classes Python spells in another way."""
+    spelled = lambda p: re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", p).replace(r"\p{L}\p{N}_", r"\w")
+    out = (t or "").lower()
+    for pattern, to in ((tx.HTML_TAG, " "), (tx.VIDEO_URL, tx.PLACEHOLDERS["video"]), (tx.URL, tx.PLACEHOLDERS["url"]), (tx.EMAIL, tx.PLACEHOLDERS["email"]), (tx.PHONE, tx.PLACEHOLDERS["phone"])):
+        out = re.sub(spelled(pattern), to, out)
+    words = out.split()
+    return " ".join(words[: tx.MAX_WORDS]) if len(" ".join(words)) > tx.MIN_CHARS else tx.EMPTY
 
 
 def col(spark, values, f, kind="string"):
