@@ -6,6 +6,8 @@ within a piece become rows (lang, phrase, c), hash-aggregated per language; a nu
 Phrases of two words are exploded after words have been counted, and longer ones after those of two, and only where all their words, or pairs of words, were found often
 enough: a phrase occurs no oftener than its parts, so this leaves out only what can't be a candidate. The parts are looked up in a bitmap of fixed size (64 MB
 at most) of their hashes, which may let more pass and never fewer; counts are of the phrases themselves, as strings, and exact. Rows of one stretch of text are combined before they leave Python.
+Most pairs of frequent words are rare. So pairs are counted by hash first, in buckets whose numbers (sorted, as differences) and counts take about a byte each: one whose bucket
+has fewer occurrences than asked for can't have more, and isn't exploded. There are up to 2^29 buckets; if these fill, more pairs are exploded, never fewer.
 
 Each cut of a candidate looks up the counts of both sides (hot sides by broadcast, see common.lookup); scores are quotients of exact decimals. A
 candidate goes if a phrase one word longer has as many occurrences: what lies in a longer one of that count lies in one of one more word, too.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from lexarbor.llm.kernels import U64, mix, pieces, powers
 
 #: The largest bitmap of phrases: 2^29 bits, 64 MB.
 MOST_BITS = 29
+#: Buckets of one row of the sketch.
+RANGE = 1 << 15
 #: Bytes of text whose phrases are combined before they become rows.
 STRETCH = 1 << 20
 
@@ -87,38 +92,109 @@ def strings(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat[at]))
 
 
-def exploder(sizes: list[int], part: int = 0, passes=None, bits: int = 0, stretch: int = STRETCH):
-    """(lang, text) to (lang, phrase, c) of the phrases of so many words (sizes, in order, beyond part) of which the bitmap lets all parts of `part` words pass.
+class Filter:
+    """A bitmap of phrases' hashes at the tasks."""
+
+    def __init__(self, spark, bitmap: np.ndarray, bits: int):
+        self.shared, self.bits = spark.sparkContext.broadcast(bitmap), bits
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return common.probe(self.shared.value, hashes, self.bits)
+
+
+def grams(batch: pa.RecordBatch, sizes: list[int], part: int, passes: Filter | None, stretch: int):
+    """(names of languages, code of each word's one, bytes, begins and ends of words, k, first words, hash function) of the phrases of `sizes` words in (lang, text) whose parts of `part` words all pass."""
+    langs = batch.column(0).dictionary_encode()
+    names = pa.array(langs.dictionary.to_pylist(), pa.string())
+    code, salt = langs.indices.to_numpy(), np.array([_salt(x) for x in names.to_pylist()], U64)
+    for at, data, rows in pieces(batch.column(1), stretch):
+        flat, begin, end, row, same = packed_words(data, rows)
+        lang = code[at + row]
+        hashes = lambda first, k: gram_hashes(flat, begin[first], end[first + k - 1], salt[lang[first]])  # noqa: B023, E731
+        first, known = np.arange(len(begin)), np.ones(len(begin), bool)
+        for k in range(1, sizes[-1] + 1):
+            if k > 1:
+                first = first[same[first + k - 2]]  # the last word's is false
+            if k == part:
+                known = np.zeros(len(begin), bool)
+                known[first] = passes(hashes(first, k))
+            if k >= part:
+                first = first[known[first + k - max(part, 1)]]
+            if k in sizes and len(first):
+                yield names, lang, flat, begin, end, k, first, hashes
+
+
+def sketcher(k: int, part: int, passes: Filter, bits: int, stretch: int = STRETCH):
+    """(lang, text) to (range, block): how often buckets of phrases of k words occur in a batch, by ranges of buckets."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(hashes(first, k) & U64((1 << bits) - 1)).astype(np.uint32) for *_, first, hashes in grams(batch, [k], part, passes, stretch)]
+            bucket, c = np.unique(np.concatenate([*found, np.zeros(0, np.uint32)]), return_counts=True)
+            numbers, cuts = np.unique(bucket // RANGE, return_index=True)
+            blocks = []
+            for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
+                step = np.diff(bucket[a:b] % RANGE, prepend=0).astype("<u2")
+                blocks.append(zlib.compress(step.tobytes() + np.minimum(c[a:b], 255).astype(np.uint8).tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), pa.array(blocks, pa.binary())], names=["range", "block"])
+
+    return run
+
+
+def adder(least: int):
+    """(range, block) sorted by range to (range, bitmap) of the buckets with `least` occurrences or more; a block's count of 255 stands for any beyond, too."""
+    most = 1 << 40
+
+    def told(number, total):
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["range", "bitmap"])
+
+    def run(batches):
+        number, total = None, None
+        for batch in batches:
+            for n, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n != number:
+                    if number is not None:
+                        yield told(number, total)
+                    number, total = n, np.zeros(RANGE, np.int64)
+                raw = zlib.decompress(block)
+                size = len(raw) // 3
+                at, c = np.cumsum(np.frombuffer(raw, "<u2", size)), np.frombuffer(raw, np.uint8, size, 2 * size)
+                total[at] += np.where(c == 255, most, c)
+        if number is not None:
+            yield told(number, total)
+
+    return run
+
+
+def often(texts: DataFrame, k: int, part: int, passes: Filter, words: int, least: int) -> Filter:
+    """Lets all phrases of k words pass that occur `least` times or more, and those that share a bucket with such or with many others."""
+    bits = min(MOST_BITS, max(15, (words // 8).bit_length()))
+    blocks = texts.mapInArrow(sketcher(k, part, passes, bits), "range int, block binary").repartition("range").sortWithinPartitions("range")
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    told = blocks.mapInArrow(adder(least), "range int, bitmap binary").toArrow()
+    for number, raw in zip(told.column(0).to_pylist(), told.column(1).to_pylist(), strict=True):
+        table[number * RANGE // 8 : (number + 1) * RANGE // 8] = np.frombuffer(raw, np.uint8)
+    return Filter(texts.sparkSession, table, bits)
+
+
+def exploder(sizes: list[int], part: int = 0, passes: Filter | None = None, itself: Filter | None = None, stretch: int = STRETCH):
+    """(lang, text) to (lang, phrase, c) of the phrases of so many words (sizes, in order, beyond part) whose parts of `part` words, and if asked for that themselves, pass.
 
     With phrases of one word, rows without a phrase hold the number of all words.
     """
 
     def run(batches):
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            names = pa.array(langs.dictionary.to_pylist(), pa.string())
-            code, salt = langs.indices.to_numpy(), np.array([_salt(x) for x in names.to_pylist()], U64)
-            for at, data, rows in pieces(batch.column(1), stretch):
-                flat, begin, end, row, same = packed_words(data, rows)
-                lang = code[at + row]
-                first, known = np.arange(len(begin)), np.ones(len(begin), bool)
-                for k in range(1, sizes[-1] + 1):
-                    if k > 1:
-                        first = first[same[first + k - 2]]  # the last word's is false
-                    if k == part:
-                        known = np.zeros(len(begin), bool)
-                        known[first] = common.probe(passes.value, gram_hashes(flat, begin[first], end[first + k - 1], salt[lang[first]]), bits)
-                    if k >= part:
-                        first = first[known[first + k - max(part, 1)]]
-                    if k not in sizes or not len(first):
-                        continue
-                    counted = pa.table({"lang": lang[first].astype(np.int64), "phrase": strings(flat, begin[first], end[first + k - 1])}).group_by(["lang", "phrase"]).aggregate([([], "count_all")])
-                    lang_of, phrase, c = (counted.column(x).combine_chunks() for x in ("lang", "phrase", "count_all"))
-                    if k == 1:
-                        n = np.bincount(lang, minlength=len(names))
-                        some = np.flatnonzero(n)
-                        lang_of, phrase, c = (pa.concat_arrays(x) for x in ((lang_of, pa.array(some)), (phrase, pa.nulls(len(some), phrase.type)), (c, pa.array(n[some]))))
-                    yield pa.RecordBatch.from_arrays([names.take(lang_of), phrase.cast(pa.string()), c], names=["lang", "phrase", "c"])
+            for names, lang, flat, begin, end, k, first, hashes in grams(batch, sizes, part, passes, stretch):
+                if itself is not None:
+                    first = first[itself(hashes(first, k))]
+                counted = pa.table({"lang": lang[first].astype(np.int64), "phrase": strings(flat, begin[first], end[first + k - 1])}).group_by(["lang", "phrase"]).aggregate([([], "count_all")])
+                lang_of, phrase, c = (counted.column(x).combine_chunks() for x in ("lang", "phrase", "count_all"))
+                if k == 1:
+                    n = np.bincount(lang, minlength=len(names))
+                    some = np.flatnonzero(n)
+                    lang_of, phrase, c = (pa.concat_arrays(x) for x in ((lang_of, pa.array(some)), (phrase, pa.nulls(len(some), phrase.type)), (c, pa.array(n[some]))))
+                yield pa.RecordBatch.from_arrays([names.take(lang_of), phrase.cast(pa.string()), c], names=["lang", "phrase", "c"])
 
     return run
 
@@ -137,19 +213,20 @@ def counts(docs: DataFrame, max_n: int = 5, least: int = 100) -> list[DataFrame]
     spark = docs.sparkSession
     ended = F.concat(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit("\n"))
     texts = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), ended.alias("text"))
-    out, passes, bits = [], None, 0
+    out, passes, itself = [], None, None
     for part, sizes in enumerate(([1], [2], list(range(3, max_n + 1)))):
         if not sizes or sizes[0] > max_n:
             break
-        grams = texts.mapInArrow(exploder(sizes, part, passes, bits), "lang string, phrase string, c long")
-        often = grams.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter((F.col("f") >= least) | F.col("phrase").isNull())
-        out.append(common.saved(often, f"grams-{sizes[0]}"))
+        if sizes == [2]:
+            itself = often(texts, 2, 1, passes, out[0].filter("phrase is null").agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0], least)
+        counted = texts.mapInArrow(exploder(sizes, part, passes, itself), "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
+        out.append(common.saved(counted.filter((F.col("f") >= least) | F.col("phrase").isNull()), f"grams-{sizes[0]}"))
         keys = out[-1].filter("phrase is not null").select("lang", "phrase")
         n = keys.count()
         if not n:
             break
-        bits = min(MOST_BITS, max(15, (64 * n).bit_length()))
-        passes = spark.sparkContext.broadcast(common.bitmap(keys.mapInArrow(hasher, "h long"), "h", bits))
+        bits, itself = min(MOST_BITS, max(15, (64 * n).bit_length())), None
+        passes = Filter(spark, common.bitmap(keys.mapInArrow(hasher, "h long"), "h", bits), bits)
     return out
 
 
