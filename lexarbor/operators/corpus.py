@@ -31,27 +31,30 @@ def relevant(docs: DataFrame, vocabulary: list[str], least: int = tx.MIN_SCORE,
 BROADCAST_ROWS, SALTS = 500_000, 16
 
 
-def lemmatised(docs: DataFrame, key: str, words: str, dictionary: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs (unique by key) with `lemmas` (replaced if there): each word's lemma by a table (word, lemma), in order; the word itself if it isn't there.
+def lemmatised(docs: DataFrame, words: str, dictionary: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with `lemmas` (replaced if there): each word's lemma by a table (word, lemma), in order; the word itself if it isn't there.
 
-    Of several lemmas of a word the least counts; null words have none. A dictionary of up to broadcast_rows rows is broadcast, a
+    A list of words has one list of lemmas, whatever rows hold it and whatever their ids, so it is looked up once, by 128 bits of its hash. Of several lemmas of a word the least counts; null words have none. A dictionary of up to broadcast_rows rows is broadcast, a
     larger one is joined by word and salt, so that a frequent word is no single task's.
     """
     first = dictionary.filter("word is not null").groupBy("word").agg(F.min("lemma").alias("_lemma"))
-    each = docs.select(key, F.posexplode(words).alias("_i", "word"))
+    same = ["_k1", "_k2"]
+    told = F.transform(words, lambda w: F.coalesce(F.concat(F.lit("="), w), F.lit("")))  # a hash passes over nulls
+    keyed = docs.drop("lemmas").withColumns({"_k1": F.xxhash64(told), "_k2": F.xxhash64(F.lit(1), told)})
+    each = keyed.select(*same, F.col(words).alias("_w")).dropDuplicates(same).select(*same, F.posexplode("_w").alias("_i", "word"))
     if dictionary.limit(broadcast_rows + 1).count() <= broadcast_rows:
         joined = each.join(F.broadcast(first), "word", "left")
     else:
         salted = first.withColumn("_s", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-        joined = each.withColumn("_s", F.pmod(F.hash(key, "_i"), F.lit(SALTS))).join(salted, ["word", "_s"], "left")
+        joined = each.withColumn("_s", F.pmod(F.hash("_k1", "_i"), F.lit(SALTS))).join(salted, ["word", "_s"], "left")
     lemma = F.struct("_i", F.coalesce("_lemma", "word").alias("l"))
-    lists = joined.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(lemma)), lambda x: x["l"]).alias("lemmas"))
-    return docs.drop("lemmas").join(lists, key, "left").withColumn("lemmas", F.coalesce("lemmas", F.array().cast(tx.NONE)))
+    lists = joined.groupBy(*same).agg(F.transform(F.array_sort(F.collect_list(lemma)), lambda x: x["l"]).alias("lemmas"))
+    return keyed.join(lists, same, "left").drop(*same).withColumn("lemmas", F.coalesce("lemmas", F.array().cast(tx.NONE)))
 
 
-def relevant_by_table(docs: DataFrame, key: str, vocabulary: list[str], dictionary: DataFrame, least: int = tx.MIN_SCORE) -> DataFrame:
+def relevant_by_table(docs: DataFrame, vocabulary: list[str], dictionary: DataFrame, least: int = tx.MIN_SCORE) -> DataFrame:
     """relevant(), with lemmas from a table instead of a map."""
-    told = lemmatised(docs.withColumn("_words", tx.tokens(F.col("clean_text"))), key, "_words", dictionary).drop("_words")
+    told = lemmatised(docs.withColumn("_words", tx.tokens(F.col("clean_text"))), "_words", dictionary).drop("_words")
     return told.withColumn("score", tx.relevance(F.col("lemmas"), vocabulary)).filter(F.col("score") >= least)
 
 

@@ -137,10 +137,15 @@ def metadata(train: DataFrame, test: DataFrame, aug: DataFrame | None, tapt: boo
     return out.select("train_size", "test_size", "aug_size", F.lit(tapt).alias("tapt_enabled"), (F.lit(use_aug) & (F.col("aug_size") > 0)).alias("aug_enabled"))
 
 
+def distance(error: Column) -> Column:
+    """The proxy A-distance of an error, 2 (1 - 2 min(error, 1/2)), to four places."""
+    return F.round(2 * (1 - 2 * F.least(error, F.lit(0.5))), 4)
+
+
 def proxy_a_distance(predictions: DataFrame, by: list[str], actual: str, predicted: str) -> DataFrame:
-    """(by, error, pad): 2 (1 - 2 min(error, 1/2)), to four places."""
+    """(by, error, pad) of predictions."""
     e = predictions.groupBy(*by).agg(F.avg((F.col(actual) != F.col(predicted)).cast("double")).alias("error"))
-    return e.withColumn("pad", F.round(2 * (1 - 2 * F.least(F.col("error"), F.lit(0.5))), 4))
+    return e.withColumn("pad", distance(F.col("error")))
 
 
 def warmup_rate(step: Column, total: int, peak: float, warmup: float = 0.1) -> Column:

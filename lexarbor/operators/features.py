@@ -19,7 +19,12 @@ def fit(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0, ma
 
     max_features keeps the terms of largest total count; ties by term.
     """
-    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    return chosen(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), n_docs, min_df, max_df, max_features)
+
+
+def chosen(terms: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
+    """fit() of terms (term, df, total) that have been counted."""
+    terms = terms.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     if max_features is not None:
         terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
     return terms.withColumn("idf", F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1)

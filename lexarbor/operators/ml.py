@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexarbor.operators import dedup, evaluation, features, sampling
+from lexarbor.operators import dedup, evaluation, features
 
 
 def _numbered(terms: DataFrame) -> DataFrame:
@@ -19,8 +19,8 @@ def _numbered(terms: DataFrame) -> DataFrame:
     return terms.withColumn("i", (F.row_number().over(W.orderBy("term")) - 1).cast("long"))
 
 
-def vectors(docs: DataFrame, terms: DataFrame, key: str, low: int = 1, high: int = 2, sublinear: bool = True) -> DataFrame:
-    """docs with a sparse TF-IDF column `features`, of as many terms as were fitted (max_features bounds them).
+def vectors(docs: DataFrame, terms: DataFrame, key: str, low: int = 1, high: int = 2, sublinear: bool = True, counts: DataFrame | None = None) -> DataFrame:
+    """docs with a sparse TF-IDF column `features`, of as many terms as were fitted (max_features bounds them). counts: the documents' term counts, if they are there.
 
     The vectors are made in the JVM: a struct of the vector type's own fields, read as that type through JSON.
     """
@@ -28,7 +28,7 @@ def vectors(docs: DataFrame, terms: DataFrame, key: str, low: int = 1, high: int
 
     numbered = _numbered(terms.select("term", "idf"))
     size = terms.count()
-    weights = features.tfidf(features.term_counts(docs, key, low, high), numbered, key, sublinear).join(numbered.select("term", "i"), "term")
+    weights = features.tfidf(features.term_counts(docs, key, low, high) if counts is None else counts, numbered, key, sublinear).join(numbered.select("term", "i"), "term")
     packed = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("t"))
     held = F.coalesce("t", F.array().cast("array<struct<i:long,w:double>>"))
     fields = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), F.transform(held, lambda x: x["i"]).alias("indices"), F.transform(held, lambda x: x["w"]).alias("values"))
@@ -36,12 +36,12 @@ def vectors(docs: DataFrame, terms: DataFrame, key: str, low: int = 1, high: int
     return docs.join(packed, key, "left").withColumn("features", read["v"]).drop("t")
 
 
-def logistic(train: DataFrame, label: str, c: float = 5.0, rounds: int = 1000):
-    """Multinomial logistic regression, classes balanced, with the ridge that C stands for."""
-    weights = evaluation.class_weights(train, label).select(label, "weight")
+def logistic(train: DataFrame, label: str, c: float = 5.0, rounds: int = 1000, balanced: bool = True, features: str = "features"):
+    """Multinomial logistic regression, classes balanced if asked for, with the ridge that C stands for."""
+    weights = evaluation.class_weights(train, label).select(label, F.col("weight") if balanced else F.lit(1.0).alias("weight"))
     weighted = train.join(F.broadcast(weights), label)  # a row a class
     total = weighted.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(family="multinomial", elasticNetParam=0.0, standardization=False, weightCol="weight", labelCol=label, regParam=1 / (c * total), maxIter=rounds).fit(weighted)
+    return LogisticRegression(family="multinomial", featuresCol=features, elasticNetParam=0.0, standardization=False, weightCol="weight", labelCol=label, regParam=1 / (c * total), maxIter=rounds).fit(weighted)
 
 
 def svm(train: DataFrame, label: str, rounds: int = 100):
@@ -49,29 +49,6 @@ def svm(train: DataFrame, label: str, rounds: int = 100):
     return LinearSVC(labelCol=label, regParam=0.01, maxIter=rounds).fit(train)
 
 
-def pad_leaderboard(rows: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:
-    """(group, n, error, pad), lowest distance first: how well an SVM tells each group (few: generators) from other rows.
-
-    rows have `features`. A fifth of every group is held out, once for all distances. Of the rows of other groups each is drawn with
-    the probability that gives as many as the group has, by a hash of seed, group and key. A group without other rows has no distance.
-    """
-    dedup.ensure_checkpoints(rows.sparkSession)
-    parts = sampling.split(rows.filter(F.col(group).isNotNull()).select(group, key, "features"), 0.2, key, seed, group).checkpoint()
-    told, sizes = None, {r[0]: r[1] for r in parts.groupBy(group).count().collect()}  # a row a group
-    for g, n in sorted(sizes.items()):
-        rest = sum(sizes.values()) - n
-        if not rest:
-            continue
-        other = (F.col(group) != g) & (sampling.uniform(f"{seed}:{g}", F.col(key)) < n / rest)
-        pair = parts.filter((F.col(group) == g) | other).select(key, "features", "part", (F.col(group) == g).cast("double").alias("label"))
-        model = svm(pair.filter("part = 'train'").drop("part"), "label")
-        one = model.transform(pair.filter("part = 'test'").drop("part")).select(F.lit(g).alias(group), F.lit(n).cast("long").alias("n"), F.col("label").alias("_actual"), "prediction")
-        told = one if told is None else told.unionByName(one)
-    if told is None:
-        told = rows.limit(0).select(group, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("_actual"), F.lit(0.0).alias("prediction"))
-    return evaluation.proxy_a_distance(told, [group, "n"], "_actual", "prediction").orderBy("pad", group)
-
-
 def top_features(model, terms: DataFrame, n: int = 15) -> DataFrame:
     """(term, weight): the n terms of largest weight of a linear two-class model."""
     spark = terms.sparkSession
@@ -87,9 +64,10 @@ def pca(rows: DataFrame, column: str, k: int = 50) -> DataFrame:
     return PCA(k=k, inputCol="_v", outputCol="pca").fit(with_vector).transform(with_vector).drop("_v")
 
 
-def fused(rows: DataFrame, columns: list[str], label: str, c: float = 5.0, rounds: int = 100):
-    """A logistic regression on several feature vectors side by side."""
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="all"), LogisticRegression(family="multinomial", featuresCol="all", labelCol=label, elasticNetParam=0.0, standardization=False, regParam=1 / (c * max(1, rows.count())), maxIter=rounds)]).fit(rows)
+def fused(rows: DataFrame, columns: list[str], label: str, c: float = 5.0, rounds: int = 1000):
+    """A logistic regression on several feature vectors side by side, classes balanced; transform() takes the same columns."""
+    beside = VectorAssembler(inputCols=columns, outputCol="all")
+    return PipelineModel([beside, logistic(beside.transform(rows), label, c, rounds, features="all")])
 
 
 def softmax(logits: Column) -> Column:
@@ -122,13 +100,37 @@ def mean_pooled(tokens: Column, mask: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), width), lambda i: total(i) / n)
 
 
-def grid(train: DataFrame, test: DataFrame, key: str, label: str, configurations: list[dict]) -> list[tuple[dict, float]]:
-    """Accuracy of the logistic regression for each configuration of low, high, sublinear, min_df, max_df, max_features and c."""
-    out, n = [], train.count()
-    for conf in configurations:
-        shape = {k: conf[k] for k in ("low", "high") if k in conf}
-        terms = features.fit(features.term_counts(train, key, **shape), n, **{k: conf[k] for k in ("min_df", "max_df", "max_features") if k in conf})
-        a, b = (vectors(x, terms, key, sublinear=conf.get("sublinear", False), **shape) for x in (train, test))
-        right = logistic(a, label, conf.get("c", 5.0), 50).transform(b).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-        out.append((conf, right))
-    return out
+#: The configurations that are compared, the most frequent terms (None: all), the longest n-gram, sublinear counts, balanced classes, C.
+SETTINGS = [
+    {"max_features": m, "high": high, "sublinear": sub, "balanced": bal, "c": c}
+    for m, high, sub, bal, c in (
+        (1500, 1, False, False, 1.0), (1500, 1, False, True, 1.0), (5000, 1, False, False, 1.0), (5000, 1, False, True, 1.0), (10000, 1, False, True, 1.0), (None, 1, False, True, 1.0), (None, 1, True, True, 1.0),
+        (10000, 2, True, True, 1.0), (20000, 2, True, True, 1.0), (None, 2, True, True, 1.0), (None, 2, True, True, 0.5), (None, 2, True, True, 2.0), (None, 2, True, True, 5.0),
+    )
+]
+
+
+def grid(train: DataFrame, test: DataFrame, key: str, label: str, settings: list[dict] | None = None, rounds: int = 1000) -> DataFrame:
+    """(setting, macro_f1, accuracy), best first: the logistic regression for each of the settings (numbers in their list).
+
+    The n-grams of all texts are counted once, up to the longest asked for, and so are their document frequencies; a setting is a filter over these tables.
+    """
+    settings = SETTINGS if settings is None else settings
+    dedup.ensure_checkpoints(train.sparkSession)
+    longest = max(s.get("high", 1) for s in settings)
+    count = lambda docs: features.term_counts(docs, key, 1, longest).withColumn("size", F.size(F.split("term", " "))).checkpoint()
+    counts, others, n = count(train), count(test), train.count()
+    terms = counts.groupBy("term", "size").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).checkpoint()
+    told = None
+    for i, s in enumerate(settings):
+        some = features.chosen(terms.filter(F.col("size") <= s.get("high", 1)), n, s.get("min_df", 1), s.get("max_df", 1.0), s.get("max_features")).checkpoint()
+        a, b = (vectors(docs, some, key, sublinear=s.get("sublinear", False), counts=c) for docs, c in ((train, counts), (test, others)))
+        guess = logistic(a, label, s.get("c", 1.0), rounds, s.get("balanced", True)).transform(b)
+        one = guess.groupBy(F.col(label).cast("string").alias("actual"), F.col("prediction").cast("string").alias("predicted")).agg(F.count("*").alias("n")).withColumn("setting", F.lit(i))
+        told = one if told is None else told.unionByName(one)
+    told = told.checkpoint()
+    side = lambda c, name: told.groupBy("setting", F.col(c).alias("label")).agg(F.sum("n").alias(name))
+    hit = told.filter("actual = predicted").groupBy("setting", F.col("actual").alias("label")).agg(F.sum("n").alias("hit"))
+    each = side("actual", "support").join(side("predicted", "claimed"), ["setting", "label"], "full").join(hit, ["setting", "label"], "left").fillna(0)
+    scored = each.groupBy("setting").agg(F.avg(2 * F.col("hit") / (F.col("support") + F.col("claimed"))).alias("macro_f1"), (F.sum("hit") / F.sum("support")).alias("accuracy"))
+    return scored.orderBy(F.desc("macro_f1"), "setting")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexarbor.functions import stats
 from lexarbor.functions import text as tx
-from lexarbor.operators import corpus, dedup, diversity, evaluation, features, generation, leakage, masked, ml, prompts, sampling, similarity
+from lexarbor.operators import corpus, dedup, diversity, evaluation, features, generation, leakage, linear, maps, masked, ml, prompts, sampling, similarity
 from lexarbor.plans import fixtures as fx
 from lexarbor.plans.fixtures import table
 
@@ -62,7 +62,7 @@ def relevance_score(spark: SparkSession, d: str) -> DataFrame:
 @query
 def relevance_lemmas(spark: SparkSession, d: str) -> DataFrame:
     dictionary = spark.createDataFrame(list(fx.LEMMAS.items()), "word string, lemma string")
-    return corpus.relevant_by_table(corpus.cleaned(table(spark, d, "documents")), "doc_id", fx.LEMMA_VOCABULARY, dictionary).select("doc_id", "score")
+    return corpus.relevant_by_table(corpus.cleaned(table(spark, d, "documents")), fx.LEMMA_VOCABULARY, dictionary).select("doc_id", "score")
 
 
 @query
@@ -337,10 +337,12 @@ def lr_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def svm_pad(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
+    return linear.pad_leaderboard(table(spark, d, "embeddings"), "label", "vec_id")
+
 
-    e = table(spark, d, "embeddings").select("vec_id", "label", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    return ml.pad_leaderboard(e, "label", "vec_id")
+@query
+def landmark_map(spark: SparkSession, d: str) -> DataFrame:
+    return maps.mapped(table(spark, d, "embeddings"), "vec_id").select("vec_id", "label", "x", "y")
 
 
 @query

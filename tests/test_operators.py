@@ -203,11 +203,14 @@ def test_lemmas_from_a_table(spark):
     table = spark.createDataFrame([("cats", "cat"), ("ran", "run"), ("ran", "ran2"), (None, "y"), ("X", None)], "word string, lemma string")
     want = {1: ["cat", "sat", "cat", "x"], 2: [], 3: [], 4: ["X", "ran2"]}  # the least of two
     for rows in (100, 2):  # broadcast, and joined by word and salt
-        got = corpus.lemmatised(docs, "id", "words", table, rows)
+        got = corpus.lemmatised(docs, "words", table, rows)
         assert {r.id: [w for w in r.lemmas if w] for r in got.collect()} == want and got.columns == ["id", "words", "lemma", "lemmas"]
-    assert {r.id: r.lemmas for r in corpus.lemmatised(docs.filter("id = 1"), "id", "words", table.limit(0)).collect()} == {1: ["cats", "sat", "cats", "x"]}
+    assert {r.id: r.lemmas for r in corpus.lemmatised(docs.filter("id = 1"), "words", table.limit(0)).collect()} == {1: ["cats", "sat", "cats", "x"]}
+    # rows that share an id keep their own words, and rows that share words have lemmas of their own
+    twice = spark.createDataFrame([(1, ["los", "casa"]), (1, ["and", "the"]), (None, ["and", "the"]), (None, ["the", None]), (None, [None, "the"])], "id long, words array<string>")
+    assert sorted(str(r.lemmas) for r in corpus.lemmatised(twice, "words", table).collect()) == sorted(str(w) for w in (["los", "casa"], ["and", "the"], ["and", "the"], ["the", None], [None, "the"]))
     cleaned = docs.select("id", F.lit("Cats sat").alias("clean_text"))
-    assert [r.score for r in corpus.relevant_by_table(cleaned, "id", ["cat", "sat"], table, 2).collect()] == [2] * 4
+    assert [r.score for r in corpus.relevant_by_table(cleaned, ["cat", "sat"], table, 2).collect()] == [2] * 4
 
 
 def test_emoji_and_truncation(spark):
@@ -275,8 +278,8 @@ def test_text_classifier_end_to_end(spark):
     assert all(r.prediction == r.label for r in model.transform(made).filter("id <> 99").collect())
     top = ml.top_features(ml.svm(made, "label"), terms, 3)
     assert {r.term for r in top.collect()} <= {n for n in names if {"red", "apple", "pie"} & set(n.split())}
-    (_, right), = ml.grid(docs.filter("id < 30"), docs.filter("id between 30 and 39"), "id", "label", [{"min_df": 3}])
-    assert right == 1.0
+    told = ml.grid(docs.filter("id < 30"), docs.filter("id between 30 and 39"), "id", "label", [{"min_df": 3, "high": 2}, {"max_features": 1, "balanced": False}], 50).collect()
+    assert [(r.setting, r.macro_f1, r.accuracy) for r in told][0] == (0, 1.0, 1.0) and len(told) == 2 and len(ml.SETTINGS) == 13
     fused = ml.fused(made.withColumn("more", F.col("features")), ["features", "more"], "label")
     assert fused.transform(made.withColumn("more", F.col("features"))).filter("id <> 99 and prediction <> label").count() == 0
 

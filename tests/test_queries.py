@@ -28,13 +28,6 @@ def test_query_is_its_sql(spark, con, name):
     assert sorted(values(got), key=str) == sorted(values(want), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracle.SQL)))
-def test_other_queries_give_rows(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() > 0
-
-
-def test_svm_pad_has_every_label(spark):
-    rows = queries.QUERIES["svm_pad"](spark, "/root/testdata/sf0.01").collect()
-    labels = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").groupBy("label").count().collect()
-    assert {(r.label, r.n) for r in rows} == {(r[0], r[1]) for r in labels}
-    assert [r.pad for r in rows] == sorted(r.pad for r in rows) and all(0 <= r.pad <= 2 for r in rows)
+def test_queries_without_sql_are_tested_by_value_elsewhere():
+    # near_dup_survivors, pca, transrate: test_operators; landmark_map, svm_pad, lr_predict, tfidf_logistic: test_models
+    assert set(queries.QUERIES) - set(oracle.SQL) == {"landmark_map", "lr_predict", "near_dup_survivors", "pca", "svm_pad", "tfidf_logistic", "transrate"}
