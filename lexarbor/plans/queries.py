@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexarbor.functions import stats
 from lexarbor.functions import text as tx
-from lexarbor.operators import corpus, dedup, diversity, evaluation, features, generation, leakage, linear, maps, masked, ml, prompts, sampling, similarity
+from lexarbor.operators import corpus, dedup, diversity, evaluation, features, generation, leakage, linear, maps, masked, ml, network, prompts, sampling, similarity
 from lexarbor.plans import fixtures as fx
 from lexarbor.plans.fixtures import table
 
@@ -340,6 +340,12 @@ def svm_pad(spark: SparkSession, d: str) -> DataFrame:
     return linear.pad_leaderboard(table(spark, d, "embeddings"), "label", "vec_id")
 
 
+@query
+def network_runs(spark: SparkSession, d: str) -> DataFrame:
+    told = network.learning_curves(table(spark, d, "embeddings"), "vec_id", "label", fx.SHARES, fx.SEEDS, epochs=fx.EPOCHS)
+    return told.select("condition", "seed", "epoch", *(_six(c) for c in ("train_loss", "val_macro_f1")), "best")
+
+
 @query
 def landmark_map(spark: SparkSession, d: str) -> DataFrame:
     return maps.mapped(table(spark, d, "embeddings"), "vec_id").select("vec_id", "label", "x", "y")
