@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexarbor.operators import dedup, linear
+
 
 def coordinates(vectors: DataFrame, key: list[str], vector: str = "embedding") -> DataFrame:
     """(key, i, x) in long form."""
@@ -48,41 +50,46 @@ def macro(per_label: DataFrame, value: str = "mean_cosine") -> DataFrame:
 
 
 def moments(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
-    """(group, n, total, product): the vectors' sum and the sum of their outer products (row-major), one row per group.
+    """(group, n, total, product): the vectors' sum and the sum of their outer products (row-major), one row per group (as text; null is a group).
 
-    Each task adds its own rows up first, so a hot group costs a row per task.
+    Each task adds its own rows up first, and what tasks have of a group is added in two steps, so a hot group costs a row per task.
     """
-    schema = f"{group} {dict(vectors.dtypes)[group]}, n long, total array<double>, product array<double>"
 
     def add(batches):
         held: dict = {}
         for pdf in batches:
-            for g, part in pdf.groupby(group, dropna=False):
-                x = np.stack(part[vector].to_numpy()).astype(np.float64)
-                n, s, p = held.get(g, (0, 0.0, 0.0))
+            for g, part in pdf.groupby("g", dropna=False):
+                x = np.stack(part["x"].to_numpy()).astype(np.float64)
+                n, s, p = held.get(g, (0.0, 0.0, 0.0))
                 held[g] = (n + len(x), s + x.sum(0), p + x.T @ x)
         if held:
-            yield pd.DataFrame([(g, n, s, p.reshape(-1)) for g, (n, s, p) in held.items()], columns=[group, "n", "total", "product"])
+            yield pd.DataFrame([(g, [n], s, p.reshape(-1)) for g, (n, s, p) in held.items()], columns=["g", "n", "total", "product"])
 
-    return vectors.filter(F.col(vector).isNotNull()).select(group, vector).mapInPandas(add, schema)
+    rows = vectors.filter(F.col(vector).isNotNull()).select(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("g"), F.col(vector).alias("x"))
+    told = linear.added(rows, add, "g", ["n", "total", "product"])
+    return told.select(F.when(F.col("g") != "", F.substr("g", F.lit(2))).alias(group), F.col("n")[0].cast("long").alias("n"), "total", "product")
 
 
-def transrate(vectors: DataFrame, label: str, vector: str = "embedding", epsilon: float = 1e-4) -> float:
-    """Half the log-determinant of the covariance (+ epsilon I) less the same inside labels, weighed by their shares.
+def transrate(vectors: DataFrame, label: str, vector: str = "embedding", epsilon: float = 1e-4) -> DataFrame:
+    """One row (n, transrate): half the log-determinant of the covariance (+ epsilon I) less the same inside labels, weighed by their shares; 0 below two vectors.
 
-    A label of one vector gives nothing. The driver gets a matrix per label and task, whatever the number of vectors.
+    A label of one vector gives nothing. Determinants are taken by the tasks that hold a label's moments; no matrix leaves the executors.
     """
-    parts: dict = {}
-    for r in moments(vectors, label, vector).toLocalIterator():
-        n, s, p = parts.get(r[label], (0, 0.0, 0.0))
-        parts[r[label]] = (n + r.n, s + np.array(r.total), p + np.array(r["product"]))
 
     def half_logdet(n, s, p):
         d = len(s)
         cov = (p.reshape(d, d) - np.outer(s, s) / n) / (n - 1)
         return 0.5 * np.linalg.slogdet(cov + epsilon * np.eye(d))[1]
 
-    total = [sum(x[i] for x in parts.values()) for i in range(3)]
-    if not parts or total[0] < 2:
-        return 0.0
-    return float(half_logdet(*total) - sum(n / total[0] * half_logdet(n, s, p) for n, s, p in parts.values() if n > 1))
+    def each(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": pdf["n"], "v": [half_logdet(n, s, p) if n > 1 else 0.0 for n, s, p in zip(pdf["n"], pdf["total"], pdf["product"], strict=True)]})
+
+    dedup.ensure_checkpoints(vectors.sparkSession)
+    parts = moments(vectors, label, vector).checkpoint()
+    inside = parts.mapInPandas(each, "n long, v double").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("v")).alias("inside"))
+    whole = linear.added(
+        parts.select("n", "total", "product"), lambda batches: (pd.DataFrame([("", [float(pdf["n"].sum())], np.sum(np.stack(pdf["total"]), axis=0), np.sum(np.stack(pdf["product"]), axis=0))], columns=["g", "n", "total", "product"]) for pdf in batches if len(pdf)), "g", ["n", "total", "product"]
+    ).select(F.col("n")[0].cast("long").alias("n"), "total", "product").mapInPandas(each, "n long, v double")
+    rate = F.when(F.col("m") >= 2, F.col("v") - F.col("inside") / F.col("m")).otherwise(0.0)
+    return inside.join(whole, F.col("m") == F.col("n"), "left").select(F.coalesce("m", F.lit(0)).alias("n"), F.coalesce(rate, F.lit(0.0)).alias("transrate"))  # one row each

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexarbor.functions import text as tx
 from lexarbor.operators import training
 from lexarbor.sources import readers
 
@@ -96,3 +97,11 @@ RUNS_SQL = f"select condition, seed, list(f1 order by epoch) as curve from (sele
 METRICS_SQL = f"""select condition, seed, unnest(['f1_macro', 'f1_junk']) as metric, unnest([b.f1_macro, b.f1_junk]) as value from (select condition, seed, arg_max({{'f1_macro': f1_macro, 'f1_junk': f1_junk}}, (f1_macro, -epoch)) as b
   from (select condition, seed, epoch, round(avg(f1), 6) as f1_macro, coalesce(max(f1) filter (where label = 0), 0.0::double) as f1_junk from ({SCORES_SQL}) group by all) group by all)"""
 JUDGED_SQL = f"select vec_id, actual::varchar as actual, predicted::varchar as predicted from ({TRAINED_SQL}) where condition = 'both' and seed = 42 and epoch = {EPOCHS}"
+
+
+def inflected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, lemma, part): words of the documents that are another one of five letters or more and up to three more; the longest such other one stands for a lemma. part: 0 to 4 by hash."""
+    words = table(spark, sf_dir, "documents").select(F.explode(tx.tokens(F.coalesce("text", F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("length(word) >= 5").select("word")
+    shorter = words.filter("length(word) >= 6").select("word", F.explode(F.filter(F.transform(F.array(*(F.lit(i) for i in (1, 2, 3))), lambda i: F.when(F.length("word") - i >= 5, F.left(F.col("word"), F.length("word") - i))), lambda x: x.isNotNull())).alias("lemma"))
+    found = shorter.join(words.withColumnRenamed("word", "lemma"), "lemma").groupBy("word").agg(F.max("lemma").alias("lemma"))  # the longest is the greatest
+    return found.withColumn("part", F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % 5)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from lexarbor.functions import text as tx
-from lexarbor.operators import dedup, generation
+from lexarbor.functions import vocabulary
+from lexarbor.operators import dedup, generation, prompts
 from lexarbor.operators.prompts import PROMPTS
 from lexarbor.plans import fixtures as fx
 
@@ -69,6 +72,27 @@ def _prompt(label: str, seed: int) -> str:
     return out
 
 
+def _grammar(template: str, fields: dict, seed: int, key: str) -> str:
+    """The text of a grammar for a key, told again from its definition."""
+    u = lambda name: U.format(seed=f"{seed}-{name}", key=key)
+
+    def told(name: str) -> str:
+        f = fields[name]
+        if isinstance(f, prompts.Several):
+            return f"array_to_string(list_transform(list_sort(list_transform({f.pool}, lambda x: md5('{seed}-{name}:' || {key} || ':' || x) || x))[1:{f.k}], lambda x: substr(x, 33)), '{f.between}')"
+        if isinstance(f, prompts.Number):
+            return f"(({f.low} + floor({u(name)} * {f.high - f.low + 1}))::int * {f.unit})::varchar"
+        if isinstance(f, list):
+            return f"[{', '.join(text(x) for x in f)}][floor({u(name)} * {len(f)})::int + 1]"
+        whens = " ".join(f"when '{v}' then {text(t)}" for v, t in f.texts.items())
+        return f"case {fields[f.of]}[floor({u(f.of)} * {len(fields[f.of])})::int + 1] {whens} else {text(f.otherwise)} end"
+
+    def text(t: str) -> str:
+        return "(" + " || ".join(told(p) if i % 2 else f"'{p}'" for i, p in enumerate(re.split(r"\{(\w+)\}", t))) + ")"
+
+    return text(template)
+
+
 def _weighted() -> str:
     total, out, names = 0.0, "case", list(generation.MODEL_WEIGHTS)
     whole = sum(generation.MODEL_WEIGHTS.values())
@@ -119,6 +143,7 @@ SQL = {
     "length_filter": f"select source, count(*) as n_docs, round(avg(n), 6) as mean_words from (select source, len({_words('clean_text')}) as n from ({CLEAN_DOCS}) where clean_text <> 'empty') where n >= 20 group by source",
     "relevance_score": f"""select doc_id, score from (select doc_id, len({_words('clean_text')}) as n, len(list_intersect(list_distinct(regexp_extract_all(lower(clean_text), '{tx.WORD}+')), {fx.VOCABULARY}))::int as score
       from ({CLEAN_DOCS}) where clean_text <> 'empty') where n >= 20 and score >= 2""",
+    "keyword_relevance": f"""select page_id, len(list_intersect(list_distinct(regexp_extract_all(lower(clean_text), '{tx.WORD}+')), {vocabulary.lemma_set(vocabulary.CORRECTED)}))::int as score from ({_clean("html", "page_id", "page_id", "pages")}) where clean_text <> 'empty' and len({_words('clean_text')}) >= 20""",
     "relevance_lemmas": f"""select doc_id, count(distinct lemma)::int as score from (select doc_id, coalesce(lemma, word) as lemma from
       (select doc_id, unnest(regexp_extract_all(lower(clean_text), '{tx.WORD}+')) as word from ({CLEAN_DOCS}) where clean_text <> 'empty' and len({_words('clean_text')}) >= 20)
       left join (values {", ".join(map(str, fx.LEMMAS.items()))}) t(word, lemma) using (word)) where list_contains({fx.LEMMA_VOCABULARY}, lemma) group by 1 having count(distinct lemma) >= 2""",
@@ -198,6 +223,13 @@ SQL = {
     "hash_sample": "select doc_id, source from documents order by md5('7:' || doc_id), doc_id limit 300",
     "weighted_choice": f"select doc_id, {_weighted()} as model, round(0.3::double + 0.9::double * {U.format(seed=6, key='doc_id')}, 2) as temperature from documents",
     "prompt_gen": f"select record_id, case label when 'single' then {_prompt('single', 42)} when 'listing' then {_prompt('listing', 42)} when 'junk' then {_prompt('junk', 42)} end as prompt from ({fx.GENERATED_SQL})",
+    "prompt_grammar": f"select event_id, {_grammar(prompts.ANNOUNCEMENT.template, prompts.ANNOUNCEMENT.fields, 11, 'event_id')} as prompt from events",
+    "suffix_lemmas": f"""with v as (select distinct word from (select unnest({TOKENS}) as word from documents) where length(word) >= 5),
+      k as (select a.word, max(b.word) as lemma from (select word, left(word, length(word) - unnest([1, 2, 3])) as part from v) a join v b on b.word = a.part group by 1),
+      p as (select *, length(word) - length(lemma) as cut, ('0x' || substr(md5(word), 1, 8))::bigint % 5 as part from k),
+      e as (select right(word, i) as ending, cut, count(*) as n from (select word, cut, unnest(range(cut, least(5, length(word) - 1) + 1)) as i from p where part > 0) group by all having count(*) >= 2),
+      r as (select ending, arg_min(cut, (-n, cut)) as cut from e group by 1)
+      select word, coalesce(left(word, length(word) - arg_max(cut, length(ending))), word) as lemma from (select p.word, r.ending, r.cut from (select word, unnest(range(0, least(5, length(word) - 1) + 1)) as i from p where part = 0) p left join r on r.ending = right(p.word, i)) group by word""",
     "best_run": f"with m as ({fx.METRICS_SQL}) select condition, metric, arg_max(seed, (value, -seed)) as seed, max(value) as value from m group by all",
     "axis_bound": f"""with {DELTAS}, b as (select avg(d) as mean, {T975}::double * stddev_samp(d) / sqrt(count(*)) as margin from delta group by condition, metric)
       select round(1.4::double * max(greatest(abs(mean + margin), abs(mean - margin), 0.0581::double)), 6) as bound from b""",

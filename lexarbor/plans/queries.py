@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexarbor.functions import stats
 from lexarbor.functions import text as tx
-from lexarbor.operators import corpus, dedup, diversity, evaluation, features, generation, leakage, linear, maps, masked, ml, network, prompts, sampling, similarity
+from lexarbor.functions import vocabulary
+from lexarbor.operators import corpus, dedup, diversity, evaluation, features, generation, leakage, lemmas, linear, maps, masked, ml, network, prompts, sampling, similarity
 from lexarbor.plans import fixtures as fx
 from lexarbor.plans.fixtures import table
 
@@ -59,6 +60,12 @@ def relevance_score(spark: SparkSession, d: str) -> DataFrame:
     return corpus.relevant(corpus.cleaned(table(spark, d, "documents")), fx.VOCABULARY).select("doc_id", "score")
 
 
+@query
+def keyword_relevance(spark: SparkSession, d: str) -> DataFrame:
+    kept = corpus.cleaned(table(spark, d, "pages").withColumnRenamed("html", "text"))
+    return corpus.relevant(kept, vocabulary.lemma_set(vocabulary.CORRECTED), least=0).select("page_id", "score")
+
+
 @query
 def relevance_lemmas(spark: SparkSession, d: str) -> DataFrame:
     dictionary = spark.createDataFrame(list(fx.LEMMAS.items()), "word string, lemma string")
@@ -198,7 +205,7 @@ def centroid_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def transrate(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(similarity.transrate(table(spark, d, "embeddings"), "label"),)], "transrate double")
+    return similarity.transrate(table(spark, d, "embeddings"), "label").select("transrate")
 
 
 @query
@@ -320,6 +327,18 @@ def prompt_gen(spark: SparkSession, d: str) -> DataFrame:
     return prompts.generate(fx.generated(spark, d).select("record_id", "label"), "record_id", "label", 42).select("record_id", "prompt")
 
 
+@query
+def prompt_grammar(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", prompts.ANNOUNCEMENT.column(11, F.col("event_id")).alias("prompt"))
+
+
+@query
+def suffix_lemmas(spark: SparkSession, d: str) -> DataFrame:
+    known = fx.inflected(spark, d)
+    rules = lemmas.rules(known.filter("part > 0").select("word", "lemma"))
+    return lemmas.guessed(known.filter("part = 0").select("word"), rules).select("word", "lemma")
+
+
 def _labelled_vectors(spark: SparkSession, d: str, labels: int) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings").filter(F.col("label") < labels)
     from pyspark.ml.functions import array_to_vector

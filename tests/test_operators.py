@@ -80,8 +80,9 @@ def test_cosine_and_transrate(spark):
     got = {r.label: r.mean_cosine for r in similarity.pairwise_cosine(df, "label").collect()}
     s = u[y == 0] @ u[y == 0].T
     assert abs(got[0] - s[np.triu_indices(30, 1)].mean()) < 1e-12 and got[2] is None
+    assert tuple(similarity.transrate(df.limit(0), "label").first()) == (0, 0.0) and tuple(similarity.transrate(df.filter("label = 2"), "label").first()) == (1, 0.0)
     logdet = lambda z: 0.5 * np.linalg.slogdet(np.cov(z.T) + 1e-4 * np.eye(5))[1]
-    assert abs(similarity.transrate(df, "label") - (logdet(x) - 30 / 60 * logdet(x[y == 0]) - 29 / 60 * logdet(x[y == 1]))) < 1e-9
+    assert abs(similarity.transrate(df, "label").first().transrate - (logdet(x) - 30 / 60 * logdet(x[y == 0]) - 29 / 60 * logdet(x[y == 1]))) < 1e-9
 
 
 def test_generation_defaults(spark):
