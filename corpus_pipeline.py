@@ -7,8 +7,8 @@ smallest doc_id of each group stays.
 decontaminate: documents of which a twentieth or more lies in 13-word windows of the benchmark go.
 mix: documents are taken as often as their source's target asks; adds copies.
 
-Every stage works on all that its predecessor kept. Rows that share a doc_id are one document to the toxicity, near
-dedup and decontamination stages: they go or stay together. A null doc_id is such an id, too. Extra columns are kept.
+Every stage works on all that its predecessor kept. Every row is judged by its own id and text: what shares an id with it, or has none either,
+doesn't matter. Of rows that are equal in both, one stays after dedup. Extra columns are kept.
 """
 
 from __future__ import annotations
