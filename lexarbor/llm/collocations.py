@@ -159,7 +159,7 @@ def adder(least: int):
                 raw = zlib.decompress(block)
                 size = len(raw) // 3
                 at, c = np.cumsum(np.frombuffer(raw, "<u2", size)), np.frombuffer(raw, np.uint8, size, 2 * size)
-                total[at] += np.where(c == 255, most, c)
+                total[at] += np.where(c == 255, np.int64(most), c.astype(np.int64))
         if number is not None:
             yield told(number, total)
 

@@ -225,6 +225,20 @@ def test_collocations_are_plain_ones(spark):
     assert oracle("op13_collocations", documents=docs) == got(collocations.collocations(docs)) != []
 
 
+def test_sketch_keeps_what_is_frequent_and_drops_what_cannot_be(spark):
+    rng = random.Random(9)
+    rare = [f"r{i}" for i in range(200)]
+    rows = [("en", " ".join(["the the", "of the"] * rng.randrange(1, 9) + rng.choices(rare, k=30))) for _ in range(2000)] + [("fr", "a b " * 60), ("fr", "a b. " * 40)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(2)
+    assert got(collocations.collocations(docs)) == plain_collocations(rows, 100, 2000)
+    # pairs in buckets of their own: one 300 times in a batch, one 60 times in each of two, one 99 times
+    small = spark.createDataFrame([("x", "p q. " * 300)] + [("x", "s t. " * 30)] * 4 + [("x", "u v. " * 99)], "lang string, text string").repartition(2)
+    every = type("All", (), {"__call__": lambda self, h: np.ones(len(h), bool)})()
+    passes = collocations.often(small.selectExpr("lang", "text || chr(10) as text"), 2, 1, every, 10_000_000, 100)
+    hashes = lambda p: collocations.gram_hashes(np.frombuffer(p, np.uint8), np.array([0]), np.array([len(p)]), np.array([collocations._salt("x")], np.uint64))
+    assert [bool(passes(hashes(p))[0]) for p in (b"p q", b"s t", b"u v", b"q p")] == [True, True, False, False]
+
+
 def test_collocations_of_large_counts_are_exact(spark):
     big = [("en", p, f) for p, f in (("a b", 9_007_199_254_740_993), ("a", 9_007_199_254_740_995), ("b", 9_007_199_254_740_997))]
     one = spark.createDataFrame([(x, p, f) for x, p, f in big if " " not in p] + [("en", None, 99_999_999_999_999_999)], "lang string, phrase string, f long")
