@@ -126,6 +126,10 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
 
 
 def allowed(pages: DataFrame, **how) -> DataFrame:
-    """The rows of pages that aren't blocked. Rows that share a page_id go if one of them does."""
-    bad = common.saved(judge(pages, **how).filter("verdict = 'block'").select("page_id"), "blocked")
-    return common.without_ids(pages, bad, "page_id")
+    """The rows of pages that aren't blocked, each judged by its own URL, whatever ids it shares. Pages whose URL a fixed-size filter clears aren't shuffled."""
+    bad = common.saved(judge(pages, **how).filter("verdict = 'block'").select("host", "path", F.xxhash64("host", "path").alias("_k")).distinct(), "blocked")
+    host, path = host_and_path(pages["url"].cast("string"))
+    packed = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_row"), host.alias("host"), path.alias("path"))
+    split = common.IdFilter(bad, "_k").split(packed, F.xxhash64("host", "path"))
+    met = split.filter("_maybe").drop("_maybe").join(bad.drop("_k"), ["host", "path"], "left_anti")
+    return split.filter(~F.col("_maybe")).select("_row").unionByName(met.select("_row")).select("_row.*")

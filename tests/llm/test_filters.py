@@ -120,6 +120,10 @@ def test_url_rules_and_model(spark):
     assert got[2].host == "example.org" and got[9].path == "" and got[7].host == ""
     assert url_filter.judge(pages.limit(0)).count() == 0
     assert url_filter.judge(pages.filter("page_id = 6")).first().verdict == "allow"
+    # pages go for their own URL, not for an id that others share or lack
+    shared = pages.withColumn("page_id", F.when(F.col("page_id") % 3 > 0, F.col("page_id") % 2))
+    left = url_filter.allowed(shared)
+    assert left.columns == shared.columns and sorted(str(r.url) for r in left.collect()) == sorted(str(u) for i, (u, _, _) in enumerate(rows) if got[i].verdict == "allow")
 
 
 PII = {
