@@ -16,7 +16,8 @@ def self_bleu(texts: DataFrame, key: str, group: str, text: str = "text") -> Dat
 
     No pairs: the most an n-gram occurs in any other text is the largest count in the group, or the second largest for the text that
     holds the largest. The closest other length is the nearest in the group's multiset of lengths, the shorter one on a tie.
-    Orders without a match count 0.1 of a match; without a common word BLEU is 0.
+    Orders without a match count 0.1 of a match; without a common word BLEU is 0. Joins of n-grams are told to sort: their tables look as small as the file they
+    come from, and would be broadcast.
     """
     words = texts.select(group, key, tx.split_words(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("words"))
     sized = words.select(group, key, F.size("words").alias("len"))
@@ -28,7 +29,7 @@ def self_bleu(texts: DataFrame, key: str, group: str, text: str = "text") -> Dat
     ranked = W.partitionBy(group, "order", "gram").orderBy(F.desc("c"))
     top = by_count.withColumn("r", F.row_number().over(ranked)).groupBy(group, "order", "gram").agg(F.max(F.when(F.col("r") == 1, F.col("c"))).alias("c1"), F.max(F.when(F.col("r") == 1, F.col("texts"))).alias("held"), F.max(F.when(F.col("r") == 2, F.col("c"))).alias("c2"))
     others = F.when((F.col("c") == F.col("c1")) & (F.col("held") == 1), F.coalesce("c2", F.lit(0))).otherwise(F.col("c1"))
-    matches = counts.join(top, [group, "order", "gram"]).groupBy(group, key, "order").agg(F.sum(F.least("c", others)).alias("m"), F.sum("c").alias("total"))
+    matches = counts.join(top.hint("merge"), [group, "order", "gram"]).groupBy(group, key, "order").agg(F.sum(F.least("c", others)).alias("m"), F.sum("c").alias("total"))
     wide = matches.groupBy(group, key).agg(*(F.coalesce(F.max(F.when(F.col("order") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(1, ORDERS + 1) for c in ("m", "total")))
 
     lengths = sized.groupBy(group, "len").agg(F.count("*").alias("texts"))
@@ -36,7 +37,7 @@ def self_bleu(texts: DataFrame, key: str, group: str, text: str = "text") -> Dat
     near = lengths.select(group, "len", "texts", F.lag("len").over(around).alias("below"), F.lead("len").over(around).alias("above"))
     nearest = F.when(F.col("texts") > 1, F.col("len")).when(F.col("above").isNull(), F.col("below")).when(F.col("below").isNull(), F.col("above")).when(F.col("len") - F.col("below") <= F.col("above") - F.col("len"), F.col("below")).otherwise(F.col("above"))
     ref = near.select(group, "len", nearest.alias("ref"))
-    per = sized.join(ref, [group, "len"]).join(wide, [group, key], "left").fillna(0)
+    per = sized.join(ref, [group, "len"]).join(wide.hint("merge"), [group, key], "left").fillna(0)
     logs = sum(F.log(F.when(F.col(f"m{n}") == 0, 0.1).otherwise(F.col(f"m{n}").cast("double")) / F.greatest(F.lit(1), F.col(f"total{n}"))) for n in range(1, ORDERS + 1)) / ORDERS
     brevity = F.when(F.col("len") > F.col("ref"), 1.0).when(F.col("len") == 0, 0.0).otherwise(F.exp(1 - F.col("ref") / F.col("len")))
     scored = per.withColumn("bleu", F.when(F.col("m1") == 0, 0.0).otherwise(brevity * F.exp(logs)))
