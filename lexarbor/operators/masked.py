@@ -7,7 +7,7 @@ that context. One shuffle counts the words between their neighbours; all other t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexarbor.functions import text as tx
@@ -18,11 +18,18 @@ MOST = 128
 
 
 def between(docs: DataFrame, keys: list[str], text: str = "text", most: int | None = MOST) -> DataFrame:
-    """(keys, l, w, r) of each word and its neighbours; an empty string stands beyond either end."""
+    """(keys, l, w, r) of each word and its neighbours, 64 bits of hash each; an empty string stands beyond either end."""
     words = tx.tokens(F.coalesce(F.col(text), F.lit("")))
     words = F.slice(words, 1, most) if most else words
-    around = tx.let(F.concat(F.array(F.lit("")), words, F.array(F.lit(""))), lambda w: F.transform(F.sequence(F.lit(2), F.size(w) - 1), lambda i: F.struct(F.element_at(w, i - 1).alias("l"), F.element_at(w, i).alias("w"), F.element_at(w, i + 1).alias("r"))))
-    return docs.filter(F.size(words) > 0).select(*keys, F.explode(around).alias("t")).select(*keys, "t.*")
+    end = F.array(F.xxhash64(F.lit("")))
+
+    def around(w: Column) -> Column:
+        n = F.size(w) - 2
+        return F.arrays_zip(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), F.slice(w, F.lit(3), n)).cast("array<struct<l:long,w:long,r:long>>")
+
+    told = tx.let(F.concat(end, F.transform(words, lambda w: F.xxhash64(w)), end), around)
+    # the outer form, since Spark would compute the list once more to leave out empty ones
+    return docs.select(*keys, F.explode_outer(told).alias("t")).filter("t is not null").select(*keys, "t.*")
 
 
 def fit(docs: DataFrame, text: str = "text") -> DataFrame:
