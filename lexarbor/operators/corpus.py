@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,31 +32,53 @@ def relevant(docs: DataFrame, vocabulary: list[str], least: int = tx.MIN_SCORE,
 
 #: Rows of a lemma dictionary up to which it is broadcast; parts that a word is dealt into beyond that.
 BROADCAST_ROWS, SALTS = 500_000, 16
+#: Rows of a dictionary up to which it is a map, which is searched word by word.
+MAP_ROWS = 32
+
+
+def _replaced(table: DataFrame):
+    """A function of lists of words: each word's _lemma in a table (word, _lemma) of counted size, or the word itself."""
+    told = table.filter("_lemma is not null").toArrow()
+    sent = table.sparkSession.sparkContext.broadcast([told.column(c).to_pylist() for c in ("word", "_lemma")])
+
+    @F.arrow_udf("array<string>")
+    def replaced(lists: pa.Array) -> pa.Array:
+        known, lemma = (pa.array(c, pa.string()) for c in sent.value)
+        flat = lists.flatten().dictionary_encode()
+        place = pc.index_in(flat.dictionary, value_set=known)
+        names = pc.coalesce(lemma.take(place), flat.dictionary.cast(pa.string()))
+        offsets = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), names.take(flat.indices))
+
+    return replaced
 
 
 def lemmatised(docs: DataFrame, words: str, dictionary: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with `lemmas` (replaced if there): each word's lemma by a table (word, lemma), in order; the word itself if it isn't there.
 
-    A list of words has one list of lemmas, whatever rows hold it and whatever their ids, so it is looked up once, by 128 bits of its hash. Of several lemmas of a word the least counts; null words have none. A dictionary of up to broadcast_rows rows is broadcast, a
-    larger one is joined by word and salt, so that a frequent word is no single task's.
+    A list of words has one list of lemmas, whatever rows hold it and whatever their ids, so it is looked up once, by 128 bits of its hash. Of several lemmas of a word the least counts; null words have none. A dictionary of up to broadcast_rows rows is broadcast, and the
+    task that reads a row looks its words up; a larger one is joined by word and salt, so that a frequent word is no single task's.
     """
     first = dictionary.filter("word is not null").groupBy("word").agg(F.min("lemma").alias("_lemma"))
+    if dictionary.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return docs.drop("lemmas").withColumn("lemmas", _replaced(first)(F.coalesce(words, F.array().cast(tx.NONE))))
     same = ["_k1", "_k2"]
     told = F.transform(words, lambda w: F.coalesce(F.concat(F.lit("="), w), F.lit("")))  # a hash passes over nulls
     keyed = docs.drop("lemmas").withColumns({"_k1": F.xxhash64(told), "_k2": F.xxhash64(F.lit(1), told)})
     each = keyed.select(*same, F.col(words).alias("_w")).dropDuplicates(same).select(*same, F.posexplode("_w").alias("_i", "word"))
-    if dictionary.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        joined = each.join(F.broadcast(first), "word", "left")
-    else:
-        salted = first.withColumn("_s", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-        joined = each.withColumn("_s", F.pmod(F.hash("_k1", "_i"), F.lit(SALTS))).join(salted, ["word", "_s"], "left")
+    salted = first.withColumn("_s", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    joined = each.withColumn("_s", F.pmod(F.hash("_k1", "_i"), F.lit(SALTS))).join(salted, ["word", "_s"], "left")
     lemma = F.struct("_i", F.coalesce("_lemma", "word").alias("l"))
     lists = joined.groupBy(*same).agg(F.transform(F.array_sort(F.collect_list(lemma)), lambda x: x["l"]).alias("lemmas"))
     return keyed.join(lists, same, "left").drop(*same).withColumn("lemmas", F.coalesce("lemmas", F.array().cast(tx.NONE)))
 
 
 def relevant_by_table(docs: DataFrame, vocabulary: list[str], dictionary: DataFrame, least: int = tx.MIN_SCORE) -> DataFrame:
-    """relevant(), with lemmas from a table instead of a map."""
+    """relevant(), with lemmas from a table instead of a map; a table of a few rows is made one."""
+    few = dictionary.filter("word is not null").groupBy("word").agg(F.min("lemma").alias("lemma")).limit(MAP_ROWS + 1).collect()
+    if len(few) <= MAP_ROWS:
+        pairs = [F.lit(x) for r in few if r.lemma is not None for x in (r.word, r.lemma)]
+        return relevant(docs, vocabulary, least, F.create_map(*pairs) if pairs else None)
     told = lemmatised(docs.withColumn("_words", tx.tokens(F.col("clean_text"))), "_words", dictionary).drop("_words")
     return told.withColumn("score", tx.relevance(F.col("lemmas"), vocabulary)).filter(F.col("score") >= least)
 
