@@ -158,9 +158,8 @@ def bigram_compare(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    counts = features.term_counts(docs, "doc_id", 1, 1)
-    n = docs.count()
-    return features.tfidf(counts, features.fit(counts, n, min_df=3, max_df=0.8), "doc_id", sublinear=True).select("doc_id", "term", _six("w"))
+    terms = features.chosen(features.frequencies(docs, "doc_id", 1, 1), docs.count(), min_df=3, max_df=0.8)
+    return features.weighted(docs, terms, "doc_id", 1, 1, sublinear=True).select("doc_id", "term", _six("w"))
 
 
 @query
