@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexarbor.functions import text as tx
+from lexarbor.operators import features
+from lexarbor.operators.dedup import ensure_checkpoints
 
 
 def _made(docs: DataFrame, row: Column, keep) -> DataFrame:
@@ -112,13 +114,25 @@ def newest(posts: DataFrame, channel: str, time: str, key: str, limit: int | Non
 
 
 def ngram_totals(docs: DataFrame, low: int, high: int, text: str = "text", min_chars: int = 2) -> DataFrame:
-    """(term, n) over all documents: a map-side combined count of exploded n-grams."""
-    return docs.select(F.explode(tx.word_ngrams(tx.tokens(F.coalesce(F.col(text), F.lit("")), min_chars), low, high)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n) over all documents: n-grams are added up in the tasks that read them first."""
+    return features.totals(docs, low, high, text, min_chars).groupBy("term").agg(F.sum("total").alias("n"))
 
 
-def top_ngrams(docs: DataFrame, n: int = 50, low: int = 2, high: int = 2, text: str = "text") -> DataFrame:
-    """The n most frequent with their rank; ties by term. The limit is the feature: it becomes a top-k in each task."""
-    top = ngram_totals(docs, low, high, text).orderBy(F.desc("n"), "term").limit(n)
+#: Bits of the bucket that an n-gram is counted by before it is counted itself.
+BUCKET_BITS = 20
+
+
+def top_ngrams(docs: DataFrame, n: int = 50, low: int = 2, high: int = 2, text: str = "text", bits: int = BUCKET_BITS) -> DataFrame:
+    """The n most frequent with their rank; ties by term.
+
+    Counts by hash bucket come first, in tables of a fixed size. The n-grams of the fullest buckets are counted, and the n-th count among them is one
+    that the result reaches at least, so only n-grams of buckets that hold as many are counted in the end.
+    """
+    ensure_checkpoints(docs.sparkSession)
+    sums = features.bucket_sums(docs, low, high, bits, text).checkpoint()
+    of = lambda some: features.bucket_totals(docs, low, high, bits, some.select("bucket").toArrow().column(0).to_numpy(), text)
+    first = of(sums.orderBy(F.desc("held"), "bucket").limit(4 * n)).orderBy(F.desc("n"), "term").limit(n).agg(F.count("*").alias("found"), F.min("n").alias("least")).first()
+    top = of(sums.filter(F.col("held") >= (first.least if first.found >= n else 0))).orderBy(F.desc("n"), "term").limit(n)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "term")))
 
 

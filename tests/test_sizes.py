@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexarbor.operators import leakage
+from lexarbor.operators import corpus, diversity, features, leakage, masked
 
 
 def plan(df):
@@ -46,3 +46,58 @@ def test_leaks_are_found_without_a_join_of_n_grams(spark, monkeypatch):
             assert sorted(r.id for r in got.collect()) == want and "gram" not in plan(got)
     monkeypatch.setattr(leakage, "MOST_GRAMS", 10)
     assert sorted(r.id for r in leakage.leaks(rows, gold, "id", "item", 0.9).collect()) == want
+
+
+def test_self_bleu_broadcasts_no_n_grams(spark):
+    texts = spark.createDataFrame([(i, "g", f"a b c {i}") for i in range(9)], "id long, g string, text string")
+    told = diversity.self_bleu(texts, "id", "g")
+    assert told.count() == 1 and plan(told).count("SortMergeJoin") >= 2
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 2
+
+
+def test_words_around_are_hashed_and_listed_once(spark):
+    rows = spark.createDataFrame([(1, "b a b a b"), (2, ""), (3, None), (4, "A")], "id long, text string")
+    told = masked.between(rows, ["id"])
+    assert [f.dataType.simpleString() for f in told.schema] == ["bigint"] * 4 and told.count() == 6
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("arrays_zip") == 1
+
+
+def test_terms_are_counted_by_the_task_that_reads_them(spark, monkeypatch):
+    monkeypatch.setattr(features, "PIECE_WORDS", 50)
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.randrange(0, 40), "abc")) for i in range(40)] + [(3, "twice told aa"), (None, "aa bb"), (None, "bb aa bb"), (50, None), (51, "x")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    told = lambda df: sorted((str(r.id), r.term, round(r.w, 9)) for r in df.collect())
+    for low, high in ((1, 1), (1, 2), (2, 3)):
+        counts = features.term_counts(docs, "id", low, high)
+        terms = features.fit(counts, len(rows), min_df=2)
+        got = features.chosen(features.frequencies(docs, "id", low, high), len(rows), min_df=2)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, terms.collect()))
+        want = told(features.tfidf(counts, terms, "id", sublinear=True))
+        assert want and told(features.weighted(docs, terms, "id", low, high, sublinear=True)) == want
+        assert told(features.weighted(docs, terms, "id", low, high, sublinear=True, most=1)) == want
+    alone = features.weighted(docs.filter("id > 3"), terms, "id", 2, 3)
+    assert "Exchange" not in plan(alone)
+
+
+def test_lemmas_of_a_table_without_words_of_their_own_rows(spark):
+    docs = spark.createDataFrame([(1, "los gatos la casa"), (2, "und der die")], "id long, clean_text string")
+    table = spark.createDataFrame([("los", "el"), ("la", "el"), ("die", "der"), (None, "x"), ("und", None)], "word string, lemma string")
+    for most in (32, 0):
+        corpus.MAP_ROWS = most
+        told = corpus.relevant_by_table(docs, ["el", "casa", "und", "der"], table)
+        assert {r.id: (r.lemmas, r.score) for r in told.collect()} == {1: (["el", "gatos", "el", "casa"], 2), 2: (["und", "der", "der"], 2)}
+        assert "Exchange" not in plan(told) and "explode(_words" not in plan(told)
+    corpus.MAP_ROWS = 32
+
+
+def test_frequent_n_grams_are_counted_by_bucket_first(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(words(rng, rng.randrange(0, 30), "abc"),) for _ in range(60)] + [(None,)], "text string")
+    for low, high in ((1, 1), (2, 2), (1, 3)):
+        plain = corpus.ngram_totals(docs, low, high).collect()
+        for n in (5, 10**4):
+            want = [(r.term, r.n) for r in sorted(plain, key=lambda r: (-r.n, r.term))[:n]]
+            for bits in (2, 12):
+                got = corpus.top_ngrams(docs, n, low, high, bits=bits).orderBy("rank").collect()
+                assert [(r.term, r.n) for r in got] == want
