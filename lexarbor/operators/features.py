@@ -125,7 +125,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([code >> 32, code & 0xFFFFFFFF]), n
 
 
-def _alone(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+def alone(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
     """(rows whose key no other row has, the others or none)."""
     again = docs.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_again"))
     if again.isEmpty():
@@ -136,8 +136,8 @@ def _alone(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
 
 def frequencies(docs: DataFrame, key: str, low: int = 1, high: int = 2, text: str = "text") -> DataFrame:
     """(term, df, total) of the documents' n-grams, as term_counts() would give them."""
-    alone, again = _alone(docs, key)
-    parts = totals(alone, low, high, text)
+    single, again = alone(docs, key)
+    parts = totals(single, low, high, text)
     if again is not None:
         parts = parts.unionByName(term_counts(again, key, low, high, text).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
     return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
@@ -181,7 +181,7 @@ def weighted(docs: DataFrame, terms: DataFrame, key: str, low: int = 1, high: in
     terms = terms.select("term", "idf").checkpoint()
     if terms.count() > most:
         return tfidf(term_counts(docs, key, low, high, text), terms, key, sublinear)
-    alone, again = _alone(docs, key)
+    single, again = alone(docs, key)
     weigh = _weigher(docs.sparkSession, terms.withColumn("i", F.lit(0)), low, high, sublinear)
 
     def run(batches):
@@ -189,7 +189,7 @@ def weighted(docs: DataFrame, terms: DataFrame, key: str, low: int = 1, high: in
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), term, pa.array(w)], names=[key, "term", "w"])
 
     schema = T.StructType([docs.schema[key], T.StructField("term", T.StringType()), T.StructField("w", T.DoubleType())])
-    told = _worded(alone, key, text).mapInArrow(run, schema)
+    told = _worded(single, key, text).mapInArrow(run, schema)
     return told if again is None else told.unionByName(tfidf(term_counts(again, key, low, high, text), terms, key, sublinear))
 
 

@@ -28,8 +28,11 @@ def vectors(docs: DataFrame, terms: DataFrame, key: str, low: int = 1, high: int
 
     numbered = _numbered(terms.select("term", "idf"))
     size = terms.count()
-    weights = features.tfidf(features.term_counts(docs, key, low, high) if counts is None else counts, numbered, key, sublinear).join(numbered.select("term", "i"), "term")
-    packed = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("t"))
+    if counts is None and size <= features.MOST_TERMS and features.alone(docs, key)[1] is None:
+        packed = features.packed(docs, numbered, key, low, high, sublinear)
+    else:
+        weights = features.tfidf(features.term_counts(docs, key, low, high) if counts is None else counts, numbered, key, sublinear).join(numbered.select("term", "i"), "term")
+        packed = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("t"))
     held = F.coalesce("t", F.array().cast("array<struct<i:long,w:double>>"))
     fields = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), F.transform(held, lambda x: x["i"]).alias("indices"), F.transform(held, lambda x: x["w"]).alias("values"))
     read = F.from_json(F.to_json(F.struct(fields.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexarbor.operators import corpus, diversity, features, leakage, masked
+from lexarbor.operators import corpus, diversity, features, leakage, masked, ml
 
 
 def plan(df):
@@ -101,3 +101,14 @@ def test_frequent_n_grams_are_counted_by_bucket_first(spark):
             for bits in (2, 12):
                 got = corpus.top_ngrams(docs, n, low, high, bits=bits).orderBy("rank").collect()
                 assert [(r.term, r.n) for r in got] == want
+
+
+def test_vectors_are_made_by_the_task_that_reads_a_row(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, words(rng, rng.randrange(0, 30), "abc")) for i in range(30)] + [(40, None)], "id long, text string")
+    counts = features.term_counts(docs, "id")
+    terms = features.fit(counts, 31, min_df=2, max_features=40).localCheckpoint()
+    of = lambda df: {r.id: (r.features.size, list(r.features.indices), [round(float(x), 9) for x in r.features.values]) for r in df.collect()}
+    got = ml.vectors(docs, terms, "id")
+    assert of(got) == of(ml.vectors(docs, terms, "id", counts=counts)) and len(of(got)) == 31
+    assert "collect_list" not in plan(got)
