@@ -123,7 +123,7 @@ def walker(depth: int, least: int):
         deep = np.maximum(np.r_[before, same], np.r_[same, depth])
         n = len(tree) if last else len(tree) - 1
         kept = np.flatnonzero(deep[:n] >= least)
-        raw = np.ascontiguousarray(paths[kept]).tobytes()
+        raw = paths[kept].astype(">u2").tobytes()  # numpy joins batches in the machine's byte order
         flat = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer((np.arange(len(kept) + 1) * 2 * depth).astype(np.int32)), pa.py_buffer(raw)])
         return pa.RecordBatch.from_arrays([pa.array(tree[kept]), flat, pa.array(node[kept]), pa.array(deep[kept].astype(np.int32))], names=["tree", "path", "node", "deep"]), (same[-1] if len(same) else before)
 
