@@ -167,3 +167,32 @@ def test_passages_of_repeated_rows_nulls_and_long_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("*", "1 as words", "2 as key")
     found = sorted(((r.doc_id, r.other_id, r.start_word, r.end_word) for r in passages.shared(docs).collect()), key=str)
     assert found == sorted([(1, 1, 0, 60), (None, 1, 0, 60), (5, 4, 30, 30_030)], key=str)
+
+
+def test_seeds_meet_their_first_over_batches_and_partitions():
+    """op9's disk: one shuffle by range tells matches; a key may go on in the next batch or partition."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = sorted({(key, rng.randrange(40), rng.randrange(50)) for key in range(12) for _ in range(60 if key in (4, 5) else rng.randrange(1, 9))})
+    seeds = [(*r, rng.choice([None, 3]), rng.getrandbits(63), rng.getrandbits(63)) for r in rows]
+    first = {}
+    for s in seeds:
+        first.setdefault(s[0], s)
+    odd = lambda a, b: sum((a ^ b) >> 2 * j & 3 > 0 for j in range(32))
+    expected = sorted((row, (p := first[key])[1], pos, p[2], 64 - odd(c1, p[4]) - odd(c2, p[5]), pair or -1) for key, row, pos, pair, c1, c2 in seeds if row != first[key][1])
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=["key", "row", "pos", "pair", "c1", "c2"])
+    for size, step in ((len(seeds), 7), (25, 4), (11, 100)):
+        out = [r for a in range(0, len(seeds), size) for b in passages.matcher()(batch(seeds[a : a + size][i : i + step]) for i in range(0, len(seeds[a : a + size]), step)) for r in b.to_pylist()]
+        edge = {}
+        for r in out:
+            if r["kind"]:
+                edge[r["key"]] = min(edge.get(r["key"], (99,)), (r["row"], r["pos"], r["c1"], r["c2"]))
+        got = [(r["row"], r["pivot"], r["pos"], r["at"], r["agree"], r["pair"] or -1) for r in out if r["kind"] == 0]
+        for r in out:
+            if r["kind"] == 1 and r["row"] != (p := edge[r["key"]])[0]:
+                got.append((r["row"], p[0], r["pos"], p[1], 64 - odd(r["c1"], p[2]) - odd(r["c2"], p[3]), r["pair"] or -1))
+        assert sorted(got) == expected
+        assert len(edge) <= 2 * -(-len(seeds) // size) and np.unique([r["kind"] for r in out]).size >= 2
