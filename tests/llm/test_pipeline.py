@@ -90,3 +90,22 @@ def test_stages_lose_nothing_unrelated_and_take_empty_tables(spark, tmp_path):
     assert sum(r.copies for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) > 100
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.select("doc_id", "text", "source").limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_driver_of_the_pipeline_components_of_odd_graphs_and_few_shuffles(spark):
+    """The pipeline's driver memory: plans of few shuffles. Stars that are told apart take one look; paths, hubs and negative nodes are right, too."""
+    from lexarbor.llm import common
+
+    star = spark.createDataFrame([(1, i) for i in range(2, 40)] + [(-7, 50), (-7, -7)], "a long, b long")
+    runs = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = runs()
+    assert {(r.node, r.root) for r in common.components(star).collect()} == {(i, 1) for i in range(1, 40)} | {(-7, -7), (50, -7)}
+    assert runs() - before <= 12, runs() - before
+    rng = random.Random(4)
+    for edges in ([(i, i + 1) for i in rng.sample(range(60), 60)], [(5000, i) for i in range(300)] + [(5000 + i, i) for i in range(1, 200)] + [(-3, 9001)], [(4, 4)]):
+        root = {}
+        for a, b in edges:
+            if a != b:
+                old, new = sorted((root.setdefault(a, a), root.setdefault(b, b)), reverse=True)
+                root = {x: new if r == old else r for x, r in root.items()}
+        assert {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()} == root
