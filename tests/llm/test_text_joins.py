@@ -196,3 +196,12 @@ def test_seeds_meet_their_first_over_batches_and_partitions():
                 got.append((r["row"], p[0], r["pos"], p[1], 64 - odd(r["c1"], p[2]) - odd(r["c2"], p[3]), r["pair"] or -1))
         assert sorted(got) == expected
         assert len(edge) <= 2 * -(-len(seeds) // size) and np.unique([r["kind"] for r in out]).size >= 2
+
+
+def test_op9_disk_only_seeds_near_a_span_meet_the_join(spark):
+    seeds = [(r, p, 1000 * r + p) for r in range(6) for p in range(0, 200, 3)]
+    spans = {1: [(0, 50), (90, 141)], 3: [(31, 97)], 9: [(0, 60)]}
+    table = spark.createDataFrame([(r, s) for r, s in spans.items()], "row long, spans array<struct<start:long,end:long>>")
+    got = passages.uncovered(spark.createDataFrame(seeds, "row long, pos int, key long"), table)
+    assert sorted(map(tuple, got.collect())) == [s for s in seeds if not any(a <= s[1] < b for a, b in spans.get(s[0], ()))]
+    assert "_maybe" in got._jdf.queryExecution().analyzed().toString()
