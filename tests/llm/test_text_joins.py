@@ -205,3 +205,30 @@ def test_op9_disk_only_seeds_near_a_span_meet_the_join(spark):
     got = passages.uncovered(spark.createDataFrame(seeds, "row long, pos int, key long"), table)
     assert sorted(map(tuple, got.collect())) == [s for s in seeds if not any(a <= s[1] < b for a, b in spans.get(s[0], ()))]
     assert "_maybe" in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_op9_disk_seeds_inside_a_span_meet_no_join(spark):
+    seeds = [(r, p, 1000 * r + p) for r in range(6) for p in range(0, 400, 3)]
+    spans = {1: [(0, 50), (90, 341)], 3: [(31, 397), (64, 200)], 9: [(0, 60)]}
+    table = spark.createDataFrame([(r, s) for r, s in spans.items()], "row long, spans array<struct<start:long,end:long>>")
+    lengths = spark.createDataFrame([(r, 403) for r in range(6)] + [(9, 60), (10, 0)], "row long, n int")
+    frame = spark.createDataFrame(seeds, "row long, pos int, key long")
+    got = passages.uncovered(frame, table, lengths)
+    assert sorted(map(tuple, got.collect())) == [s for s in seeds if not any(a <= s[1] < b for a, b in spans.get(s[0], ()))]
+    assert got._jdf.queryExecution().analyzed().toString().count("_maybe") > passages.uncovered(frame, table)._jdf.queryExecution().analyzed().toString().count("_maybe")
+
+
+def test_op9_disk_only_blocks_near_a_chain_are_moved(spark):
+    import numpy as np
+
+    size, rng = passages.BLOCK, np.random.default_rng(3)
+    rows = {r: rng.integers(0, 1 << 32, n, dtype=np.uint32) for r, n in ((0, 40 * size + 7), (3, 5), (1 << 33, 3 * size), (7, 0), (8, 30 * size))}
+    held = spark.createDataFrame([(r, bytearray(w.tobytes())) for r, w in rows.items()], "row long, words binary")
+    asked = [(0, 70, 300), (0, 39 * size + 1, 41 * size), (3, 0, 100), (1 << 33, size, 2 * size)]
+    got = passages._blocks(spark.createDataFrame(asked, "row long, low long, high long"), held).collect()
+    got = {r.row: (list(r.blocks), np.frombuffer(bytes(r.words), np.uint32)) for r in got}
+    for row, low, high in asked:
+        blocks, words = got[row]
+        at = blocks.index(low // size) * size + low % size
+        assert (words[at : at + high - low][: len(rows[row]) - low] == rows[row][low:high]).all()
+    assert sum(len(w) for _, w in got.values()) < 12 * size and 7 not in got
