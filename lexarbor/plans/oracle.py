@@ -129,7 +129,7 @@ t as (select doc_id, u, ws, unnest(range(1, len(ws) + 1)) as i from u), g as (se
 n3 as (select l, w, r, count(*) as n from g where u >= 0.2 group by all), x3 as (select l, r, sum(n) as n, count(*) as t from n3 group by all),
 nl as (select l, w, sum(n) as n from n3 group by all), xl as (select l, sum(n) as n, count(*) as t from nl group by all), nr as (select r, w, sum(n) as n from n3 group by all), xr as (select r, sum(n) as n, count(*) as t from nr group by all),
 n0 as (select w, sum(n) as n from n3 group by all), x0 as (select coalesce(sum(n), 0) as n, count(*) as t from n0),
-a as (select doc_id, l, w, case when i = 128 then '' else r end as r from g where u < 0.2 and i <= 128),
+a as (select doc_id, l, w, r from g where u < 0.2),
 q as (select doc_id, (coalesce(n0.n, 0) + 1.0::double) / (x0.n + x0.t + 1) as p0, nl.n as cl, xl.n as al, xl.t as tl, nr.n as cr, xr.n as ar, xr.t as tr, n3.n as c3, x3.n as a3, x3.t as t3
   from a cross join x0 left join n0 on n0.w = a.w left join nl on nl.l = a.l and nl.w = a.w left join xl on xl.l = a.l left join nr on nr.r = a.r and nr.w = a.w left join xr on xr.r = a.r
   left join n3 on n3.l = a.l and n3.w = a.w and n3.r = a.r left join x3 on x3.l = a.l and x3.r = a.r),

@@ -412,7 +412,7 @@ def macro_centroid_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 def _losses(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("u", sampling.uniform(42, F.col("doc_id")))
-    return masked.losses(masked.fit(docs.filter("u >= 0.2")), docs.filter("u < 0.2"), "doc_id")
+    return masked.losses(masked.fit(docs.filter("u >= 0.2")), docs.filter("u < 0.2"), "doc_id", most=None)
 
 
 @query
