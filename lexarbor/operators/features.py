@@ -22,6 +22,8 @@ from lexarbor.operators import dedup
 
 #: Words that are counted together; fitted terms up to which a task has their weights at hand (16 bytes each), more are joined.
 PIECE_WORDS, MOST_TERMS = 1 << 20, 2_000_000
+#: Fitted terms up to which a task knows their words, too: other words are told apart by nothing then, so n-grams that hold one aren't spelled out.
+MOST_WORDED = 200_000
 
 
 def counted(lists: pa.Array, low: int, high: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
@@ -147,17 +149,26 @@ def _code(term: str) -> int:
     return int(hashlib.md5(term.encode()).hexdigest()[:15], 16)
 
 
+def _masked(lists: pa.Array, words: pa.Array) -> pa.Array:
+    """The lists with one and the same mark, which no text has, in the place of all words but these."""
+    flat, n = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    kept = pc.if_else(pc.is_in(flat, value_set=words.cast(flat.type)), flat, pa.scalar("\n", flat.type))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), kept)
+
+
 def _weigher(spark, terms: DataFrame, low: int, high: int, sublinear: bool):
     """(keys, words) batches to (keys, row, term, number of the term, w) of the fitted terms, vectors of length one; terms (term, idf, i)."""
     code = F.conv(F.substring(F.md5("term"), 1, 15), 16, 10).cast("long")
     table = terms.select(code.alias("h"), F.col("idf").cast("double").alias("idf"), F.col("i").cast("long").alias("i")).toArrow().combine_chunks()
     own, idf, number = (table.column(c).to_numpy() for c in ("h", "idf", "i"))
     order = np.argsort(own)
-    sent = spark.sparkContext.broadcast((own[order], idf[order], number[order]))
+    words = [r.w for r in terms.select(F.explode(F.split("term", " ")).alias("w")).distinct().collect()] if len(own) <= MOST_WORDED else None
+    sent = spark.sparkContext.broadcast((own[order], idf[order], number[order], words))
 
     def run(batches):
-        h, idf, number = sent.value
+        h, idf, number, words = sent.value
         for keys, lists in _pieces(batches):
+            lists = lists if words is None else _masked(lists, pa.array(["", *words], pa.string()))
             rows, names, codes, ws, at = [], [], [], [], []
             for row, term, code, tf in counted(lists, low, high):
                 mine = np.fromiter((_code(t) for t in term.to_pylist()), np.int64, len(term))

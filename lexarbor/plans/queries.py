@@ -379,12 +379,13 @@ def pca(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tfidf_logistic(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text").join(fx.classes(spark, d).select("doc_id", "actual"), "doc_id")
-    parts = sampling.split(docs.withColumn("label", (F.col("actual") == "junk").cast("double")), 0.2, "doc_id", 42, "actual")
+    dedup.ensure_checkpoints(spark)
+    # split once: all that follows reads it several times
+    parts = sampling.split(docs.withColumn("label", (F.col("actual") == "junk").cast("double")), 0.2, "doc_id", 42, "actual").checkpoint()
     train, test = (parts.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
     terms = features.chosen(features.frequencies(train, "doc_id"), train.count(), min_df=3, max_df=0.8, max_features=15000)
-    dedup.ensure_checkpoints(spark)
     terms = terms.checkpoint()
-    fitted = ml.logistic(ml.vectors(train, terms, "doc_id").checkpoint(), "label")
+    fitted = ml.logistic(ml.vectors(train, terms, "doc_id").select("label", "features").checkpoint(), "label")
     return fitted.transform(ml.vectors(test, terms, "doc_id")).select("doc_id", "label", "prediction")
 
 
